@@ -2,8 +2,8 @@
 
 ``figures`` has one row per key. A plain shuffled join would send every row of
 a hot key to one task. Here the hottest keys, whose number is limited, travel
-by broadcast, and their rows (as well as rows without a key) are spread by a
-salt, so that the shuffled join only carries keys that are not hot.
+by broadcast, and their rows (as well as rows without a key) are spread over
+all tasks, so that the shuffled join only matches keys that are not hot.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from claimsift.session import materialize
 HOT_KEYS = 1024
 # A key below this row count is never worth a special path.
 HOT_ROWS = 200_000
-SALTS = 1024
 # Largest figure table (rows) that is broadcast whole, after it was counted.
 BROADCAST_ROWS = 1_000_000
 
@@ -37,23 +36,20 @@ def attach_spread(
 ) -> DataFrame:
     """Left join ``figures`` on ``key``; ``rows`` is its row-count column.
 
-    ``spread`` varies within a key and deals the rows of hot keys to salts.
+    ``spread`` varies within a key and deals the rows of hot keys to tasks:
+    they enter the shuffle under a stand-in key taken from it, which the join
+    condition keeps from matching anything.
     """
     values = [c for c in figures.columns if c != key]
-    hot = hottest(figures, rows, hot_rows).select(
-        F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot")
-    )
-    cold = figures.select(
-        F.col(key).alias("_cold_key"), F.lit(0).alias("_cold_salt"), F.struct(*values).alias("_cold")
-    )
-    salt = F.lit(1) + F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
-    spread_out = F.col(key).isNull() | F.col("_hot").isNotNull()
-    marked = df.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").withColumn(
-        "_salt", F.when(spread_out, salt).otherwise(F.lit(0))
-    )
-    joined = marked.join(
-        cold, (F.col(key) == F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt")), "left"
+    key_type = df.schema[key].dataType
+    hot = hottest(figures, rows, hot_rows).select(F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot"))
+    cold = figures.select(F.col(key).alias("_cold_key"), F.struct(*values).alias("_cold"))
+    apart = F.col(key).isNull() | F.col("_hot").isNotNull()
+    stand_in = F.xxhash64(spread, F.spark_partition_id()).cast(key_type)
+    marked = df.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").withColumns(
+        {"_apart": apart, "_join_key": F.when(apart, stand_in).otherwise(F.col(key))}
     )
+    joined = marked.join(cold, (F.col("_join_key") == F.col("_cold_key")) & ~F.col("_apart"), "left")
     kept = [F.col(c) for c in df.columns]
     found = [F.coalesce(F.col(f"_hot.{v}"), F.col(f"_cold.{v}")).alias(v) for v in values if v != rows]
     return joined.select(*kept, *found)

@@ -43,29 +43,37 @@ def segments(timed: DataFrame, period: int, spread: str) -> DataFrame:
     return attach_spread(slotted, numbered, "_slot", "_rows", F.col(spread)).drop("_slot")
 
 
+def admit(times: np.ndarray, rows: np.ndarray, allowed: np.ndarray, admitted: deque, limit: int, period: int) -> None:
+    """Mark the admitted ones among sorted ``times`` and remember the last ``limit``.
+
+    While the window is full, the events up to its next free moment are
+    skipped by a search, so the work follows the admitted events.
+    """
+    at = 0
+    while at < len(times):
+        if len(admitted) == limit and times[at] - admitted[0] < period:
+            at += int(np.searchsorted(times[at:], admitted[0] + period))
+            continue
+        allowed[rows[at]] = True
+        admitted.append(times[at])
+        at += 1
+
+
 def fold(batches: Iterator[pd.DataFrame], limit: int, period: int) -> Iterator[pd.DataFrame]:
     """Admit or deny the sorted events of a partition, batch by batch.
 
-    Only the last ``limit`` admitted times are remembered. While the window is
-    full, the events up to its next free moment are skipped by a search.
+    A segment may span batches: only its last admitted times are carried over.
     """
     current, admitted = None, deque(maxlen=limit)
     for batch in batches:
+        times = batch["_t"].to_numpy()
         allowed = np.zeros(len(batch), dtype=bool)
         groups = batch.groupby(["_key", "_segment"], sort=False).indices
         for key, rows in sorted(groups.items(), key=lambda item: item[1][0]):
             if key != current:
                 current = key
                 admitted.clear()
-            times = batch["_t"].to_numpy()[rows]
-            at = 0
-            while at < len(times):
-                if len(admitted) == limit and times[at] - admitted[0] < period:
-                    at += int(np.searchsorted(times[at:], admitted[0] + period))
-                    continue
-                allowed[rows[at]] = True
-                admitted.append(times[at])
-                at += 1
+            admit(times[rows], rows, allowed, admitted, limit, period)
         yield batch.assign(allowed=allowed)
 
 

@@ -81,7 +81,7 @@ def fit(claims: DataFrame, settings: Settings, hospitals: DataFrame | None = Non
     pool = fo.sample_pool(typed, settings.trees * fo.TREE_ROWS, settings.seed)
     sampled = ft.derive_sample_features(pool, typed, hospitals)
     names = ft.feature_columns(sampled, settings.profile)
-    return fo.fit_forest(sampled, names, settings.trees, settings.seed)
+    return fo.fit_forest(sampled, pool.count(), names, settings.trees, settings.seed)
 
 
 def scored_claims(claims: DataFrame, settings: Settings, keep: list[str] | None = None, forest: fo.Forest | None = None) -> DataFrame:
