@@ -10,6 +10,7 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from claimsift.functions import risk, text as tx, values as vl
 from claimsift.operators import context, features as ft, forest as fo, keyed, replay, summaries as sm
@@ -759,47 +760,68 @@ def m07_contamination_sweep(spark: SparkSession, sf: str) -> DataFrame:
 # --- Streams ----------------------------------------------------------------
 
 
-def as_stream(df: DataFrame, label: str, parts: int, *order: str) -> DataFrame:
-    """A table as a file stream of several micro-batches, in the given order."""
-    if order:
-        path = folder(df.sparkSession, label)
-        df.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.parquet(path)
-    else:
-        path = folder(df.sparkSession, label)
-        df.repartition(parts).write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
+def halves(df: DataFrame, time: str) -> list[DataFrame]:
+    """The rows up to the median time, and those after it."""
+    micros = F.unix_micros(time)
+    middle = df.agg(F.percentile_approx(micros, 0.5)).first()[0]
+    return [df.where(micros <= middle), df.where(micros > middle)]
 
 
-def run_to_table(stream: DataFrame, label: str) -> DataFrame:
-    """Run a stream over what is there and read what it wrote."""
-    spark = stream.sparkSession
+def feed(pieces: list[DataFrame], label: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Let files arrive piece by piece and run the stream after each arrival.
+
+    Every run starts the stream anew from its checkpoint.
+    """
+    spark = pieces[0].sparkSession
     path = folder(spark, label)
-    writer = stream.writeStream.format("parquet").option("checkpointLocation", folder(spark, "progress"))
-    writer.trigger(availableNow=True).start(path).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    for piece in pieces:
+        piece.write.mode("append").parquet(path)
+        start(spark.readStream.schema(piece.schema).parquet(path)).awaitTermination()
+
+
+def to_table(spark: SparkSession, build: Callable[[DataFrame], DataFrame]) -> tuple[str, Callable[[DataFrame], StreamingQuery]]:
+    """A place for a stream's rows, and how to start the stream that fills it."""
+    path, progress = folder(spark, "output"), folder(spark, "progress")
+
+    def start(stream: DataFrame) -> StreamingQuery:
+        writer = build(stream).writeStream.format("parquet").option("checkpointLocation", progress)
+        return writer.trigger(availableNow=True).start(path)
+
+    return path, start
 
 
 @query
 def r01_ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
-    claims = typed(spark, sf).select("TransactionID", "PatientID", "Age", "Final_Billed_Amount")
-    stream = as_stream(claims, "claims", 6)
+    claims = typed(spark, sf).select("TransactionID", "PatientID", "Age", "Final_Billed_Amount", "Admission_Timestamp")
     store = tb.ClaimStore(spark, folder(spark, "store"))
-    ingest.ingest_stream(stream, store, moment(NOW), folder(spark, "progress")).awaitTermination()
+    progress = folder(spark, "progress")
+    feed(
+        halves(claims, "Admission_Timestamp"),
+        "claims",
+        lambda stream: ingest.ingest_stream(stream, store, moment(NOW), progress),
+    )
     return store.read("claims").select("PatientID")
 
 
 @query
 def r02_daily_session_kpis(spark: SparkSession, sf: str) -> DataFrame:
-    stream = as_stream(fx.upload_sessions(spark, sf), "sessions", 6, "uploaded_at")
-    return run_to_table(kpis.daily_session_kpis(stream), "daily")
+    path, start = to_table(spark, kpis.daily_session_kpis)
+    feed(halves(fx.upload_sessions(spark, sf), "uploaded_at"), "sessions", start)
+    return spark.read.schema("Date date, Flagged long, Total long").parquet(path)
 
 
 @query
 def r03_limited_stream(spark: SparkSession, sf: str) -> DataFrame:
     log = fx.audit_log(spark, sf).select("id", "uid", "created_at")
-    stream = as_stream(log, "log", 6, "created_at", "id")
-    limited = limiter.limited_stream(stream, ["uid"], "created_at", "id", LIMIT, PERIOD)
-    return run_to_table(limited, "limited").select("id", "uid", "allowed")
+    output, state, progress = folder(spark, "limited"), folder(spark, "state"), folder(spark, "progress")
+    feed(
+        halves(log, "created_at"),
+        "log",
+        lambda stream: limiter.limited_stream(
+            stream, ["uid"], "created_at", "id", LIMIT, PERIOD, output, state, progress
+        ),
+    )
+    return limiter.read_limited(spark, log.schema, output).select("id", "uid", "allowed")
 
 
 @query
@@ -812,10 +834,13 @@ def r04_scored_stream(spark: SparkSession, sf: str) -> DataFrame:
     cut = fo.path_cut(scored, BATCH.contamination)
     hospitals = ft.store_hospital_figures(claims)
     patients = materialize(ft.patient_figures(claims), "patients")
-    stream = as_stream(claims, "claims", 6)
     loaded = fo.Forest.load(spark, saved)
-    judged = scoring.scored_stream(stream, loaded, cut, hospitals, patients, "batch")
-    return run_to_table(judged.select("TransactionID", "ML_Anomaly", "Risk_Score", "Fraud_Flag", "Fraud_Type"), "judged")
+    wanted = ["TransactionID", "ML_Anomaly", "Risk_Score", "Fraud_Flag", "Fraud_Type"]
+    path, start = to_table(
+        spark, lambda stream: scoring.scored_stream(stream, loaded, cut, hospitals, patients, "batch").select(*wanted)
+    )
+    feed(halves(claims, "Admission_Timestamp"), "claims", start)
+    return spark.read.parquet(path)
 
 
 # --- End to end -------------------------------------------------------------

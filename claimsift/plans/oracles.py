@@ -566,9 +566,13 @@ def drawn(*parts: str) -> str:
 
 def samples() -> str:
     return f"""{FEATURES},
+numbered AS MATERIALIZED (SELECT *, row_number() OVER () AS rid, [{', '.join(FILLED)}] AS x FROM features),
+apart AS (
+  SELECT * FROM numbered QUALIFY row_number() OVER (
+    PARTITION BY TransactionID ORDER BY Final_Billed_Amount, Base_Package_Rate, Admission_Timestamp, PreAuth_Approval_Date NULLS FIRST) = 1),
 pool AS MATERIALIZED (
-  SELECT TransactionID AS id, [{', '.join(FILLED)}] AS x
-  FROM features ORDER BY md5(concat('{SEED}|0|', TransactionID)), TransactionID LIMIT {TREES * ROWS}),
+  SELECT TransactionID AS id, x
+  FROM apart ORDER BY md5(concat('{SEED}|0|', TransactionID)), TransactionID LIMIT {TREES * ROWS}),
 size AS (SELECT count(*) AS m, least({ROWS}, count(*)) AS psi FROM pool),
 deal AS (SELECT m, psi, greatest(1, least({TREES}, m // greatest(psi, 1))) AS per_lap FROM size),
 laps AS (SELECT unnest(range(cast(ceil({TREES} / per_lap) AS bigint))) AS lap FROM deal),
@@ -616,31 +620,30 @@ nodes{level} AS MATERIALIZED (
 
 
 def scored() -> str:
-    """Walk every claim down every tree, one join per level."""
-    parts = [
-        grown(),
-        f"walk0 AS (SELECT TransactionID, [{', '.join(FILLED)}] AS x, tree, 1 AS node FROM features, range({TREES}) t(tree))",
-    ]
+    """Walk every claim down every tree, level by level, until its leaf."""
+    parts = [grown(), f"walk0 AS MATERIALIZED (SELECT rid, tree, 1 AS node FROM numbered, range({TREES}) t(tree))"]
     for level in range(LEVELS):
         parts.append(
-            f"""walk{level + 1} AS (
-  SELECT w.TransactionID, w.x, w.tree,
-         CASE WHEN n.feature IS NULL THEN w.node ELSE 2 * w.node + CASE WHEN w.x[n.feature + 1] <= n.threshold THEN 0 ELSE 1 END END AS node
-  FROM walk{level} w LEFT JOIN nodes{level} n ON w.tree = n.tree AND w.node = n.node)"""
+            f"""walk{level + 1} AS MATERIALIZED (
+  SELECT w.rid, w.tree, 2 * w.node + CASE WHEN v.x[n.feature + 1] <= n.threshold THEN 0 ELSE 1 END AS node
+  FROM walk{level} w JOIN nodes{level} n ON w.tree = n.tree AND w.node = n.node JOIN numbered v ON v.rid = w.rid
+  WHERE n.feature IS NOT NULL)"""
         )
+    ends = " UNION ALL ".join(
+        f"SELECT w.rid, n.path_milli FROM walk{level} w JOIN nodes{level} n ON w.tree = n.tree AND w.node = n.node WHERE n.feature IS NULL"
+        for level in range(LEVELS + 1)
+    )
     parts.append(
         f"""paths AS MATERIALIZED (
-  SELECT TransactionID, cast(sum(path_milli) AS bigint) AS Path_Sum
-  FROM walk{LEVELS} w JOIN forest n ON w.tree = n.tree AND w.node = n.node WHERE n.feature IS NULL GROUP BY 1),
+  SELECT rid, any_value(TransactionID) AS TransactionID, cast(sum(path_milli) AS bigint) AS Path_Sum
+  FROM ({ends}) JOIN numbered USING (rid) GROUP BY rid),
 expected AS (SELECT 2 * (ln(cast(psi AS double) - 1) + cast(0.5772156649 AS double)) - 2 * (cast(psi AS double) - 1) / psi AS c FROM deal),
 cuts AS (
-  SELECT c AS Contamination,
-         (SELECT Path_Sum FROM paths ORDER BY Path_Sum
-          LIMIT 1 OFFSET (SELECT cast(ceil((count(*) - 1) * c) AS bigint) FROM paths)) AS Path_Cut
-  FROM (VALUES (cast({CONTAMINATION} AS double))) v(c)),
+  SELECT c AS Contamination, sums[1 + cast(ceil((len(sums) - 1) * c) AS bigint)] AS Path_Cut
+  FROM (VALUES (cast({CONTAMINATION} AS double))) v(c), (SELECT list(Path_Sum ORDER BY Path_Sum) AS sums FROM paths)),
 modelled AS (
   SELECT f.*, p.Path_Sum, CASE WHEN p.Path_Sum < (SELECT Path_Cut FROM cuts) THEN -1 ELSE 1 END AS ML
-  FROM features f JOIN paths p USING (TransactionID))"""
+  FROM numbered f JOIN paths p USING (rid))"""
     )
     return ",\n".join(parts)
 

@@ -1,49 +1,72 @@
-"""The sliding-window limiter of W01 as a stateful stream operator.
+"""The sliding-window limiter of W01 over a stream.
 
-State per key is the admitted times still inside the period, never more than
-the limit. Rows of a key in one micro-batch arrive as an iterator of frames;
-they must reach the stream in time order across micro-batches.
+Between micro-batches only the last admitted times of each key are kept, never
+more than the limit. They enter the next micro-batch as events, which the fold
+admits again, so a micro-batch is an ordinary replay: Spark sorts and spills,
+and a crowded key is never held in memory. Rows must arrive in time order
+across micro-batches; within one, any order will do.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from claimsift.operators.replay import SECOND, admit
+from claimsift.operators.replay import rate_limit_replay
+from claimsift.sources.files import path_exists
 
 
 def limited_stream(
-    events: DataFrame, keys: list[str], time: str, order: str, limit: int, period_seconds: int
-) -> DataFrame:
-    """Each event as (keys, order, time in micros, allowed)."""
-    period = period_seconds * SECOND
-    fields = [events.schema[c] for c in (*keys, order)]
-    output = T.StructType([*fields, T.StructField("_t", T.LongType()), T.StructField("allowed", T.BooleanType())])
-    state_type = T.StructType([T.StructField("admitted", T.ArrayType(T.LongType()))])
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        admitted = deque(state.get[0] if state.exists else [], maxlen=limit)
-        for frame in frames:
-            rows = frame.sort_values(["_t", order])
-            times = rows["_t"].to_numpy()
-            allowed = np.zeros(len(rows), dtype=bool)
-            admit(times, np.arange(len(rows)), allowed, admitted, limit, period)
-            yield rows.assign(allowed=allowed)[output.names]
-        state.update(([int(t) for t in admitted],))
-        state.setTimeoutDuration(max(period // 1000, 1000))
+    events: DataFrame,
+    keys: list[str],
+    time: str,
+    order: str,
+    limit: int,
+    period_seconds: int,
+    output: str,
+    state: str,
+    checkpoint: str,
+) -> StreamingQuery:
+    """Write each event with ``allowed`` under ``output``.
+
+    Output and state of a micro-batch go to folders named after its number, so
+    a micro-batch repeated after a failure overwrites what it wrote before.
+    """
+    columns = [*keys, time, order]
+    layout = T.StructType([events.schema[c] for c in columns])
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = last_state(spark, state, layout, batch_id)
+        both = batch.withColumn("_held", F.lit(False)).unionByName(
+            before.withColumn("_held", F.lit(True)), allowMissingColumns=True
+        )
+        replayed = rate_limit_replay(both, keys, time, order, limit, period_seconds)
+        replayed.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        written = spark.read.schema(replayed.schema).parquet(f"{output}/batch={batch_id}")
+        newest = Window.partitionBy(*keys).orderBy(F.desc(time), F.desc(order))
+        held = written.where("allowed").withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= limit)
+        held.select(*columns).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
 
     return (
-        events.withColumn("_t", F.unix_micros(time))
-        .select(*keys, order, "_t")
-        .groupBy(*keys)
-        .applyInPandasWithState(step, output, state_type, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        events.writeStream.foreachBatch(take)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def last_state(spark: SparkSession, state: str, layout: T.StructType, batch_id: int) -> DataFrame:
+    """Admitted times after the previous micro-batch, none before the first."""
+    path = f"{state}/batch={batch_id - 1}"
+    if batch_id > 0 and path_exists(spark, path):
+        return spark.read.schema(layout).parquet(path)
+    return spark.createDataFrame([], layout)
+
+
+def read_limited(spark: SparkSession, schema: T.StructType, output: str) -> DataFrame:
+    """The judged events of all micro-batches, without the ones held over."""
+    full = T.StructType(
+        [*schema.fields, T.StructField("_held", T.BooleanType()), T.StructField("allowed", T.BooleanType())]
     )
+    return spark.read.schema(full).parquet(output).where(~F.col("_held")).drop("_held", "batch")

@@ -22,10 +22,6 @@ def scored_stream(
 ) -> DataFrame:
     """Verdicts on streamed claims; the model's label is relative to the saved cut."""
     typed = ft.typed_claims(claims, profile)
-    looked_up = (
-        ft.claim_ratios(typed)
-        .join(hospitals.drop("_rows"), "Hospital_PIN", "left")
-        .join(patients.drop("_rows"), "PatientID", "left")
-    )
+    looked_up = ft.attach_patients(ft.attach_hospitals(ft.claim_ratios(typed), hospitals), patients)
     scored = forest.with_path(with_rules(looked_up, profile))
     return judged(scored.withColumn("ML_Anomaly", fo.anomaly_label(cut)), profile)
