@@ -14,13 +14,14 @@ from claimsift.operators.features import typed_claims
 BOM = "﻿"
 
 
-def read_claims_csv(spark: SparkSession, path: str, profile: str = "app") -> DataFrame:
+def read_claims_csv(spark: SparkSession, path: str, profile: str = "app", multi_line: bool = False) -> DataFrame:
     """A CSV file with a header, in any column order, in claim types.
 
     Cells are read as text, texts that mean "missing" become NULL, and known
-    columns are cast; a cell that does not fit its type is NULL.
+    columns are cast; a cell that does not fit its type is NULL. ``multi_line``
+    allows line breaks in quoted cells, at the price of one task per file.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=False, escape='"')
+    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
     clean = raw.select(*[missing_to_null(F.col(f"`{c}`")).alias(c.lstrip(BOM)) for c in raw.columns])
     return typed_claims(clean, profile)
 
@@ -78,5 +79,7 @@ def export_audit_csv(df: DataFrame, folder: str, as_of: datetime, bom: bool = Fa
     ready = export_ready(df)
     if bom and ready.columns:
         ready = ready.withColumnRenamed(ready.columns[0], BOM + ready.columns[0])
-    ready.write.csv(path, header=True, encoding="UTF-8", escape='"')
+    ready.write.csv(
+        path, header=True, encoding="UTF-8", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
     return path
