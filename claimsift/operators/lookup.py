@@ -19,6 +19,8 @@ HOT_KEYS = 1024
 HOT_ROWS = 200_000
 # Largest figure table (rows) that is broadcast whole, after it was counted.
 BROADCAST_ROWS = 1_000_000
+# The same for rows that carry texts.
+BROADCAST_WIDE_ROWS = 50_000
 
 
 def hottest(figures: DataFrame, rows: str, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from claimsift.functions.text import user_id_of
 from claimsift.operators import keyed
-from claimsift.operators.lookup import BROADCAST_ROWS
+from claimsift.operators.lookup import BROADCAST_ROWS, BROADCAST_WIDE_ROWS
 from claimsift.operators.summaries import for_user, fraud_queue
 from claimsift.schema import FRAUD_COLUMNS, TABLE_DEFAULTS, TABLE_KEYS, TABLES, has
 from claimsift.session import materialize
@@ -140,9 +140,13 @@ class ClaimStore:
             total = rows.count()
             return {"total": total, "new": total, "skipped": 0, "in_batch_duplicates": 0, "null_keys": 0}
         wanted = [c for c in df.columns if c in layout.names or c in (key, "TransactionID")]
-        reduced = materialize(keyed.one_per_key(df.select(*wanted), key, keyed.first_claim(df)), "intake")
-        small = reduced.count() <= BROADCAST_ROWS
-        marked = materialize(keyed.mark_known(reduced, self.read(table), key, small), "intake")
+        reduced = keyed.one_per_key(df.select(*wanted), key, keyed.first_claim(df))
+        if self.path(table) is None:
+            marked = materialize(reduced.withColumn("_known", F.lit(False)), "intake")
+        else:
+            reduced = materialize(reduced, "intake")
+            small = reduced.count() <= BROADCAST_ROWS
+            marked = materialize(keyed.mark_known(reduced, self.read(table), key, small), "intake")
         counts = keyed.intake_counts(marked).first().asDict()
         if counts["new"]:
             self.append(table, conform(keyed.accepted(marked), layout, defaults))
@@ -159,7 +163,7 @@ class ClaimStore:
         incoming = materialize(select_existing(reduced, self.schema(table).names), "upsert")
         written = incoming.count()
         if written:
-            small = written <= BROADCAST_ROWS
+            small = written <= BROADCAST_WIDE_ROWS
             merged = keyed.merged(self.read(table), incoming, key, defaults_of(table, now), small)
             self.replace(table, merged)
         return written
