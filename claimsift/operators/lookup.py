@@ -14,7 +14,7 @@ from claimsift.session import materialize
 
 # At most this many hot keys are broadcast; every other key holds fewer rows
 # than each of them, hence less than 1/HOT_KEYS of the table.
-HOT_KEYS = 1024
+HOT_KEYS = 100_000
 # A key below this row count is never worth a special path.
 HOT_ROWS = 200_000
 # Largest figure table (rows) that is broadcast whole, after it was counted.

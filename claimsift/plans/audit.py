@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from claimsift.functions import risk
 from claimsift.operators import features as ft, forest as fo, summaries as sm
-from claimsift.schema import CONTAMINATION, REPORT_COLUMNS, SEED, TREES, check_profile
+from claimsift.schema import CLAIM_TYPES, CONTAMINATION, REPORT_COLUMNS, SEED, TREES, check_profile
 from claimsift.session import materialize
 from claimsift.sources.tables import ClaimStore
 
@@ -76,6 +76,7 @@ def fit(claims: DataFrame, settings: Settings, hospitals: DataFrame | None = Non
     whole table.
     """
     typed = ft.typed_claims(claims, settings.profile)
+    typed = typed.select(*[c for c in typed.columns if c in CLAIM_TYPES])
     if hospitals is None:
         hospitals = ft.store_hospital_figures(typed)
     pool = fo.sample_pool(typed, settings.trees * fo.TREE_ROWS, settings.seed)

@@ -142,7 +142,7 @@ CASES = f"""{verdicts()},
 cases AS (
   SELECT PatientID, Age, Primary_Diagnosis, Final_Billed_Amount, Fraud_Type, AI_Justification, Risk_Score
   FROM verdicts WHERE Fraud_Flag = 1
-  QUALIFY row_number() OVER (PARTITION BY PatientID ORDER BY Risk_Score DESC, TransactionID) = 1)"""
+  QUALIFY row_number() OVER (PARTITION BY PatientID ORDER BY Risk_Score DESC, TransactionID, Final_Billed_Amount) = 1)"""
 
 
 def oracle(name: str, before: str, select: str) -> None:
@@ -175,7 +175,7 @@ STORED = f"""{CLAIMS},
 stored AS (
   SELECT *, CASE WHEN Admission_Timestamp < timestamp '{EARLIER}' THEN date '2023-01-01' ELSE date '{NOW[:10]}' END AS uploaded
   FROM claims
-  QUALIFY row_number() OVER (PARTITION BY PatientID ORDER BY Admission_Timestamp >= timestamp '{EARLIER}', TransactionID) = 1)"""
+  QUALIFY row_number() OVER (PARTITION BY PatientID ORDER BY Admission_Timestamp >= timestamp '{EARLIER}', TransactionID, Final_Billed_Amount) = 1)"""
 
 oracle(
     "s04_append_new",
@@ -194,7 +194,7 @@ cast(coalesce(sum(n - 1) FILTER (NOT old), 0) AS bigint) AS in_batch_duplicates,
 FLAGGED_ONE = """
 best AS (
   SELECT * FROM verdicts WHERE Fraud_Flag = 1
-  QUALIFY row_number() OVER (PARTITION BY PatientID ORDER BY Risk_Score DESC, TransactionID) = 1)"""
+  QUALIFY row_number() OVER (PARTITION BY PatientID ORDER BY Risk_Score DESC, TransactionID, Final_Billed_Amount) = 1)"""
 oracle(
     "s05_upsert",
     f"{verdicts()},{STORED.split(CLAIMS + ',')[1]},{FLAGGED_ONE}",

@@ -18,7 +18,7 @@ def test_query(spark, connection, name):
     ours = queries()[name](spark, SMALL).toArrow()
     assert len(set(ours.column_names)) == len(ours.column_names)
     if name in oracle_sql():
-        theirs = connection.execute(oracle_sql()[name]).to_arrow_table()
+        theirs = connection.sql(oracle_sql()[name]).to_arrow_table()
         assert differences(ours, theirs) == []
     else:
         assert ours.num_rows > 0
