@@ -10,6 +10,7 @@ from claimsift.functions import risk
 from claimsift.operators import features as ft, forest as fo, summaries as sm
 from claimsift.schema import CLAIM_TYPES, CONTAMINATION, REPORT_COLUMNS, SEED, TREES, check_profile
 from claimsift.session import materialize
+from claimsift.sources.files import load_first_nonempty, read_claims_csv
 from claimsift.sources.tables import ClaimStore
 
 # Input columns the report and its rules need; times are used up by the features.
@@ -33,6 +34,11 @@ class Settings:
     trees: int = TREES
     seed: int = SEED
 
+    def __post_init__(self) -> None:
+        check_profile(self.profile)
+        if not 0 < self.contamination <= 0.5:
+            raise ValueError("contamination must lie in (0, 0.5]")
+
 
 def ruled_claims(claims: DataFrame, profile: str = "app") -> DataFrame:
     """Typed claims with features, ``Rule_Fraud`` and the names of the rules."""
@@ -196,6 +202,26 @@ def audit_page(cases: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def startup_audit(store: ClaimStore, csv_path: str, uid: str | None, settings: Settings = Settings()) -> DataFrame | None:
+    """Audit a user's stored claims, else a CSV file, else nothing."""
+    claims = load_first_nonempty(
+        [lambda: store.read("claims", uid) if uid else None, lambda: read_claims_csv(store.spark, csv_path)]
+    )
+    return None if claims is None else audited(claims, settings)
+
+
+def settings_event(store: ClaimStore, settings: Settings, event_id: str, now: Column, uid: str = "guest") -> int:
+    """Log that a run used other settings."""
+    told = f"Updated sensitivity to {settings.contamination} and trees to {settings.trees}."
+    event = store.spark.range(1).select(
+        F.lit(event_id).alias("id"),
+        F.lit(uid).alias("uid"),
+        F.lit("Pipeline Configuration").alias("action"),
+        F.lit(told).alias("description"),
+    )
+    return store.log_audit_events(event, now)
+
+
 def process_upload(
     store: ClaimStore,
     batch: DataFrame,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from claimsift.functions.text import strip_symbols
@@ -42,7 +42,7 @@ def load_first_nonempty(sources: list) -> DataFrame | None:
             df = source()
             if df is not None and not df.isEmpty():
                 return df
-        except AnalysisException:
+        except PySparkException:
             continue
     return None
 

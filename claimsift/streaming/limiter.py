@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from pyspark.sql.streaming import StreamingQuery
 
 from claimsift.operators.replay import rate_limit_replay
-from claimsift.sources.files import path_exists
 
 
 def limited_stream(
@@ -58,10 +57,9 @@ def limited_stream(
 
 def last_state(spark: SparkSession, state: str, layout: T.StructType, batch_id: int) -> DataFrame:
     """Admitted times after the previous micro-batch, none before the first."""
-    path = f"{state}/batch={batch_id - 1}"
-    if batch_id > 0 and path_exists(spark, path):
-        return spark.read.schema(layout).parquet(path)
-    return spark.createDataFrame([], layout)
+    if batch_id == 0:
+        return spark.createDataFrame([], layout)
+    return spark.read.schema(layout).parquet(f"{state}/batch={batch_id - 1}")
 
 
 def read_limited(spark: SparkSession, schema: T.StructType, output: str) -> DataFrame:

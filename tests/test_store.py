@@ -176,3 +176,24 @@ def test_ingest_stream_equals_append_and_restarts(spark, tmp_path):
         stream = spark.readStream.schema(rows.schema).parquet(arrivals)
         ingest.ingest_stream(stream, streamed, now(), progress).awaitTermination()
     assert sorted(streamed.read("claims").collect()) == sorted(batch.read("claims").collect())
+
+
+def test_startup_takes_stored_claims_then_the_file(spark, small, store, tmp_path):
+    settings = au.Settings("app", trees=5)
+    path = str(tmp_path / "claims.csv")
+    assert au.startup_audit(store, path, "u", settings) is None
+    claims = fx.claims(spark, small).select("TransactionID", "PatientID", "Final_Billed_Amount")
+    claims.write.csv(path, header=True)
+    assert au.startup_audit(store, path, "u", settings).count() == 6000
+    store.append_new("claims", people(spark, *[(f"p{i}", i, float(i)) for i in range(20)]), now(), user_id="u")
+    verdicts = au.startup_audit(store, path, "u", settings)
+    assert verdicts.count() == 20 and verdicts.where("Fraud_Flag = 1").count() == 0
+    assert len(set(verdicts.columns)) == len(verdicts.columns)
+
+
+def test_settings_are_checked_and_logged(store):
+    with pytest.raises(ValueError):
+        au.Settings("app", contamination=0.6)
+    assert au.settings_event(store, au.Settings("app", 0.2, 50), "e1", now()) == 1
+    row = store.read("audit_log").first()
+    assert (row.uid, row.description) == ("guest", "Updated sensitivity to 0.2 and trees to 50.")
