@@ -179,14 +179,16 @@ def derive_features(claims: DataFrame, hospitals: DataFrame | None = None) -> Da
 def derive_sample_features(sample: DataFrame, claims: DataFrame, hospitals: DataFrame | None) -> DataFrame:
     """Features of a small sample, its figures taken from the whole table.
 
-    ``sample`` is limited by its caller, so the set of its patients may be
-    broadcast: the table is read once and only those patients are shuffled.
+    ``sample`` is limited by its caller, so the set of its patients and their
+    figures may be broadcast: the table is read once and only the claims of
+    those patients are shuffled, combined before that.
     """
-    patients = None
-    if countable(claims):
-        wanted = F.broadcast(sample.select("PatientID").distinct())
-        patients = patient_figures(claims.join(wanted, "PatientID", "left_semi"))
-    return attach_patients(attach_hospitals(claim_ratios(sample), hospitals), patients)
+    ratios = attach_hospitals(claim_ratios(sample), hospitals)
+    if not countable(claims):
+        return attach_patients(ratios, None)
+    wanted = F.broadcast(sample.select("PatientID").distinct())
+    figures = patient_figures(claims.join(wanted, "PatientID", "left_semi"))
+    return ratios.join(F.broadcast(figures.drop("_rows")), "PatientID", "left")
 
 
 def feature_columns(df: DataFrame, profile: str) -> list[str]:
