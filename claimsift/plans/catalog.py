@@ -43,6 +43,10 @@ def moment(text: str) -> Column:
 NOW = "2024-02-01 00:00:00"
 
 
+def day(column: str) -> Column:
+    return F.date_format(column, "yyyy-MM-dd")
+
+
 def folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
@@ -113,7 +117,7 @@ def appended(spark: SparkSession, sf: str) -> tuple[tb.ClaimStore, dict[str, int
 def s04_append_new(spark: SparkSession, sf: str) -> DataFrame:
     store, _ = appended(spark, sf)
     return store.read("claims").select(
-        "PatientID", "Age", "Final_Billed_Amount", "Fraud_Flag", F.to_date("uploaded_at").alias("uploaded")
+        "PatientID", "Age", "Final_Billed_Amount", "Fraud_Flag", day("uploaded_at").alias("uploaded")
     )
 
 
@@ -130,7 +134,7 @@ def s05_upsert(spark: SparkSession, sf: str) -> DataFrame:
     store, _ = appended(spark, sf)
     store.upsert("claims", result_claims(spark, sf).drop("Age"), moment(NOW))
     return store.read("claims").select(
-        "PatientID", "Age", "Final_Billed_Amount", "Fraud_Flag", "Fraud_Type", "Risk_Score", F.to_date("uploaded_at").alias("uploaded")
+        "PatientID", "Age", "Final_Billed_Amount", "Fraud_Flag", "Fraud_Type", "Risk_Score", day("uploaded_at").alias("uploaded")
     )
 
 
@@ -151,7 +155,7 @@ def s06_upsert_detected_frauds(spark: SparkSession, sf: str) -> DataFrame:
         "Fraud_Type",
         "Risk_Score",
         "user_id",
-        F.to_date("detected_at").alias("detected"),
+        day("detected_at").alias("detected"),
     )
 
 
@@ -162,7 +166,7 @@ def s07_log_upload_sessions(spark: SparkSession, sf: str) -> DataFrame:
     store.log_upload_sessions(sessions, moment(NOW))
     store.log_upload_sessions(sessions, moment(NOW))
     return store.read("upload_sessions").select(
-        "id", "uid", "user_id", "filename", "total_rows", "new_rows", "skipped_rows", F.to_date("uploaded_at").alias("uploaded")
+        "id", "uid", "user_id", "filename", "total_rows", "new_rows", "skipped_rows", day("uploaded_at").alias("uploaded")
     )
 
 
@@ -249,7 +253,7 @@ def s15_insert_defaults(spark: SparkSession, sf: str) -> DataFrame:
     )
     rows = tb.conform(found, tb.TABLES["detected_frauds"], tb.defaults_of("detected_frauds", moment(NOW)))
     return rows.select(
-        "PatientID", "Age", "Primary_Diagnosis", "Fraud_Type", "AI_Justification", "Risk_Score", F.to_date("detected_at").alias("detected")
+        "PatientID", "Age", "Primary_Diagnosis", "Fraud_Type", "AI_Justification", "Risk_Score", day("detected_at").alias("detected")
     )
 
 
@@ -258,17 +262,17 @@ def s15_insert_defaults(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p01_parse_timestamps(spark: SparkSession, sf: str) -> DataFrame:
-    day = F.date_format("Admission_Timestamp", "MM/dd/yyyy")
+    american = F.date_format("Admission_Timestamp", "MM/dd/yyyy")
     iso = F.date_format("Discharge_Timestamp", "yyyy-MM-dd HH:mm:ss")
     texts = fx.claims(spark, sf).select(
         "TransactionID",
-        F.when(F.col("Gender") == "Male", day).otherwise(F.lit("not a date")).alias("Admission_Timestamp"),
+        F.when(F.col("Gender") == "Male", american).otherwise(F.lit("not a date")).alias("Admission_Timestamp"),
         iso.alias("Discharge_Timestamp"),
     )
     parsed = ft.parse_timestamps(texts)
     return parsed.select(
         "TransactionID",
-        F.to_date("Admission_Timestamp").alias("admitted"),
+        day("Admission_Timestamp").alias("admitted"),
         F.date_format("Discharge_Timestamp", "yyyy-MM-dd HH:mm:ss").alias("discharged"),
     )
 
@@ -473,17 +477,17 @@ def a07_activity_by_user(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def a08_daily_trend(spark: SparkSession, sf: str) -> DataFrame:
-    return sm.daily_trend(fx.upload_sessions(spark, sf))
+    return sm.daily_trend(fx.upload_sessions(spark, sf)).withColumn("Date", day("Date"))
 
 
 @query
 def a08_daily_trend_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return sm.daily_trend(fx.upload_sessions(spark, sf), newest=None)
+    return sm.daily_trend(fx.upload_sessions(spark, sf), newest=None).withColumn("Date", day("Date"))
 
 
 @query
 def a08_daily_trend_n_days(spark: SparkSession, sf: str) -> DataFrame:
-    return sm.daily_trend(fx.upload_sessions(spark, sf), n_days=7)
+    return sm.daily_trend(fx.upload_sessions(spark, sf), n_days=7).withColumn("Date", day("Date"))
 
 
 @query
@@ -807,7 +811,7 @@ def r01_ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
 def r02_daily_session_kpis(spark: SparkSession, sf: str) -> DataFrame:
     path, start = to_table(spark, kpis.daily_session_kpis)
     feed(halves(fx.upload_sessions(spark, sf), "uploaded_at"), "sessions", start)
-    return spark.read.schema("Date date, Flagged long, Total long").parquet(path)
+    return spark.read.schema("Date date, Flagged long, Total long").parquet(path).withColumn("Date", day("Date"))
 
 
 @query

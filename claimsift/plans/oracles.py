@@ -173,7 +173,7 @@ oracle("s03_load_first_nonempty", CLAIMS, "SELECT TransactionID, Final_Billed_Am
 
 STORED = f"""{CLAIMS},
 stored AS (
-  SELECT *, CASE WHEN Admission_Timestamp < timestamp '{EARLIER}' THEN date '2023-01-01' ELSE date '{NOW[:10]}' END AS uploaded
+  SELECT *, CASE WHEN Admission_Timestamp < timestamp '{EARLIER}' THEN '2023-01-01' ELSE '{NOW[:10]}' END AS uploaded
   FROM claims
   QUALIFY row_number() OVER (PARTITION BY PatientID ORDER BY Admission_Timestamp >= timestamp '{EARLIER}', TransactionID, Final_Billed_Amount) = 1)"""
 
@@ -206,14 +206,14 @@ oracle(
     "s06_upsert_detected_frauds",
     CASES,
     "SELECT PatientID, Age, Primary_Diagnosis, Final_Billed_Amount, Fraud_Type, Risk_Score, 'analyst' AS user_id, "
-    f"date '{NOW[:10]}' AS detected FROM cases",
+    f"'{NOW[:10]}' AS detected FROM cases",
 )
 oracle(
     "s07_log_upload_sessions",
     SESSIONS,
     "SELECT cast(id AS varchar) AS id, uid, CASE WHEN length(uid) > 20 THEN uid END AS user_id, filename, "
     "cast(total_rows AS bigint) AS total_rows, cast(new_rows AS bigint) AS new_rows, "
-    f"cast(skipped_rows AS bigint) AS skipped_rows, date '{NOW[:10]}' AS uploaded FROM sessions",
+    f"cast(skipped_rows AS bigint) AS skipped_rows, '{NOW[:10]}' AS uploaded FROM sessions",
 )
 oracle(
     "s08_log_audit_events",
@@ -258,7 +258,7 @@ oracle(
     "s15_insert_defaults",
     CLAIMS,
     f"""SELECT PatientID, Age, CASE WHEN Gender = 'Male' THEN Primary_Diagnosis ELSE '' END AS Primary_Diagnosis,
-'Anomalous' AS Fraud_Type, '' AS AI_Justification, cast(0 AS double) AS Risk_Score, date '{NOW[:10]}' AS detected FROM claims""",
+'Anomalous' AS Fraud_Type, '' AS AI_Justification, cast(0 AS double) AS Risk_Score, '{NOW[:10]}' AS detected FROM claims""",
 )
 
 # --- Projections ------------------------------------------------------------
@@ -266,7 +266,7 @@ oracle(
 oracle(
     "p01_parse_timestamps",
     CLAIMS,
-    f"""SELECT TransactionID, CASE WHEN Gender = 'Male' THEN cast(Admission_Timestamp AS date) END AS admitted,
+    f"""SELECT TransactionID, CASE WHEN Gender = 'Male' THEN strftime(Admission_Timestamp, '%Y-%m-%d') END AS admitted,
 {STAMP.format('Discharge_Timestamp')} AS discharged FROM claims""",
 )
 for name, column in [("p02_los", "LOS"), ("p03_preauth_delay", "PreAuth_Delay"), ("p04_cost_to_package", "Cost_to_Package")]:
@@ -361,7 +361,7 @@ oracle(
     "SELECT user_id AS account, cast(sum(total_rows) AS bigint) AS total_claims, cast(sum(fraud_detected) AS bigint) AS total_frauds "
     "FROM sessions WHERE user_id IS NOT NULL GROUP BY 1",
 )
-TREND = """SELECT cast(uploaded_at AS date) AS Date, cast(sum(fraud_detected) AS bigint) AS Flagged,
+TREND = """SELECT strftime(uploaded_at, '%Y-%m-%d') AS Date, cast(sum(fraud_detected) AS bigint) AS Flagged,
 cast(sum(total_rows) AS bigint) AS Total FROM {0} GROUP BY 1 ORDER BY 1"""
 NEWEST = "newest AS (SELECT * FROM sessions ORDER BY uploaded_at DESC, id DESC LIMIT 100)"
 oracle("a08_daily_trend", f"{SESSIONS},\n{NEWEST}", TREND.format("newest"))
