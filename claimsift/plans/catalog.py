@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from claimsift.functions import risk, text as tx, values as vl
 from claimsift.operators import context, features as ft, forest as fo, keyed, replay, summaries as sm
 from claimsift.plans import audit as au
-from claimsift.schema import REPORT_COLUMNS
+from claimsift.schema import FRAUD_COLUMNS, REPORT_COLUMNS
 from claimsift.session import materialize, shared_folder
 from claimsift.sources import files, fixtures as fx, tables as tb
 from claimsift.streaming import ingest, kpis, limiter, scoring
@@ -61,9 +61,8 @@ def verdicts(spark: SparkSession, sf: str, profile: str = "app") -> DataFrame:
 
 def cases(spark: SparkSession, sf: str) -> DataFrame:
     """Detected frauds: flagged claims, the riskiest one of each patient."""
-    found = sm.flagged(verdicts(spark, sf))
-    reduced = keyed.one_per_key(found, "PatientID", keyed.riskiest_claim(found))
-    return reduced.select("PatientID", "Age", "Primary_Diagnosis", "Final_Billed_Amount", "Fraud_Type", "AI_Justification", "Risk_Score")
+    found = tb.select_existing(sm.flagged(verdicts(spark, sf)), [*FRAUD_COLUMNS, "TransactionID"])
+    return keyed.one_per_key(found, "PatientID", keyed.riskiest_claim(found)).drop("_key", "_copies", "TransactionID")
 
 
 def earlier(claims: DataFrame) -> DataFrame:

@@ -158,7 +158,8 @@ class ClaimStore:
         Of several rows of one key the riskiest counts. Returns the keys written.
         """
         key = key or self.key(table)
-        df = stamp_user(df, user_id)
+        wanted = dict.fromkeys([key, *self.schema(table).names, "TransactionID", "Risk_Score"])
+        df = select_existing(stamp_user(df, user_id), list(wanted))
         reduced = keyed.one_per_key(df, key, keyed.riskiest_claim(df)).where(F.col("_key").isNotNull())
         incoming = materialize(select_existing(reduced, self.schema(table).names), "upsert")
         written = incoming.count()

@@ -6,7 +6,7 @@ nothing is fitted while the stream runs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from claimsift.operators import features as ft, forest as fo
 from claimsift.plans.audit import judged, with_rules
