@@ -727,3 +727,38 @@ oracle(
     f"""SELECT PatientID, Primary_Diagnosis, concat(Age, ' yrs') AS Age_Label, {rupees("Final_Billed_Amount")} AS Amount_Label,
 concat(cast(trunc(Risk_Score * 100) AS int), '% RISK') AS Risk_Label, Fraud_Type, AI_Justification FROM cases""",
 )
+
+
+def upload(earlier_only: bool) -> str:
+    """One upload's verdicts: the app profile with the model fitted on that batch."""
+    text = modelled_verdicts("app")
+    app_order = [FILLED[i] for i in (0, 2, 1, 3, 4, 5, 6)]
+    text = text.replace(", ".join(FILLED), ", ".join(app_order))
+    if earlier_only:
+        admitted = "o_orderdate + to_hours(cast(l_linenumber * 3 AS int))"
+        text = text.replace("ON l_partkey = p_partkey)", f"ON l_partkey = p_partkey WHERE {admitted} < timestamp '{EARLIER}')")
+    return f"(WITH {text}\nSELECT TransactionID, PatientID, Fraud_Flag, Final_Billed_Amount FROM verdicts)"
+
+
+def upload_row(number: int, filename: str, known: str) -> str:
+    """The session row of an upload; ``known`` counts the claims stored before it."""
+    batch = f"u{number}"
+    return f"""SELECT '{batch}' AS id, '{filename}' AS filename, count(*) AS total_rows,
+count(DISTINCT TransactionID) - ({known}) AS new_rows,
+count(*) FILTER (TransactionID IN (SELECT TransactionID FROM stored{number})) AS skipped_rows,
+count(*) FILTER (Fraud_Flag = 1) AS fraud_detected, {HIT.replace('verdicts', batch)} AS suspicious_amt,
+(SELECT count(DISTINCT TransactionID) FROM u2) AS claims_stored,
+(SELECT count(*) FROM (SELECT PatientID FROM u1 WHERE Fraud_Flag = 1 UNION SELECT PatientID FROM u2 WHERE Fraud_Flag = 1)) AS cases_stored,
+cast(2 AS bigint) AS log_entries FROM {batch}"""
+
+
+oracle(
+    "e02_process_upload",
+    f"""u1 AS MATERIALIZED {upload(True)},
+u2 AS MATERIALIZED {upload(False)},
+stored1 AS (SELECT TransactionID FROM u1 WHERE false),
+stored2 AS (SELECT DISTINCT TransactionID FROM u1)""",
+    upload_row(1, "first.csv", "SELECT 0")
+    + "\nUNION ALL "
+    + upload_row(2, "second.csv", "SELECT count(*) FROM stored2"),
+)
