@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from claimsift.operators.lookup import attach_spread
 
 SECOND = 1_000_000
+# Events without a time count as made at the start of year 1, before all others.
+NO_TIME = -62_135_596_800 * SECOND
 
 # Requests per period and period in seconds of the known endpoints.
 LIMITS = {"login": (5, 60), "register": (3, 60), "ai_query": (10, 60)}
@@ -82,7 +84,7 @@ def rate_limit_replay(
 ) -> DataFrame:
     """Every event with ``allowed``; ``order`` breaks ties in time."""
     period = period_seconds * SECOND
-    timed = events.withColumns({"_key": F.to_json(F.struct(*keys)), "_t": F.unix_micros(time)})
+    timed = events.withColumns({"_key": F.to_json(F.struct(*keys)), "_t": F.coalesce(F.unix_micros(time), F.lit(NO_TIME))})
     placed = segments(timed, period, order)
     arranged = placed.repartition("_key", "_segment").sortWithinPartitions("_key", "_segment", "_t", order)
     schema = T.StructType([*placed.schema.fields, T.StructField("allowed", T.BooleanType())])

@@ -52,6 +52,16 @@ def test_a_segment_may_span_frames_and_slots_may_be_hot(spark, monkeypatch):
     assert got == loop(events, 3, 60)
 
 
+def test_events_without_time_disturb_no_others(spark):
+    raw = [("a", s) for s in (0, 1, 2, 3, 100)]
+    events = events_of(raw)
+    extra = [(10 + i, "a", None) for i in range(3)]
+    df = spark.createDataFrame(events + extra, SCHEMA)
+    got = {r.id: r.allowed for r in replay.rate_limit_replay(df, ["user"], "at", "id", 2, 60).collect()}
+    assert {k: v for k, v in got.items() if k < 10} == loop(events, 2, 60)
+    assert [got[k] for k in (10, 11, 12)] == [True, True, False]
+
+
 def test_stream_in_several_runs_equals_loop(spark, tmp_path):
     raw = sorted([("a" if i % 4 else "b", (i * 53) % 900) for i in range(300)], key=lambda e: e[1])
     events = events_of(raw)
@@ -76,6 +86,13 @@ def test_context_is_the_last_turns_whatever_the_chunk(spark):
                 assert got[c, t] == [f"{c}/{x}" for x in turns[max(0, i - 5) : i + 1]]
 
 
+def test_rows_without_conversation_or_turn_are_kept(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "user", "b"), (1, None, "user", "c"), (1, 0, "user", "d")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.text: [m.content for m in r.context] for r in context.chat_context(df).collect()}
+    assert got == {"a": ["a"], "b": ["a", "b"], "c": ["c"], "d": ["c", "d"]}
+
+
 def test_roles(spark):
     df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "bot", "a")], "conv_id long, turn long, role string, text string")
     last = context.chat_context(df).orderBy(F.desc("turn")).first()
