@@ -5,10 +5,15 @@
 
 from __future__ import annotations
 
-from claimsift.llm import tokenfile
+from claimsift.llm import bpe, mixing, offsets, tokenfile
 
 QUERIES = {
+    "op5_source_schedule": mixing.query,
+    "op6_token_attribution": offsets.query,
     "op9_token_files": tokenfile.query,
+    "op10_tree_bpe": bpe.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op5_source_schedule": mixing.ORACLE,
+}
