@@ -31,6 +31,10 @@ SLICE_BYTES = 8_000_000
 
 # Words whose pieces are known without the library's own splitting.
 _WORD = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+# Marks that join the letter before them, and what begins a special token:
+# there, even the case of a letter may matter before the library has seen it.
+_MARKED = "[\u0300-\u036f]|<\\|"
+_STOPS = "([a-zß-öø-ÿ])([.,])"
 _RUNS = f"[{SPACE}]+"
 _PARTS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
@@ -106,6 +110,8 @@ class ChunkEncoder:
 
     def pieces(self, word: str) -> list[int] | None:
         """The ids of a plain word by the library's merges; None for any other text."""
+        if word.isascii() and word.isalpha() and len(word) <= KEPT_CHARS:
+            return [t.id for t in self.model.tokenize(word if self.spaces else word.lower())]
         found = _WORD.fullmatch(word)
         if not found or len(word) > KEPT_CHARS:
             return None
@@ -126,18 +132,23 @@ class ChunkEncoder:
 
     def learn(self, chunks: list[str]) -> None:
         """Encode chunks that are not known yet."""
-        known: list[tuple[str, list[int], list[tuple[int, int]]]] = []
-        others = []
+        known, lengths, flat, spans, others = [], [], [], [], []
         for chunk in chunks:
             ids = None if self.offsets else self.pieces(chunk)
             if ids is None:
                 others.append(chunk)
             else:
-                known.append((chunk, ids, []))
+                known.append(chunk)
+                lengths.append(len(ids))
+                flat += ids
         for a in range(0, len(others), 4096):
             part = others[a : a + 4096]
-            known.extend((c, i, s) for c, (i, s) in zip(part, self.encoded(part)))
-        need = self.used + sum(len(ids) for _, ids, _ in known)
+            known += part
+            for ids, covered in self.encoded(part):
+                lengths.append(len(ids))
+                flat += ids
+                spans += covered
+        need = self.used + len(flat)
         if need > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(need, len(self.ids)), dtype=np.int32)])
             if self.offsets:
@@ -146,18 +157,22 @@ class ChunkEncoder:
         if count > len(self.starts):
             more = np.zeros(max(count, len(self.starts)), dtype=np.int64)
             self.starts, self.lengths = np.concatenate([self.starts, more]), np.concatenate([self.lengths, more])
-        for chunk, ids, spans in known:
-            code = self.codes[chunk] = self.known
-            self.known, n = self.known + 1, len(ids)
-            self.starts[code], self.lengths[code] = self.used, n
-            self.ids[self.used : self.used + n] = ids
-            if self.offsets and n:
-                self.spans[self.used : self.used + n] = spans
-            self.used += n
+        self.ids[self.used : need] = flat
+        if self.offsets and spans:
+            self.spans[self.used : need] = spans
+        sizes = np.array(lengths, dtype=np.int64)
+        self.starts[self.known : count] = self.used + np.cumsum(sizes) - sizes
+        self.lengths[self.known : count] = sizes
+        self.codes.update(zip(known, range(self.known, count)))
+        self.known, self.used = count, need
 
     def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """All chunks, and how many each text has."""
         if not self.spaces:
+            if not pc.any(pc.match_substring_regex(texts, _MARKED)).as_py():
+                # Fewer distinct words: case goes anyway, and a point or comma
+                # behind a letter begins a piece of its own.
+                texts = pc.replace_substring_regex(pc.ascii_lower(texts), _STOPS, r"\1 \2")
             lists = pc.ascii_split_whitespace(texts)
         elif pc.any(pc.match_substring(texts, MARK)).as_py():
             lists = pa.array([_PARTS.findall(t) for t in texts.to_pylist()], pa.list_(pa.string()))

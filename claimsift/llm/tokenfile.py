@@ -60,9 +60,18 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out
 
 
+def width(path: str, end_id: int = END_ID) -> int:
+    """Bytes that hold any id while it waits for its rank."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return 2 if max(end_id, *tokenizer.get_vocab().values()) < 1 << 16 else 4
+
+
 def encoded(docs: DataFrame, path: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
     """``(doc_id, ids)``: the ids of each whole text with ``end_id`` behind, as
-    little-endian unsigned 32-bit integers. A null text is an empty one."""
+    little-endian unsigned integers of ``width`` bytes. A null text is empty."""
+    size = width(path, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = chunks.encoder(path, spaces=False)
@@ -70,24 +79,24 @@ def encoded(docs: DataFrame, path: str = TOKENIZER, end_id: int = END_ID) -> Dat
             for part in chunks.slices(batch, "text"):
                 out = coder.encode(part.column(1))
                 ends = np.cumsum(out["counts"])
-                ids = np.insert(out["ids"], ends, end_id).astype("<u4")
+                ids = np.insert(out["ids"], ends, end_id).astype(f"<u{size}")
                 edges = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
                 raw = pa.Array.from_buffers(
-                    pa.large_binary(), part.num_rows, [None, pa.py_buffer((edges * 4).astype(np.int64)), pa.py_buffer(ids)]
+                    pa.large_binary(), part.num_rows, [None, pa.py_buffer((edges * size).astype(np.int64)), pa.py_buffer(ids)]
                 )
                 yield pa.RecordBatch.from_arrays([part.column(0), raw.cast(pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def frequencies(ids: DataFrame) -> DataFrame:
+def frequencies(ids: DataFrame, size: int) -> DataFrame:
     """``(id, n)`` over all documents, counted in each batch first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = b"".join(x for x in batch.column(0).to_pylist())
-            found, n = np.unique(np.frombuffer(raw, "<u4"), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], ["id", "n"])
+            n = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), f"<u{size}"))
+            found = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[found])], ["id", "n"])
 
     return ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
@@ -102,7 +111,8 @@ def write(docs: DataFrame, folder: str, path: str = TOKENIZER, end_id: int = END
     table gives an empty folder of blocks.
     """
     ids = stored(encoded(docs, path, end_id), "token-ids")
-    counted = frequencies(ids).orderBy(F.desc("n"), "id")
+    size = width(path, end_id)
+    counted = frequencies(ids, size).orderBy(F.desc("n"), "id")
     vocabulary = np.array([r.id for r in counted.select("id").collect()], dtype=np.uint32)
     spark = docs.sparkSession
     spark.createDataFrame([(i, int(v)) for i, v in enumerate(vocabulary)], "rank int, id long").coalesce(1).write.parquet(f"{folder}/vocabulary")
@@ -113,12 +123,12 @@ def write(docs: DataFrame, folder: str, path: str = TOKENIZER, end_id: int = END
         shard, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             keys, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            lengths = np.array([len(x) // 4 for x in raw], dtype=np.int64)
+            lengths = np.array([len(x) // size for x in raw], dtype=np.int64)
             ends, a = np.cumsum(lengths), 0
             while a < len(raw):
                 base = int(ends[a] - lengths[a])
                 b = max(a + 1, int(np.searchsorted(ends, base + BLOCK_IDS, "right")))
-                control, data = pack(ranks[np.frombuffer(b"".join(raw[a:b]), "<u4")])
+                control, data = pack(ranks[np.frombuffer(b"".join(raw[a:b]), f"<u{size}")])
                 row = [shard, start, keys[a:b], lengths[a:b].tolist(), control, data]
                 types = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays(
