@@ -5,15 +5,18 @@
 
 from __future__ import annotations
 
-from claimsift.llm import bpe, mixing, offsets, tokenfile
+from claimsift.llm import bpe, curves, mixing, offsets, pivots, tokenfile
 
 QUERIES = {
+    "op1_curve_neighbours": curves.query,
     "op5_source_schedule": mixing.query,
     "op6_token_attribution": offsets.query,
+    "op8_pivot_topk": pivots.query,
     "op9_token_files": tokenfile.query,
     "op10_tree_bpe": bpe.query,
 }
 
 ORACLES = {
     "op5_source_schedule": mixing.ORACLE,
+    "op8_pivot_topk": pivots.ORACLE,
 }
