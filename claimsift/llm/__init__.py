@@ -5,10 +5,11 @@
 
 from __future__ import annotations
 
-from claimsift.llm import bpe, curves, mixing, offsets, pivots, tokenfile
+from claimsift.llm import bpe, curves, mixing, offsets, pivots, tokenfile, warc
 
 QUERIES = {
     "op1_curve_neighbours": curves.query,
+    "op2_warc_archive": warc.query,
     "op5_source_schedule": mixing.query,
     "op6_token_attribution": offsets.query,
     "op8_pivot_topk": pivots.query,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_warc_archive": warc.ORACLE,
     "op5_source_schedule": mixing.ORACLE,
     "op8_pivot_topk": pivots.ORACLE,
 }
