@@ -5,12 +5,13 @@
 
 from __future__ import annotations
 
-from claimsift.llm import bpe, curves, mixing, offsets, pivots, quality, tokenfile, warc
+from claimsift.llm import bpe, curves, linedup, mixing, offsets, pivots, quality, tokenfile, warc
 
 QUERIES = {
     "op1_curve_neighbours": curves.query,
     "op2_warc_archive": warc.query,
     "op3_quality_attention": quality.query,
+    "op4_line_dedup": linedup.query,
     "op5_source_schedule": mixing.query,
     "op6_token_attribution": offsets.query,
     "op8_pivot_topk": pivots.query,
