@@ -58,23 +58,24 @@ def probes(limit: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def keys(text: Column, limit: int = LIMIT, least: int = LEAST) -> Column:
-    """The keys a line is known by: ``(key, probe)`` with its place in ``probes``.
+def keyed(texts: DataFrame, limit: int = LIMIT, least: int = LEAST) -> DataFrame:
+    """Lines ``(line_id, text, n)`` under every key they are known by, with the place
+    of the key's substring in ``probes``.
 
     A line's own segments are the probes for equal length without a shift.
     """
-    n = F.char_length(text)
-    parts, found = limit + 1, []
-    for i, (less, k, shift) in enumerate(probes(limit)):
-        length = n - less
-        size = F.floor(length / parts).cast("int")
-        more = length % parts
-        start = size * k + F.greatest(F.lit(0), more - (parts - k))
-        size = size + (more >= parts - k).cast("int")
-        at = start + shift
-        key = F.xxhash64(length * parts + k, F.substring(text, at + 1, size))
-        found.append(F.when((length >= least) & (at >= 0) & (at + size <= n), F.struct(key.alias("key"), F.lit(i).cast("short").alias("probe"))))
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+    parts = limit + 1
+    struct = "struct<probe:int,less:int,k:int,shift:int>"
+    table_ = F.array(*[F.struct(F.lit(i), *map(F.lit, p)).cast(struct) for i, p in enumerate(probes(limit))])
+    spread = texts.select("line_id", "text", "n", F.explode(table_).alias("p"))
+    length, k = F.col("n") - F.col("p.less"), F.col("p.k")
+    base, more = F.floor(length / parts).cast("int"), length % parts
+    size = base + (k >= parts - more).cast("int")
+    at = base * k + F.greatest(F.lit(0), k - (parts - more)) + F.col("p.shift")
+    spread = spread.select("line_id", "text", "n", F.col("p.probe").alias("probe"), length.alias("length"), k.alias("k"), at.alias("at"), size.alias("size"))
+    spread = spread.where((F.col("length") >= least) & (F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n")))
+    key = F.xxhash64(F.col("length") * parts + F.col("k"), F.substring("text", F.col("at") + 1, F.col("size")))
+    return spread.select("line_id", "text", key.alias("key"), "probe")
 
 
 def first_meeting(long: str, short: str, order: list[tuple[int, int, int]], limit: int) -> int:
@@ -166,8 +167,10 @@ def lines(docs: DataFrame) -> DataFrame:
     stripped of blanks at both ends, numbered from 0 among all lines. ``row``
     names the document by id and text, ``id`` the line by its text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), F.posexplode(F.split(text, "\n", -1)).alias("line", "text"))
-    rows = rows.withColumn("text", F.trim(F.regexp_replace("text", r"^[\t\r ]+|[\t\r ]+$", ""))).where("text <> ''")
+    # The name is made before, or it would be made anew for every line.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), text.alias("text"))
+    rows = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    rows = rows.withColumn("text", F.btrim("text", F.lit("\t\r "))).where("text <> ''")
     return rows.select("doc_id", "row", F.col("line").cast("int").alias("line"), digest128(F.col("text")).alias("id"), "text")
 
 
@@ -186,12 +189,11 @@ def _links(found: list[tuple[int, str, int, str]], probe: np.ndarray, order: lis
 
 
 def links(texts: DataFrame, limit: int = LIMIT, least: int = LEAST, small: int = SMALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Links of distinct lines ``(line_id, text)``: ``(a, b)`` pairs that connect all
+    """Links of distinct lines ``(line_id, text, n)``: ``(a, b)`` pairs that connect all
     that is linked, and ``(line_id, n_links)``, the number of all links of a line."""
     order = probes(limit)
     own = [i for i, (less, _, shift) in enumerate(order) if less == 0 and shift == 0]
-    spread = texts.where(F.char_length("text") >= least).select("line_id", "text", F.explode(keys(F.col("text"), limit, least)).alias("k"))
-    spread = spread.select("line_id", "text", F.col("k.key").alias("key"), F.col("k.probe").alias("probe"), F.col("k.probe").isin(own).alias("indexed"))
+    spread = keyed(texts.where(F.col("n") >= least), limit, least).withColumn("indexed", F.col("probe").isin(own))
     # Segments under which a line is indexed and another one found.
     shared = spread.groupBy("key").agg(F.min("line_id").alias("lo"), F.max("line_id").alias("hi"), F.max("indexed").alias("indexed"), F.count("*").alias("m"))
     shared = stored(shared.where("lo <> hi AND indexed").select(F.col("key").alias("_key"), "m"), "line-keys")
@@ -279,8 +281,8 @@ def classes(docs: DataFrame, limit: int = LIMIT, least: int = LEAST) -> DataFram
     all_lines = lines(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("line").alias("c"))).alias("first")
     texts = all_lines.groupBy("id").agg(first, F.min("text").alias("text"))
-    texts = stored(texts.withColumn("line_id", F.monotonically_increasing_id()), "line-texts")
-    connected, counted = links(texts.select("line_id", "text"), limit, least)
+    texts = stored(texts.withColumns({"line_id": F.monotonically_increasing_id(), "n": F.char_length("text")}), "line-texts")
+    connected, counted = links(texts.select("line_id", "text", "n"), limit, least)
     members = components(connected, "line")
     named = members.join(texts.select(F.col("line_id").alias("id"), "first"), "id")
     names = named.groupBy("component").agg(F.min("first").alias("class_first"))
