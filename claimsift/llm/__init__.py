@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from claimsift.llm import bpe, curves, linedup, mixing, offsets, pivots, quality, tokenfile, warc
+from claimsift.llm import bpe, curves, linedup, minmax, mixing, offsets, pivots, quality, tokenfile, warc
 
 QUERIES = {
     "op1_curve_neighbours": curves.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op4_line_dedup": linedup.query,
     "op5_source_schedule": mixing.query,
     "op6_token_attribution": offsets.query,
+    "op7_minmax_duplicates": minmax.query,
     "op8_pivot_topk": pivots.query,
     "op9_token_files": tokenfile.query,
     "op10_tree_bpe": bpe.query,
@@ -22,5 +23,6 @@ QUERIES = {
 ORACLES = {
     "op2_warc_archive": warc.ORACLE,
     "op5_source_schedule": mixing.ORACLE,
+    "op7_minmax_duplicates": minmax.ORACLE,
     "op8_pivot_topk": pivots.ORACLE,
 }

@@ -199,6 +199,20 @@ def mix(docs: DataFrame, key: Column | None = None) -> DataFrame:
     return whole.select(*out).union(empty.select(*out))
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of the mix: each row of ``docs`` as often as ``copies`` says.
+
+    Whole documents stand for the words taken of them: a pass over a source
+    gives those whose first word lies in a block that is taken.
+    """
+    key = F.unhex(F.md5(F.to_json(F.struct(*[F.col(c) for c in docs.columns])).cast("binary")))
+    taken = mix(docs, key).where("copies > 0").groupBy("key").agg(F.sum("copies").alias("_copies"))
+    taken = taken.withColumnRenamed("key", "_taken")
+    # Rows that are alike are put together first; their copies are added up.
+    rows = docs.withColumn("_key", key).join(taken, F.col("_key") == F.col("_taken")).dropDuplicates(["_key"])
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+
+
 def query(spark: SparkSession, folder: str) -> DataFrame:
     """op5: the mix of all documents."""
     return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -38,7 +38,9 @@ _KIND[ord("A") : ord("Z") + 1] = 2
 _KIND[ord("0") : ord("9") + 1] = 3
 _KIND[[ord("."), ord(",")]] = 4
 _KIND[128:] = 6
-_POWERS = np.cumprod(np.concatenate([[1], np.full(63, 0x9E3779B97F4A7C15, dtype=np.uint64)]).astype(np.uint64), dtype=np.uint64)
+_POWERS = np.full(64, 0x9E3779B97F4A7C15, dtype=np.uint64)
+_POWERS[0] = 1
+_POWERS = np.cumprod(_POWERS, dtype=np.uint64)
 
 FEATURES = 7 + 5 + BUCKETS
 
