@@ -309,11 +309,11 @@ shingles AS (
   FROM texts),
 sizes AS (SELECT t.doc_id, count(s) AS n FROM texts t LEFT JOIN shingles USING (doc_id) GROUP BY t.doc_id),
 pairs AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_shared
   FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
 links AS (
   SELECT a, b FROM pairs JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
-  WHERE 100 * both >= {PERCENT} * (x.n + y.n - both)),
+  WHERE 100 * n_shared >= {PERCENT} * (x.n + y.n - n_shared)),
 reached(doc_id, other) AS (
   SELECT a, b FROM links UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a),
 named AS (SELECT doc_id, min(other) AS other FROM reached GROUP BY doc_id)
