@@ -125,6 +125,18 @@ def tree(text: str, parts: list[Part], encode, specials: list[str], window: int
     return parts[0]
 
 
+def part_of(ids: np.ndarray, at: int, path: str) -> tuple[Part, str]:
+    """The part and the text that the ids of a whole number of characters stand
+    for; a character in several ids is covered by all of them."""
+    stored, starts, lengths = byte_table(path)
+    raw = chunks.ragged(stored, starts[ids], lengths[ids])
+    text = raw.tobytes().decode()
+    ends = np.cumsum(lengths[ids])
+    char = np.cumsum((raw & 0xC0) != 0x80)
+    spans = np.stack([char[ends - lengths[ids]] - 1, char[ends - 1]], axis=1) + at if len(ids) else np.zeros((0, 2), np.int64)
+    return Part(at, at + len(text), ids, spans), text
+
+
 def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     edges = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(edges), pa.array(ids.astype(np.int32)))
@@ -140,6 +152,10 @@ def encode(docs: DataFrame, path: str = TOKENIZER, leaf: int = LEAF_CHARS, windo
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     long = F.coalesce(F.char_length("text"), F.lit(0)) > leaf
+    size = 2 if len(byte_table(path)[1]) <= 1 << 16 else 4
+
+    def narrow(ids: bytes) -> bytes:
+        return np.frombuffer(ids, "<i4").astype(f"<u{size}").tobytes()
 
     def short_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = chunks.encoder(path, spaces=True)
@@ -149,50 +165,41 @@ def encode(docs: DataFrame, path: str = TOKENIZER, leaf: int = LEAF_CHARS, windo
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(out["ids"], out["counts"])], ["doc_id", "ids"])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = chunks.encoder(path, spaces=True, offsets=True)
+        coder = chunks.encoder(path, spaces=True)
         for batch in batches:
             for part in chunks.slices(batch, "leaf"):
                 out = coder.encode(part.column("leaf"))
+                ends = np.cumsum(out["counts"]) * 4
+                raw = out["ids"].astype("<i4").tobytes()
+                ids = [raw[b - 4 * n : b] for n, b in zip(out["counts"], ends)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        *(part.column(c) for c in ("doc_id", "digest", "at", "leaf", "rows")),
-                        _lists(out["ids"], out["counts"]),
-                        _lists(out["spans"][:, 0], out["counts"]),
-                        _lists(out["spans"][:, 1], out["counts"]),
-                    ],
-                    ["doc_id", "digest", "at", "leaf", "rows", "ids", "starts", "ends"],
+                    [*(part.column(c) for c in ("doc_id", "digest", "at", "rows")), pa.array(map(narrow, ids), pa.binary())],
+                    ["doc_id", "digest", "at", "rows", "ids"],
                 )
 
     def one_text(rows: pd.DataFrame) -> pd.DataFrame:
-        coder = chunks.encoder(path, spaces=True, offsets=True)
+        coder = chunks.encoder(path, spaces=True)
         rows = rows.sort_values("at")
-        text, parts = "".join(rows["leaf"]), []
-        for at, leaf_text, ids, starts, ends in zip(rows["at"], rows["leaf"], rows["ids"], rows["starts"], rows["ends"]):
-            spans = np.stack([starts, ends], axis=1).astype(np.int64) + at
-            parts.append(Part(int(at), int(at) + len(leaf_text), np.asarray(ids, dtype=np.int32), spans))
+        text, parts = "", []
+        for at, ids in zip(rows["at"], rows["ids"]):
+            part = part_of(np.frombuffer(ids, f"<u{size}").astype(np.int32), int(at), path)
+            parts.append(part[0])
+            text += part[1]
         whole = tree(text, parts, _by_library(coder), coder.specials, window)
-        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1], "digest": rows["digest"].iloc[:1], "rows": rows["rows"].iloc[:1], "ids": [whole.ids]})
+        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1], "rows": rows["rows"].iloc[:1], "ids": [whole.ids]})
 
-    # Equal rows are encoded once and counted, so that one text is one group.
-    longs = docs.where(long).withColumn("digest", digest128(F.col("text")))
-    longs = longs.groupBy("doc_id", "digest").agg(F.count("*").alias("rows"), F.min("text").alias("text"))
-    n = F.char_length("text")
+    # Parts are dealt out anew, and equal rows are encoded once and counted.
+    n = F.col("n")
     halves = F.pow(F.lit(2), F.ceil(F.log2(n / F.lit(float(leaf))))).cast("long")
-    cut = longs.select(
-        "doc_id",
-        "digest",
-        "rows",
-        "text",
-        F.explode(F.sequence(F.lit(0).cast("long"), halves - 1)).alias("k"),
-        n.alias("n"),
-        halves.alias("halves"),
-    )
-    start, end = F.floor(F.col("n") * F.col("k") / F.col("halves")), F.floor(F.col("n") * (F.col("k") + 1) / F.col("halves"))
-    cut = cut.select("doc_id", "digest", start.cast("long").alias("at"), F.substring("text", start.cast("int") + 1, (end - start).cast("int")).alias("leaf"), "rows")
-    # Dealt out anew, since the parts of one text need not stay together yet.
-    spread = cut.repartition("doc_id", "digest", "at")
-    with_ids = spread.mapInArrow(leaves, "doc_id long, digest binary, at long, leaf string, rows long, ids array<int>, starts array<int>, ends array<int>")
-    joined = with_ids.groupBy("doc_id", "digest").applyInPandas(one_text, "doc_id long, digest binary, rows long, ids array<int>")
+    cut = docs.where(long).select("doc_id", digest128(F.col("text")).alias("digest"), F.char_length("text").alias("n"), "text")
+    cut = cut.select("doc_id", "digest", "n", "text", halves.alias("halves"))
+    cut = cut.select("doc_id", "digest", "n", "text", "halves", F.explode(F.sequence(F.lit(0).cast("long"), F.col("halves") - 1)).alias("k"))
+    start, end = F.floor(n * F.col("k") / F.col("halves")), F.floor(n * (F.col("k") + 1) / F.col("halves"))
+    cut = cut.select("doc_id", "digest", start.cast("long").alias("at"), F.substring("text", start.cast("int") + 1, (end - start).cast("int")).alias("leaf"))
+    spread = cut.groupBy("doc_id", "digest", "at").agg(F.min("leaf").alias("leaf"), F.count("*").alias("rows"))
+    with_ids = spread.mapInArrow(leaves, "doc_id long, digest binary, at long, rows long, ids binary")
+    # The text is read back from the ids, so that ids are all that travels.
+    joined = with_ids.groupBy("doc_id", "digest").applyInPandas(one_text, "doc_id long, rows long, ids array<int>")
     joined = joined.select("doc_id", "ids", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).select("doc_id", "ids")
     return docs.where(~long).mapInArrow(short_texts, IDS).union(joined)
 
