@@ -213,15 +213,16 @@ def decode(encoded: DataFrame, path: str = TOKENIZER) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stored, starts, lengths = byte_table(path)
+        pieces = pa.array([stored[a : a + n].tobytes() for a, n in zip(starts, lengths)], pa.large_binary())
         for batch in batches:
             lists = batch.column("ids")
             counts = np.asarray(chunks.pc.fill_null(chunks.pc.list_value_length(lists), 0), dtype=np.int64)
             ends = np.cumsum(counts)
-            ids = np.asarray(lists.flatten(), dtype=np.int64)
+            ids = lists.flatten()
             for a, b in _runs(counts):
-                mine = ids[ends[a] - counts[a] : ends[b - 1]]
-                raw = chunks.ragged(stored, starts[mine], lengths[mine]).tobytes()
-                edges = np.concatenate([[0], np.cumsum(chunks.sums(lengths[mine], counts[a:b]))])
+                mine = ids.slice(ends[a] - counts[a], ends[b - 1] - (ends[a] - counts[a]))
+                raw = (pieces.take(mine).buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+                edges = np.concatenate([[0], np.cumsum(chunks.sums(lengths[np.asarray(mine)], counts[a:b]))])
                 valid = lists.slice(a, b - a).is_valid().to_pylist()
                 texts = [raw[x:y].decode("utf-8", "replace") if v else None for x, y, v in zip(edges, edges[1:], valid)]
                 yield pa.RecordBatch.from_arrays(

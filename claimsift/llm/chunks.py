@@ -177,7 +177,15 @@ class ChunkEncoder:
         elif pc.any(pc.match_substring(texts, MARK)).as_py():
             lists = pa.array([_PARTS.findall(t) for t in texts.to_pylist()], pa.list_(pa.string()))
         else:
-            lists = pc.split_pattern(pc.replace_substring_regex(texts, f"({_RUNS})", MARK + r"\1"), MARK)
+            # Where no blank or line feed follows white space, each begins a run.
+            cut = texts
+            for blank in " \n":
+                cut = pc.replace_substring(cut, blank, MARK + blank)
+            runs = pc.match_substring_regex(texts, f"[{SPACE}][ \n]")
+            if pc.any(runs).as_py():
+                others = pc.replace_substring_regex(texts.filter(runs), f"({_RUNS})", MARK + r"\1")
+                cut = pc.replace_with_mask(cut, runs, others)
+            lists = pc.split_pattern(cut, MARK)
         counts = np.asarray(pc.list_value_length(lists), dtype=np.int64)
         return lists.flatten(), counts
 
