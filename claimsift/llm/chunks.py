@@ -23,7 +23,9 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # A mark put before each white-space run; texts that hold it go the plain way.
 MARK = "\x00"
 # Chunks kept by one worker process; they are forgotten when there are more.
-KEPT_CHUNKS = 1_000_000
+# Those of a byte-level vocabulary, with their white space, are twice as many
+# and take more room.
+KEPT_CHUNKS = {False: 1_000_000, True: 500_000}
 # Longer chunks are encoded whenever they come and not kept.
 KEPT_CHARS = 256
 # Bytes of text that are worked on at once.
@@ -200,7 +202,7 @@ class ChunkEncoder:
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
         distinct = coded.dictionary.to_pylist()
-        if self.known + len(distinct) > KEPT_CHUNKS:
+        if self.known + len(distinct) > KEPT_CHUNKS[self.spaces]:
             self.forget()
         self.learn([c for c in distinct if c not in self.codes])
         codes = np.fromiter(map(self.codes.__getitem__, distinct), np.int64, len(distinct))
