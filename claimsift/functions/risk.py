@@ -167,7 +167,7 @@ TEMPLATES = {
     ),
     UPCODING["app"]: (
         "UP-CODING FRAUD DETECTED — Billed {amount} at hospital {hospital} is {ratio} "
-        "the approved package rate for '{diagnosis}'. Ayushman Bharat caps claims at 2.5x base rate; "
+        "the approved package rate for '{diagnosis}'. The scheme caps claims at 2.5x base rate; "
         "this breach indicates deliberate billing for a higher-complexity procedure than was performed. "
         "Risk Score: {risk}/1.00. Request procedure records & discharge summary for cross-verification."
     ),
@@ -193,7 +193,7 @@ TEMPLATES = {
 
 # Fixed value: the question put to a text model about one claim.
 PROMPT = (
-    "You are auditing an Ayushman Bharat claim.\n\n"
+    "You are auditing a health-insurance claim.\n\n"
     "Age: {age}\nDiagnosis: {diagnosis}\nCost: ₹{cost}\nPackage Rate: {rate}\n"
     "Length of Stay: {stay} days\nFraud Type: {kind}\n"
     "Don't use emojis.\nDon't include hospital/patient IDs.\n"
@@ -213,18 +213,23 @@ def llm_prompt() -> Column:
         "kind": "Fraud_Type",
     }
     words = {k: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for k, c in names.items()}
+    for k in ("cost", "rate"):
+        words[k] = F.coalesce(tx.float_text(F.col(names[k])), F.lit("nan"))
     return fill(PROMPT, words)
 
 
 def fallback_justification(explanation: Column, cost: Column, kind: Column, risk: Column) -> Column:
-    """The explanation, or a short stand-in where it is blank."""
+    """The explanation, or a short stand-in where it is blank.
+
+    In the stand-in a missing amount or risk counts as 0, a missing type is "nan".
+    """
     clean = tx.strip_ends(F.coalesce(explanation, F.lit("")))
     stand_in = F.concat(
-        tx.rupees(cost),
+        tx.rupees(F.coalesce(cost, F.lit(0.0))),
         F.lit(" flagged — "),
-        kind,
+        F.coalesce(kind, F.lit("nan")),
         F.lit(". Risk: "),
-        tx.plain_number(risk, 2),
+        tx.plain_number(F.coalesce(risk, F.lit(0.0)), 2),
         F.lit(". Manual review needed."),
     )
     return F.when(clean == "", stand_in).otherwise(clean)

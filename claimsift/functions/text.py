@@ -17,6 +17,23 @@ GHOST_REPLY = "Ghost Billing is when a hospital bills for a patient who was neve
 UPCODE_REPLY = "Up-coding involves inflating reimbursement rates."
 
 
+def float_text(value: Column) -> Column:
+    """A floating number in its shortest digits: plain from 0.0001 to 1e16, else
+    with a signed exponent of two digits or more."""
+    value = value.cast("double")
+    short = value.cast("string")
+    plain = F.regexp_replace(short.try_cast("decimal(38,21)").cast("string"), "0+$", "")
+    plain = F.when(F.endswith(plain, F.lit(".")), F.concat(plain, F.lit("0"))).otherwise(plain)
+    signed = F.regexp_replace(F.regexp_replace(short, r"\.0E", "E"), r"E(\d)", "E+$1")
+    signed = F.lower(F.regexp_replace(signed, r"E([+-])(\d)$", "E$10$2"))
+    size = F.abs(value)
+    return (
+        F.when((size >= 1e-4) & (size < 1e16), plain)
+        .when(F.contains(short, F.lit("E")), signed)
+        .otherwise(F.when(F.isnan(value), "nan").when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf")).otherwise(short))
+    )
+
+
 def plain_number(value: Column, places: int) -> Column:
     """A number with fixed decimals, half-even, without grouping commas."""
     return F.regexp_replace(F.format_number(value, places), ",", "")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from claimsift.functions.values import finite_or_null, nan_to_null, parse_timestamp, whole_days
 from claimsift.operators import lookup
 from claimsift.schema import BATCH_REQUIRED, CLAIM_TYPES, TIME_COLUMNS, check_profile, has
+from claimsift.session import materialize
 
 
 def parse_timestamps(df: DataFrame) -> DataFrame:
@@ -143,7 +144,7 @@ def store_hospital_figures(claims: DataFrame) -> DataFrame | None:
     cost = resolve_cost_col(claims)
     if cost is None or not has(claims, "Hospital_PIN"):
         return None
-    return lookup.stored(hospital_figures(claims, cost), "hospitals")
+    return materialize(hospital_figures(claims, cost), "hospitals")
 
 
 def attach_hospitals(df: DataFrame, figures: DataFrame | None) -> DataFrame:
@@ -169,11 +170,20 @@ def countable(claims: DataFrame) -> bool:
 
 
 def derive_features(claims: DataFrame, hospitals: DataFrame | None = None) -> DataFrame:
-    """P02-P04, J01, J02 and the input of F05 for a whole typed claim table."""
-    if hospitals is None:
-        hospitals = store_hospital_figures(claims)
+    """P02-P04, J01, J02 and the input of F05 for a whole typed claim table.
+
+    Figures that are not given stay in the plan as aggregates: whoever does not
+    use them (no rule does with the hospitals' means) does not pay for them.
+    """
+    ratios = claim_ratios(claims)
+    cost = resolve_cost_col(claims)
+    if hospitals is None and cost is not None and has(claims, "Hospital_PIN"):
+        means = hospital_figures(claims, cost)
+        ratios = lookup.attach_spread(ratios, means, "Hospital_PIN", "_rows", spread_of(ratios))
+    else:
+        ratios = attach_hospitals(ratios, hospitals)
     patients = patient_figures(claims) if countable(claims) else None
-    return attach_patients(attach_hospitals(claim_ratios(claims), hospitals), patients)
+    return attach_patients(ratios, patients)
 
 
 def derive_sample_features(sample: DataFrame, claims: DataFrame, hospitals: DataFrame | None) -> DataFrame:

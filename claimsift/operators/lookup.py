@@ -71,10 +71,6 @@ def attach_counted(
     reads file footers. A table over the bound takes the spread join.
     """
     if figures.count() <= broadcast_rows:
-        return df.join(F.broadcast(figures.drop(rows)), key, "left")
+        values = [c for c in figures.columns if c not in (key, rows)]
+        return df.join(F.broadcast(figures.drop(rows)), key, "left").select(*df.columns, *values)
     return attach_spread(df, figures, key, rows, spread)
-
-
-def stored(figures: DataFrame, label: str) -> DataFrame:
-    """Figures written once to the shared folder, in few files."""
-    return materialize(figures, label)

@@ -27,8 +27,15 @@ def for_account(df: DataFrame, uid: str) -> DataFrame:
 
 
 def money(column: Column) -> Column:
-    """A sum of amounts that does not depend on row order; 0 over no rows."""
-    return F.coalesce(F.sum(column.try_cast("decimal(28,2)")), F.lit(0)).cast("double")
+    """A sum of amounts that does not depend on row order; 0 over no rows.
+
+    Amounts are summed as decimals with six places; where one is beyond them
+    (or infinite), the plain floating sum counts instead.
+    """
+    exact = column.try_cast("decimal(28,6)")
+    beyond = F.count_if(column.isNotNull() & exact.isNull())
+    whole = F.sum(exact).cast("double")
+    return F.coalesce(F.when(beyond > 0, F.sum(column.cast("double"))).otherwise(whole), F.lit(0.0))
 
 
 def total(column: Column) -> Column:
@@ -106,11 +113,11 @@ def newest_sessions(sessions: DataFrame, limit: int = 100) -> DataFrame:
     return sessions.orderBy(F.desc("uploaded_at"), F.desc("id")).limit(limit)
 
 
-def daily_trend(sessions: DataFrame, user_id: str | None = None, newest: int | None = 100, n_days: int | None = None) -> DataFrame:
+def daily_trend(sessions: DataFrame, user_id: str | None = None, newest: int | None = None, n_days: int | None = None) -> DataFrame:
     """Flagged and total claims per day, oldest day first.
 
-    ``newest`` keeps that many sessions, as the page does; ``n_days`` keeps the
-    days up to that many before the last one instead.
+    All days, unless ``n_days`` keeps the days up to that many before the last
+    one, or ``newest`` that many sessions.
     """
     rows = for_user(sessions, user_id).withColumn("Date", F.to_date("uploaded_at"))
     if n_days is not None:

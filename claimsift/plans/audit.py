@@ -134,9 +134,9 @@ def contamination_sweep(scored: DataFrame, contaminations: list[float], profile:
     grouped = scored.select("Path_Sum", "Rule_Fraud", over.alias("Over"))
     histogram = fo.path_histogram(grouped, "Rule_Fraud", "Over")
     cuts = fo.path_cuts(histogram, contaminations).collect()
-    settings = F.explode(
-        F.array(*[F.struct(F.lit(r.Contamination).alias("c"), F.lit(r.Path_Cut).alias("cut")) for r in cuts])
-    )
+    listed = [F.struct(F.lit(r.Contamination).alias("c"), F.lit(r.Path_Cut).alias("cut")) for r in cuts]
+    # No claims, no cuts: the array is empty, and so is the result.
+    settings = F.explode(F.array(*listed) if listed else F.array().cast("array<struct<c:double,cut:long>>"))
     spread = histogram.withColumn("_s", settings).withColumn(
         "ML_Anomaly", F.when(F.col("Path_Sum") < F.col("_s.cut"), F.lit(-1)).otherwise(F.lit(1))
     ).withColumn("Cost_to_Package", F.when(F.col("Over"), F.lit(3.0)).otherwise(F.lit(1.0)))

@@ -476,7 +476,7 @@ def a07_activity_by_user(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def a08_daily_trend(spark: SparkSession, sf: str) -> DataFrame:
-    return sm.daily_trend(fx.upload_sessions(spark, sf)).withColumn("Date", day("Date"))
+    return sm.daily_trend(fx.upload_sessions(spark, sf), newest=100).withColumn("Date", day("Date"))
 
 
 @query

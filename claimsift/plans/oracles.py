@@ -150,7 +150,7 @@ def oracle(name: str, before: str, select: str) -> None:
 
 
 def money(value: str) -> str:
-    return f"coalesce(cast(sum(cast({value} AS decimal(28, 2))) AS double), 0)"
+    return f"coalesce(cast(sum(cast({value} AS decimal(28, 6))) AS double), 0)"
 
 
 # --- Sources and sinks ------------------------------------------------------
@@ -567,12 +567,12 @@ def drawn(*parts: str) -> str:
 def samples() -> str:
     return f"""{FEATURES},
 numbered AS MATERIALIZED (SELECT *, row_number() OVER () AS rid, [{', '.join(FILLED)}] AS x FROM features),
-apart AS (
-  SELECT * FROM numbered QUALIFY row_number() OVER (
-    PARTITION BY TransactionID ORDER BY Final_Billed_Amount, Base_Package_Rate, Admission_Timestamp, PreAuth_Approval_Date NULLS FIRST) = 1),
-pool AS MATERIALIZED (
-  SELECT TransactionID AS id, x
-  FROM apart ORDER BY md5(concat('{SEED}|0|', TransactionID)), TransactionID LIMIT {TREES * ROWS}),
+alike AS (
+  SELECT *, row_number() OVER (
+    PARTITION BY TransactionID ORDER BY Final_Billed_Amount, Base_Package_Rate, Admission_Timestamp, PreAuth_Approval_Date NULLS FIRST) AS n
+  FROM numbered),
+apart AS (SELECT CASE WHEN n = 1 THEN TransactionID ELSE concat(TransactionID, '|', n) END AS id, x FROM alike),
+pool AS MATERIALIZED (SELECT id, x FROM apart ORDER BY md5(concat('{SEED}|0|', id)), id LIMIT {TREES * ROWS}),
 size AS (SELECT count(*) AS m, least({ROWS}, count(*)) AS psi FROM pool),
 deal AS (SELECT m, psi, greatest(1, least({TREES}, m // greatest(psi, 1))) AS per_lap FROM size),
 laps AS (SELECT unnest(range(cast(ceil({TREES} / per_lap) AS bigint))) AS lap FROM deal),

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from claimsift.operators import features as ft, lookup
+from claimsift.session import materialize
 
 
 def skewed(spark):
@@ -39,7 +40,7 @@ def test_hot_rows_leave_one_partition(spark):
 
 def test_long_keys_and_counted_join(spark):
     df = skewed(spark).select(F.when(F.col("k") == "hot", F.lit(5)).otherwise(F.col("id") % 11).cast("long").alias("k"), "id", "v")
-    stored = lookup.stored(figures(df), "figures")
+    stored = materialize(figures(df), "figures")
     few = lookup.attach_counted(df, stored, "k", "_rows", F.col("id")).select("id", "total")
     many = lookup.attach_counted(df, stored, "k", "_rows", F.col("id"), broadcast_rows=2).select("id", "total")
     assert sorted(few.collect()) == sorted(many.collect())
