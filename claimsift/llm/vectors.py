@@ -42,7 +42,7 @@ def classes(rows: DataFrame, keep: int) -> DataFrame:
 def sample(rows: DataFrame, size: int) -> np.ndarray:
     """Up to ``size`` vectors, drawn by a hash of their ids."""
     drawn = rows.orderBy(F.xxhash64("class_id"), "class_id").limit(size).select("vec").collect()
-    return np.array([r.vec for r in drawn], dtype=float).reshape(len(drawn), -1)
+    return np.array([r.vec for r in drawn], dtype=float) if drawn else np.zeros((0, 0))
 
 
 def blocks(rows: DataFrame, group: str, order: list[str], size: int, label: str) -> DataFrame:
@@ -74,10 +74,12 @@ def answers(found: DataFrame, members: DataFrame, queries: DataFrame, k: int) ->
     pairs = found.groupBy("query_class", "class_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_class").orderBy(F.desc("score"), "class_id")
     pairs = pairs.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+    # Descending: a long's complement, as the smallest long has no opposite.
+    down = F.bitwise_not("score") if found.schema["score"].dataType == T.LongType() else -F.col("score")
     rows = pairs.join(members.select("class_id", "members"), "class_id")
     rows = rows.select("query_class", F.explode("members").alias("vec_id"), "score")
     listed = rows.groupBy("query_class").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id", "score"))).alias("list")
+        F.array_sort(F.collect_list(F.struct(down.alias("down"), "vec_id", "score"))).alias("list")
     )
     # A class with very many queries is split at run time.
     joined = queries.join(listed, queries["class_id"] == listed["query_class"])
