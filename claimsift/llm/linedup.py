@@ -194,14 +194,16 @@ def links(texts: DataFrame, limit: int = LIMIT, least: int = LEAST, small: int =
     order = probes(limit)
     own = [i for i, (less, _, shift) in enumerate(order) if less == 0 and shift == 0]
     spread = keyed(texts.where(F.col("n") >= least), limit, least).withColumn("indexed", F.col("probe").isin(own))
-    # Segments under which a line is indexed and another one found.
-    shared = spread.groupBy("key").agg(F.min("line_id").alias("lo"), F.max("line_id").alias("hi"), F.max("indexed").alias("indexed"), F.count("*").alias("m"))
-    shared = stored(shared.where("lo <> hi AND indexed").select(F.col("key").alias("_key"), "m"), "line-keys")
+    # Segments of several lines; the smallest and largest line tell, and travel.
+    shared = spread.groupBy("key").agg(F.min("line_id").alias("lo"), F.max("line_id").alias("hi"))
+    shared = stored(shared.where("lo <> hi").select(F.col("key").alias("_key")), "line-keys")
     if shared.count() <= BROADCAST_KEYS:
-        members = spread.join(F.broadcast(shared), F.col("key") == F.col("_key"))
+        found = spread.join(F.broadcast(shared), F.col("key") == F.col("_key"))
     else:
-        members = spread.drop("text").join(shared, F.col("key") == F.col("_key")).join(texts.select("line_id", "text"), "line_id")
-    members = stored(members.select("key", "m", "line_id", "text", "probe", "indexed"), "line-members")
+        found = spread.drop("text").join(shared, F.col("key") == F.col("_key")).join(texts.select("line_id", "text"), "line_id")
+    found = stored(found.select("key", "line_id", "text", "probe", "indexed"), "line-found")
+    sizes = found.groupBy("key").agg(F.count("*").alias("m"), F.max("indexed").alias("any")).where("any").drop("any")
+    members = stored(found.join(sizes, "key").select("key", "m", "line_id", "text", "probe", "indexed"), "line-members")
 
     def pairwise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
