@@ -85,7 +85,7 @@ def search(
         some = order[a : a + BATCH]
         best, scores = np.concatenate([best, some]), np.concatenate([scores, products(table_[some], q, exact)])
         if len(best) > keep:
-            first = np.lexsort((ids[best], -scores))[:keep]
+            first = np.lexsort((ids[best], ~scores))[:keep]
             best, scores = best[first], scores[first]
         if len(best) == keep:
             least = max(least, float(scores.min()))
