@@ -10,15 +10,23 @@ from pyspark.sql import Column, functions as F
 
 DAY_MICROS = 86_400_000_000
 
-# Accepted timestamp layouts beside ISO text, tried in this order.
-TIME_FORMATS = (
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy HH:mm",
-    "MM/dd/yyyy",
-    "MM-dd-yyyy HH:mm:ss",
-    "MM-dd-yyyy HH:mm",
-    "MM-dd-yyyy",
+# Accepted dates beside ISO text, tried in this order: a date that fits both
+# ways is read month first, one whose month would exceed 12 day first.
+DATE_FORMATS = (
+    "M/d/yyyy",
+    "M-d-yyyy",
+    "d/M/yyyy",
+    "d-M-yyyy",
+    "d.M.yyyy",
+    "yyyy/M/d",
+    "d MMM yyyy",
+    "d-MMM-yyyy",
+    "d MMMM yyyy",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
 )
+# What may follow a date: nothing, a clock of 12 hours or one of 24.
+CLOCK = "[ h:m[:s] a][ H:m[:s]]"
 
 # Cell texts of a CSV file that mean "no value".
 MISSING_TEXTS = (
@@ -67,8 +75,9 @@ def holds(predicate: Column) -> Column:
 
 def parse_timestamp(text: Column) -> Column:
     """Text to timestamp, NULL where no layout fits."""
+    text = F.btrim(text)
     attempts = [F.try_to_timestamp(text)]
-    attempts += [F.try_to_timestamp(text, F.lit(layout)) for layout in TIME_FORMATS]
+    attempts += [F.try_to_timestamp(text, F.lit(date + CLOCK)) for date in DATE_FORMATS]
     return F.coalesce(*attempts)
 
 

@@ -24,8 +24,14 @@ def parse_timestamps(df: DataFrame) -> DataFrame:
 
 
 def typed(field: T.StructField) -> Column:
-    """One column in the type the claims schema gives it; NaN and misfits are NULL."""
+    """One column in the type the claims schema gives it; NaN and misfits are NULL.
+
+    Hospital ids given as text stay text, whatever they look like; only the
+    ``.0`` that a table of floating numbers leaves on whole ones is cut.
+    """
     column, wanted = F.col(field.name), CLAIM_TYPES[field.name]
+    if field.name == "Hospital_PIN" and isinstance(field.dataType, T.StringType):
+        return F.nullif(F.regexp_replace(F.btrim(column), r"^([0-9]+)\.0+$", "$1"), F.lit(""))
     if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
         column = nan_to_null(column)
     if field.dataType == wanted:

@@ -233,12 +233,13 @@ def process_upload(
 ) -> dict[str, object]:
     """Audit a batch, then store its claims, results, cases, session and log entry.
 
-    Every step can be repeated under the same ``batch_id`` without doubling rows.
+    Every step can be repeated under the same ``batch_id`` without doubling rows,
+    and the counts logged are those of the first run's decision.
     """
     cost = ft.resolve_cost_col(batch)
     verdicts = materialize(audited(batch, settings), "verdicts")
     kpis = sm.batch_kpis(verdicts, cost).first()
-    counts = store.append_new("claims", batch, now, user_id=uid)
+    counts = store.append_new("claims", batch, now, user_id=uid, batch_id=batch_id)
     store.upsert("claims", verdicts, now, user_id=uid)
     store.upsert_detected_frauds(sm.flagged(verdicts), now, cost, user_id=uid)
     spark = store.spark

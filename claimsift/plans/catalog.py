@@ -90,14 +90,14 @@ def s01_read_claims_csv(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def s02_read_table(spark: SparkSession, sf: str) -> DataFrame:
-    store = tb.ClaimStore(spark, folder(spark, "store"))
+    store = tb.ClaimStore(spark, folder(spark, "store"), claim_key="PatientID")
     store.append("upload_sessions", tb.session_rows(fx.upload_sessions(spark, sf), moment(NOW)))
     return store.read("upload_sessions", ACCOUNT).select("id", "user_id", "filename", "total_rows", "suspicious_amt")
 
 
 @query
 def s03_load_first_nonempty(spark: SparkSession, sf: str) -> DataFrame:
-    store = tb.ClaimStore(spark, folder(spark, "store"))
+    store = tb.ClaimStore(spark, folder(spark, "store"), claim_key="PatientID")
     missing = f"{shared_folder(spark)}/no-such-file.parquet"
     loaded = files.load_first_nonempty(
         [lambda: spark.read.parquet(missing), lambda: store.read("claims"), lambda: fx.claims(spark, sf)]
@@ -106,7 +106,7 @@ def s03_load_first_nonempty(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def appended(spark: SparkSession, sf: str) -> tuple[tb.ClaimStore, dict[str, int]]:
-    store = tb.ClaimStore(spark, folder(spark, "store"))
+    store = tb.ClaimStore(spark, folder(spark, "store"), claim_key="PatientID")
     claims = typed(spark, sf)
     store.append_new("claims", earlier(claims), moment("2023-01-01 00:00:00"))
     return store, store.append_new("claims", claims, moment(NOW))
@@ -138,7 +138,7 @@ def s05_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stored_cases(spark: SparkSession, sf: str, user: str | None = "analyst") -> tb.ClaimStore:
-    store = tb.ClaimStore(spark, folder(spark, "store"))
+    store = tb.ClaimStore(spark, folder(spark, "store"), claim_key="PatientID")
     found = result_claims(spark, sf)
     store.upsert_detected_frauds(found, moment(NOW), "Final_Billed_Amount", user)
     return store
@@ -160,7 +160,7 @@ def s06_upsert_detected_frauds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def s07_log_upload_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    store = tb.ClaimStore(spark, folder(spark, "store"))
+    store = tb.ClaimStore(spark, folder(spark, "store"), claim_key="PatientID")
     sessions = fx.upload_sessions(spark, sf).drop("user_id", "uploaded_at")
     store.log_upload_sessions(sessions, moment(NOW))
     store.log_upload_sessions(sessions, moment(NOW))
@@ -171,7 +171,7 @@ def s07_log_upload_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def s08_log_audit_events(spark: SparkSession, sf: str) -> DataFrame:
-    store = tb.ClaimStore(spark, folder(spark, "store"))
+    store = tb.ClaimStore(spark, folder(spark, "store"), claim_key="PatientID")
     events = fx.audit_log(spark, sf).drop("user_id", "patient_id").withColumn(
         "amount", F.when(F.col("action") != "error", F.col("amount"))
     )
@@ -223,7 +223,7 @@ def s11_sanitize_for_sink(spark: SparkSession, sf: str) -> DataFrame:
 def s12_sync_csv(spark: SparkSession, sf: str) -> DataFrame:
     path = folder(spark, "csv")
     typed(spark, sf).select("PatientID", "Age", "Final_Billed_Amount", "TransactionID").write.csv(path, header=True)
-    store = tb.ClaimStore(spark, folder(spark, "store"))
+    store = tb.ClaimStore(spark, folder(spark, "store"), claim_key="PatientID")
     done, message = store.sync_csv(path, moment(NOW))
     again, second = store.sync_csv(path, moment(NOW))
     return store.read("claims").agg(
@@ -261,11 +261,13 @@ def s15_insert_defaults(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p01_parse_timestamps(spark: SparkSession, sf: str) -> DataFrame:
-    american = F.date_format("Admission_Timestamp", "MM/dd/yyyy")
+    layouts = ("MM/dd/yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "d MMM yyyy", "MM/dd/yyyy hh:mm a", "dd.MM.yyyy HH:mm")
+    written = F.array(*[F.date_format("Admission_Timestamp", layout) for layout in layouts])
+    text = F.element_at(written, (F.col("Hospital_PIN") % len(layouts) + 1).cast("int"))
     iso = F.date_format("Discharge_Timestamp", "yyyy-MM-dd HH:mm:ss")
     texts = fx.claims(spark, sf).select(
         "TransactionID",
-        F.when(F.col("Gender") == "Male", american).otherwise(F.lit("not a date")).alias("Admission_Timestamp"),
+        F.when(F.col("Gender") == "Male", text).otherwise(F.lit("not a date")).alias("Admission_Timestamp"),
         iso.alias("Discharge_Timestamp"),
     )
     parsed = ft.parse_timestamps(texts)
@@ -796,7 +798,7 @@ def to_table(spark: SparkSession, build: Callable[[DataFrame], DataFrame]) -> tu
 @query
 def r01_ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
     claims = typed(spark, sf).select("TransactionID", "PatientID", "Age", "Final_Billed_Amount", "Admission_Timestamp")
-    store = tb.ClaimStore(spark, folder(spark, "store"))
+    store = tb.ClaimStore(spark, folder(spark, "store"), claim_key="PatientID")
     progress = folder(spark, "progress")
     feed(
         halves(claims, "Admission_Timestamp"),

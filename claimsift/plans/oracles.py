@@ -161,7 +161,8 @@ TIMES = ["Admission_Timestamp", "Discharge_Timestamp", "PreAuth_Request_Date", "
 oracle(
     "s01_read_claims_csv",
     CLAIMS,
-    f"SELECT * REPLACE ({', '.join(STAMP.format(c) + ' AS ' + c for c in TIMES)}) FROM claims",
+    # A file's cells are texts; hospital ids stay so.
+    f"SELECT * REPLACE (cast(Hospital_PIN AS varchar) AS Hospital_PIN, {', '.join(STAMP.format(c) + ' AS ' + c for c in TIMES)}) FROM claims",
 )
 oracle(
     "s02_read_table",
@@ -266,7 +267,10 @@ oracle(
 oracle(
     "p01_parse_timestamps",
     CLAIMS,
-    f"""SELECT TransactionID, CASE WHEN Gender = 'Male' THEN strftime(Admission_Timestamp, '%Y-%m-%d') END AS admitted,
+    # Written day first, days up to 12 are read as months.
+    f"""SELECT TransactionID,
+CASE WHEN Gender = 'Male' AND Hospital_PIN % 6 = 1 AND day(Admission_Timestamp) <= 12 THEN strftime(Admission_Timestamp, '%Y-%d-%m')
+WHEN Gender = 'Male' THEN strftime(Admission_Timestamp, '%Y-%m-%d') END AS admitted,
 {STAMP.format('Discharge_Timestamp')} AS discharged FROM claims""",
 )
 for name, column in [("p02_los", "LOS"), ("p03_preauth_delay", "PreAuth_Delay"), ("p04_cost_to_package", "Cost_to_Package")]:

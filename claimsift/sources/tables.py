@@ -7,6 +7,8 @@ readers of the old one are not disturbed. One writer at a time.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -74,13 +76,13 @@ def audit_rows(df: DataFrame, now: Column) -> DataFrame:
 class ClaimStore:
     """The four tables under one folder.
 
-    ``claim_key`` is the key of the claims table. The layout's own key,
-    PatientID, keeps one claim per patient; TransactionID keeps them all.
+    ``claim_key`` is the key of the claims table. TransactionID keeps all
+    claims; the layout's own key, PatientID, keeps one claim per patient.
     """
 
     spark: SparkSession
     root: str
-    claim_key: str = "PatientID"
+    claim_key: str = "TransactionID"
 
     def key(self, table: str) -> str:
         return self.claim_key if table == "claims" else TABLE_KEYS[table]
@@ -97,9 +99,23 @@ class ClaimStore:
             return []
         where = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         files = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(where)
-        numbers = [int(f.getPath().getName().removeprefix("v")) for f in files]
+        names = [re.fullmatch(r"v(\d{8,})", f.getPath().getName()) for f in files]
+        numbers = [int(name.group(1)) for name in names if name]
         return sorted(n for n in numbers if path_exists(self.spark, f"{folder}/v{n:08d}/_SUCCESS"))
 
+    def expire(self, table: str, keep: int = 1) -> int:
+        """Remove all complete snapshots but the newest ``keep``; returns how many went.
+
+        For times when nobody reads the old ones.
+        """
+        if keep < 1:
+            raise ValueError("keep must be at least 1")
+        old = self._snapshots(table)[:-keep]
+        for number in old:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/v{number:08d}")
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        return len(old)
+
     def path(self, table: str) -> str | None:
         """Folder of the newest complete snapshot."""
         done = self._snapshots(table)
@@ -124,12 +140,20 @@ class ClaimStore:
         df.select(*self.schema(table).names).write.mode("overwrite").parquet(f"{self.root}/{table}/v{number:08d}")
 
     def append_new(
-        self, table: str, df: DataFrame, now: Column, key: str | None = None, user_id: str | None = None
+        self,
+        table: str,
+        df: DataFrame,
+        now: Column,
+        key: str | None = None,
+        user_id: str | None = None,
+        batch_id: str | None = None,
     ) -> dict[str, int]:
         """Append the rows whose key the table lacks; known keys are left alone.
 
         The decision is written to the shared folder first, so counting and
         writing agree even when tasks are retried. Repeating a batch adds nothing.
+        With ``batch_id`` the decision is kept with the store: a batch of that
+        name that is run again has the counts of its first run.
         """
         key = key or self.key(table)
         df = stamp_user(df, user_id)
@@ -147,9 +171,20 @@ class ClaimStore:
             reduced = materialize(reduced, "intake")
             small = reduced.count() <= BROADCAST_ROWS
             marked = materialize(keyed.mark_known(reduced, self.read(table), key, small), "intake")
+        repeated = False
+        if batch_id is not None:
+            decided = f"{self.root}/{table}/decided-{hashlib.sha256(batch_id.encode()).hexdigest()}"
+            repeated = path_exists(self.spark, f"{decided}/_SUCCESS")
+            if not repeated:
+                marked.write.mode("overwrite").parquet(decided)
+            marked = self.spark.read.schema(marked.schema).parquet(decided)
         counts = keyed.intake_counts(marked).first().asDict()
         if counts["new"]:
-            self.append(table, conform(keyed.accepted(marked), layout, defaults))
+            fresh = marked
+            if repeated and self.path(table) is not None:
+                # What the first run appended before it ended is known by now.
+                fresh = materialize(keyed.mark_known(marked.where("NOT _known").drop("_known"), self.read(table), key), "intake")
+            self.append(table, conform(keyed.accepted(fresh), layout, defaults))
         return counts
 
     def upsert(self, table: str, df: DataFrame, now: Column, key: str | None = None, user_id: str | None = None) -> int:

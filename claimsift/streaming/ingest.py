@@ -8,8 +8,14 @@ from pyspark.sql.streaming import StreamingQuery
 from claimsift.sources.tables import ClaimStore
 
 
-def ingest_stream(claims: DataFrame, store: ClaimStore, now: Column, checkpoint: str, table: str = "claims") -> StreamingQuery:
-    """Append each micro-batch's new keys; a batch replayed after a failure adds nothing."""
+def ingest_stream(
+    claims: DataFrame, store: ClaimStore, now: Column, checkpoint: str, table: str = "claims", trigger: dict | None = None
+) -> StreamingQuery:
+    """Append each micro-batch's new keys; a batch replayed after a failure adds nothing.
+
+    ``trigger`` goes to the writer, as ``{"processingTime": "1 minute"}``;
+    without one the query takes what there is and ends.
+    """
 
     def take(batch: DataFrame, batch_id: int) -> None:
         store.append_new(table, batch, now)
@@ -17,6 +23,6 @@ def ingest_stream(claims: DataFrame, store: ClaimStore, now: Column, checkpoint:
     return (
         claims.writeStream.foreachBatch(take)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

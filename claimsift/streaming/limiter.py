@@ -1,7 +1,8 @@
 """The sliding-window limiter of W01 over a stream.
 
 Between micro-batches only the last admitted times of each key are kept, never
-more than the limit. They enter the next micro-batch as events, which the fold
+more than the limit and none older than one period before the newest event seen:
+as time goes on, they can shut nothing out. They enter the next micro-batch as events, which the fold
 admits again, so a micro-batch is an ordinary replay: Spark sorts and spills,
 and a crowded key is never held in memory. Rows must arrive in time order
 across micro-batches; within one, any order will do.
@@ -25,9 +26,13 @@ def limited_stream(
     output: str,
     state: str,
     checkpoint: str,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Write each event with ``allowed`` under ``output``.
 
+    ``trigger`` goes to the writer; without one the query takes what there is
+    and ends.
+
     Output and state of a micro-batch go to folders named after its number, so
     a micro-batch repeated after a failure overwrites what it wrote before.
     """
@@ -44,13 +49,15 @@ def limited_stream(
         replayed.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
         written = spark.read.schema(replayed.schema).parquet(f"{output}/batch={batch_id}")
         newest = Window.partitionBy(*keys).orderBy(F.desc(time), F.desc(order))
-        held = written.where("allowed").withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= limit)
+        last = written.agg(F.max(F.col(time).cast("timestamp")).alias("last")).scalar()
+        recent = F.col(time).cast("timestamp") >= last - F.make_dt_interval(secs=F.lit(period_seconds))
+        held = written.where("allowed").where(recent).withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= limit)
         held.select(*columns).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
 
     return (
         events.writeStream.foreachBatch(take)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 

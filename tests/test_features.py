@@ -117,12 +117,22 @@ def test_missing_columns_take_defaults(spark):
 
 def test_texts_become_typed(spark):
     df = spark.createDataFrame(
-        [("T1", "560001.0", "41", "12.5"), ("T2", "x", "", "nan")],
+        [("T1", "560001.0", "41", "12.5"), ("T2", "", "", "nan"), ("T3", " H12 ", "4", "1"), ("T4", "9007199254740993", "4", "1")],
         "TransactionID string, Hospital_PIN string, Age string, Final_Billed_Amount string",
     )
     rows = by_id(ft.typed_claims(df))
-    assert (rows["T1"].Hospital_PIN, rows["T1"].Age, rows["T1"].Final_Billed_Amount) == (560001, 41, 12.5)
+    assert (rows["T1"].Hospital_PIN, rows["T1"].Age, rows["T1"].Final_Billed_Amount) == ("560001", 41, 12.5)
     assert (rows["T2"].Hospital_PIN, rows["T2"].Age, rows["T2"].Final_Billed_Amount) == (None, None, None)
+    assert (rows["T3"].Hospital_PIN, rows["T4"].Hospital_PIN) == ("H12", "9007199254740993")
+
+
+def test_hospital_ids_of_any_kind_are_told_apart(spark):
+    pins = ["H12", "H13", "9007199254740993", "9007199254740992"]
+    rows = [(f"T{i}", "A" if i < 2 else "B", pin, float(i)) for i, pin in enumerate(pins)] + [("T4", "C", "H12", 10.0)]
+    df = spark.createDataFrame(rows, "TransactionID string, PatientID string, Hospital_PIN string, Final_Billed_Amount double")
+    got = by_id(ft.derive_features(ft.typed_claims(df)))
+    assert [got[f"T{i}"].Hospital_Avg_Cost for i in range(5)] == [5.0, 1.0, 2.0, 3.0, 5.0]
+    assert [got[f"T{i}"].Multi_Hospital for i in range(5)] == [True, True, True, True, False]
 
 
 def test_justifications(spark):

@@ -19,7 +19,7 @@ def now():
 
 @pytest.fixture
 def store(spark, tmp_path):
-    return tb.ClaimStore(spark, str(tmp_path / "store"))
+    return tb.ClaimStore(spark, str(tmp_path / "store"), claim_key="PatientID")
 
 
 def people(spark, *rows):
@@ -147,7 +147,9 @@ def test_upload_can_be_repeated(spark, small, tmp_path):
     sizes = [store.read(t).count() for t in tables]
     again = au.process_upload(store, claims, "u1", "a.csv", now(), "auditor", settings)
     assert [store.read(t).count() for t in tables] == sizes
-    assert first["total"] == first["Total_Rows"] == 6000 and again["new"] == 0
+    assert first["total"] == first["Total_Rows"] == 6000
+    # The counts of a batch that is run again are those of its first run.
+    assert again["new"] == first["new"] and again["skipped"] == first["skipped"]
     flagged = store.read("claims").where("Fraud_Flag = 1")
     assert flagged.count() <= first["Fraud_Found"] and flagged.where("AI_Justification = ''").count() == 0
     patients = flagged.select("PatientID").distinct()
@@ -157,7 +159,7 @@ def test_upload_can_be_repeated(spark, small, tmp_path):
 
 
 def test_empty_upload(spark, small, tmp_path):
-    store = tb.ClaimStore(spark, str(tmp_path / "store"))
+    store = tb.ClaimStore(spark, str(tmp_path / "store"), claim_key="PatientID")
     empty = fx.claims(spark, small).where("false")
     got = au.process_upload(store, empty, "u0", "none.csv", now(), None, au.Settings("app", trees=5))
     assert got["Total_Rows"] == 0 and got["Fraud_Percent"] is None and got["new"] == 0
@@ -168,7 +170,7 @@ def test_empty_upload(spark, small, tmp_path):
 
 def test_ingest_stream_equals_append_and_restarts(spark, tmp_path):
     arrivals, progress = str(tmp_path / "in"), str(tmp_path / "progress")
-    streamed, batch = tb.ClaimStore(spark, str(tmp_path / "s")), tb.ClaimStore(spark, str(tmp_path / "b"))
+    streamed, batch = tb.ClaimStore(spark, str(tmp_path / "s"), claim_key="PatientID"), tb.ClaimStore(spark, str(tmp_path / "b"), claim_key="PatientID")
     for i in range(3):
         rows = people(spark, *[(f"p{k}", i, float(k)) for k in range(i * 5, i * 5 + 8)])
         rows.write.mode("append").parquet(arrivals)
@@ -197,3 +199,28 @@ def test_settings_are_checked_and_logged(store):
     assert au.settings_event(store, au.Settings("app", 0.2, 50), "e1", now()) == 1
     row = store.read("audit_log").first()
     assert (row.uid, row.description) == ("guest", "Updated sensitivity to 0.2 and trees to 50.")
+
+
+def test_append_that_ended_early_is_completed(spark, tmp_path):
+    store = tb.ClaimStore(spark, str(tmp_path / "store"), claim_key="PatientID")
+    rows = people(spark, *[(f"p{i}", i, float(i)) for i in range(10)])
+    store.append_new("claims", people(spark, ("p1", 1, 1.0)), now())
+    first = store.append_new("claims", rows, now(), batch_id="b")
+    assert (first["new"], first["skipped"]) == (9, 1)
+    # As if only some of the rows had come in.
+    store.replace("claims", store.read("claims").where("PatientID < 'p5'"))
+    assert store.append_new("claims", rows, now(), batch_id="b") == first
+    assert sorted(r.PatientID for r in store.read("claims").collect()) == [f"p{i}" for i in range(10)]
+    assert store.append_new("claims", rows, now(), batch_id="b") == first
+    assert store.read("claims").count() == 10
+
+
+def test_stray_folders_and_old_snapshots(spark, store, tmp_path):
+    store.append_new("claims", people(spark, ("a", 1, 1.0)), now())
+    for age in (2, 3):
+        store.upsert("claims", people(spark, ("a", age, 1.0)), now())
+    (tmp_path / "store" / "claims" / "_tmp").mkdir()
+    (tmp_path / "store" / "claims" / "v1").mkdir()
+    assert store.read("claims").first().Age == 3
+    assert store.expire("claims", keep=1) == 2 and store.expire("claims") == 0
+    assert store.read("claims").first().Age == 3

@@ -41,6 +41,29 @@ def test_timestamps_that_do_not_parse_are_null(spark):
     ]
 
 
+def test_usual_layouts_of_dates_and_times(spark):
+    day, morning, evening = datetime(2024, 1, 25), datetime(2024, 1, 25, 10, 30), datetime(2024, 1, 25, 22, 30, 5)
+    layouts = {
+        "25-01-2024": day,
+        "25/01/2024 10:30": morning,
+        "25.1.2024 22:30:05": evening,
+        "2024/01/25": day,
+        "2024/1/25 10:30": morning,
+        "25 Jan 2024": day,
+        "25-Jan-2024 10:30 am": morning,
+        "25 January 2024": day,
+        "Jan 25, 2024 10:30 PM": datetime(2024, 1, 25, 22, 30),
+        "01/25/2024 10:30 AM": morning,
+        "1/25/2024 10:30:05 PM": evening,
+        " 2024-01-25T10:30:00 ": morning,
+        "03/04/2024": datetime(2024, 3, 4),
+        "31/31/2024": None,
+        "25-01": None,
+    }
+    got = values(spark, [(t,) for t in layouts], "t string", vl.parse_timestamp(F.col("t")))
+    assert dict(zip(layouts, got)) == layouts
+
+
 def test_nan_never_satisfies_a_rule(spark):
     rows = [(math.nan,), (None,), (3.0,), (math.inf,), (1.0,)]
     clean = vl.nan_to_null(F.col("x"))
