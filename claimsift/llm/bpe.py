@@ -33,6 +33,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 LEAF_CHARS = 16_384
 # Characters on either side of a cut in the first window.
 WINDOW = 64
+# Bytes of text encoded at once.
+TEXT_BYTES = 4_000_000
 
 IDS = "doc_id long, ids array<int>"
 
@@ -160,14 +162,14 @@ def encode(docs: DataFrame, path: str = TOKENIZER, leaf: int = LEAF_CHARS, windo
     def short_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = chunks.encoder(path, spaces=True)
         for batch in batches:
-            for part in chunks.slices(batch, "text"):
+            for part in chunks.slices(batch, "text", TEXT_BYTES):
                 out = coder.encode(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(out["ids"], out["counts"])], ["doc_id", "ids"])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = chunks.encoder(path, spaces=True)
         for batch in batches:
-            for part in chunks.slices(batch, "leaf"):
+            for part in chunks.slices(batch, "leaf", TEXT_BYTES):
                 out = coder.encode(part.column("leaf"))
                 ends = np.cumsum(out["counts"]) * 4
                 raw = out["ids"].astype("<i4").tobytes()

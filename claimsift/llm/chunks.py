@@ -69,12 +69,12 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch whose texts have about ``SLICE_BYTES`` bytes or are one row."""
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts have about ``size`` bytes or are one row."""
     if not batch.num_rows:
         return
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
-    part = np.cumsum(sizes) // SLICE_BYTES
+    part = np.cumsum(sizes) // size
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         yield batch.slice(a, b - a)

@@ -37,6 +37,8 @@ ROWS, BANDS = 6, 42
 PERMUTATIONS = ROWS * BANDS // 2
 BLOCK = 256
 HUBS = 8
+# Bytes of text described at once: each takes some fifty bytes of working arrays.
+TEXT_BYTES = 1_000_000
 # Narrow tables of up to so many rows are broadcast after they were counted.
 BROADCAST_ROWS = 1_000_000
 SEED = 11
@@ -183,7 +185,7 @@ def described(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks.slices(batch, "text"):
+            for part in chunks.slices(batch, "text", TEXT_BYTES):
                 hashes, counts, digests = words(part.column("text"))
                 ends, sizes, keys = np.cumsum(counts), [], []
                 for n, end in zip(counts, ends):

@@ -22,6 +22,8 @@ from claimsift.llm import chunks
 from claimsift.llm.common import table
 
 PASSAGE_WORDS = 64
+# Bytes of text described at once: each takes some fifty bytes of working arrays.
+TEXT_BYTES = 1_000_000
 BUCKETS = 64
 # Labelled documents that the model is fitted on, drawn by a hash of their ids.
 FIT_DOCUMENTS = 4096
@@ -208,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = FIT_DOCUMENTS, colum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks.slices(batch, "text"):
+            for part in chunks.slices(batch, "text", TEXT_BYTES):
                 x, counts = passages(part.column("text"))
                 ends = np.cumsum(counts)
                 raw = [x[b - n : b].tobytes() for n, b in zip(counts, ends)]
@@ -230,7 +232,7 @@ def scorer(model: Attention):
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([texts], ["text"])
-        parts = [model.score(*passages(part.column("text"))) for part in chunks.slices(batch, "text")]
+        parts = [model.score(*passages(part.column("text"))) for part in chunks.slices(batch, "text", TEXT_BYTES)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     return score
