@@ -3,18 +3,21 @@
 Vectors of length one are projected to a few dimensions, shifted, and put in
 the order of a Hilbert curve; several projections and shifts give several
 orders. Each order is range-partitioned and cut into blocks. A query meets its
-own block and the two next to it, in every order; what it finds there is merged
-and ranked by the exact cosine. Every row is indexed and every equal vector is
-found with its class, so ties are whole.
+own block and those within a reach of it, in every order; what it finds there is
+merged and ranked by the exact cosine. The reach is measured on the rows at hand:
+a bounded number of queries is answered by brute force, and the reach is the
+least by which the orders hold the wanted share of those answers. Every row is
+indexed and every equal vector is found with its class, so ties are whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from claimsift.llm import vectors
 from claimsift.llm.common import stored, table
@@ -25,8 +28,12 @@ QUERY_STEP = 50
 CURVES = 10
 DIMENSIONS = 8
 BITS = 7
-# Rows of a block: a query meets three of them in every order.
+# Rows of a block: a query meets three of them at least in every order.
 BLOCK = 4096
+# Queries answered by brute force, and the share of their answers that the reach
+# has to hold: the contract's 0.9 and a margin for the sample's error.
+PROBES = 256
+RECALL = 0.95
 # Vectors that fix the scale of the projections; everything is indexed.
 SAMPLE = 4096
 SEED = 20260
@@ -78,6 +85,52 @@ def units(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def nearest(members: DataFrame, asked: DataFrame, k: int, size: int) -> list[tuple[int, int]]:
+    """``(query class, class)``: the ``k`` classes of largest cosine for up to
+    ``size`` of the classes in ``asked``, by brute force over all of ``members``."""
+    drawn = asked.orderBy(F.xxhash64("asked"), "asked").limit(size)
+    probes = members.join(F.broadcast(drawn), F.col("class_id") == F.col("asked")).select("class_id", "vec").collect()
+    if not probes:
+        return []
+    names = np.array([r.class_id for r in probes], dtype=np.int64)
+    vecs = units(np.array([r.vec for r in probes], dtype=float))
+
+    def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Only the best so far of each probe stay from one batch to the next.
+        ids, scores = np.zeros((len(names), 0), dtype=np.int64), np.zeros((len(names), 0))
+        for part in parts:
+            if len(part):
+                theirs = part["class_id"].to_numpy()
+                found = vecs @ units(np.stack(part["vec"].to_numpy()).astype(float)).T
+                found[names[:, None] == theirs] = -np.inf
+                ids = np.hstack([ids, np.broadcast_to(theirs, found.shape)])
+                scores = np.hstack([scores, found])
+                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                ids, scores = np.take_along_axis(ids, top, 1), np.take_along_axis(scores, top, 1)
+        rows = np.repeat(names, ids.shape[1])
+        out = pd.DataFrame({"probe": rows, "class_id": ids.ravel(), "score": scores.ravel()})
+        yield out[np.isfinite(out["score"])]
+
+    found = members.select("class_id", "vec").mapInPandas(best, "probe long, class_id long, score double")
+    order = Window.partitionBy("probe").orderBy(F.desc("score"), "class_id")
+    found = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    return [(r.probe, r.class_id) for r in found.select("probe", "class_id").collect()]
+
+
+def reach(placed: DataFrame, pairs: list[tuple[int, int]], share: float) -> int:
+    """The least number of blocks on either side, one at least, within which the
+    orders together hold ``share`` of ``pairs``."""
+    if not pairs:
+        return 1
+    spark = placed.sparkSession
+    ids = spark.createDataFrame([(int(i),) for i in sorted({i for pair in pairs for i in pair})], "class_id long")
+    at = {}
+    for r in placed.join(F.broadcast(ids), "class_id").select("curve", "block", "class_id").collect():
+        at.setdefault(r.class_id, {})[r.curve] = r.block
+    apart = sorted(min(abs(b - at[other][c]) for c, b in at[probe].items()) for probe, other in pairs)
+    return max(1, apart[max(0, math.ceil(share * len(apart)) - 1)])
+
+
 def neighbours(
     embeddings: DataFrame,
     k: int = NEIGHBOURS,
@@ -87,10 +140,12 @@ def neighbours(
     bits: int = BITS,
     block: int = BLOCK,
     seed: int = SEED,
+    recall: float = RECALL,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row of ``embeddings`` (vec_id,
     embedding) whose id is divisible by ``step``, the ``k`` rows of largest
-    cosine that were found. See ``vectors.clean`` for the rows that take part;
+    cosine that were found; ``recall`` is the share of the true ones that a sample
+    of the queries must find. See ``vectors.clean`` for the rows that take part;
     zero vectors don't."""
     rows = vectors.clean(embeddings)
     rows = stored(rows.where(F.exists("vec", lambda x: x != 0)), "curve-rows")
@@ -114,7 +169,9 @@ def neighbours(
     indexed = indexed.join(asked, F.col("class_id") == F.col("asked"), "left")
     spread = indexed.select(F.posexplode("keys").alias("curve", "key"), "class_id", "vec", F.col("asked").isNotNull().alias("query"))
     placed = vectors.blocks(spread, "curve", ["key", "class_id"], block, "curve-order").select("curve", "block", "class_id", "vec", "query")
-    near = F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1))
+    far = F.lit(reach(placed, nearest(members, asked, k, PROBES), recall)).cast("long")
+    last = placed.agg(F.max("block")).first()[0] or 0
+    near = F.explode(F.sequence(F.greatest(F.col("block") - far, F.lit(0)), F.least(F.col("block") + far, F.lit(last))))
     asking = placed.where("query").select("curve", near.alias("block"), "class_id", "vec", F.lit(True).alias("query"))
     met = placed.withColumn("query", F.lit(False)).union(asking)
 

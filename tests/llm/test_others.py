@@ -50,6 +50,19 @@ def test_neighbours_against_all_pairs(spark, vector_rows):
     assert curves.neighbours(spark.createDataFrame([], VECTORS)).collect() == []
 
 
+def test_recall_holds_when_blocks_are_a_small_share(spark):
+    """Three blocks are a hundredth of the rows, and nothing is near anything."""
+    rng = np.random.default_rng(3)
+    vecs = rng.normal(size=(4800, 64))
+    vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vecs)]
+    got = curves.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=16).collect()
+    cosine = vecs[::50] @ vecs.T
+    cosine[np.arange(96), np.arange(0, 4800, 50)] = -1
+    best = {50 * q: set(np.argsort(-c)[:5].tolist()) for q, c in enumerate(cosine)}
+    assert sum(r.vec_id in best[r.query_id] for r in got) >= 0.9 * 5 * 96
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e9])
 def test_top_against_all_pairs(spark, vector_rows, scale):
     rows = [(i, v and [x if x is None else x * scale for x in v], a, b) for i, v, a, b in vector_rows]
