@@ -149,8 +149,9 @@ def mix(docs: DataFrame, key: Column | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, source): what the mix takes of it.
 
     ``doc_id, source, size, source_size, target, taken`` and ``copies``, the
-    passes in which the block of its first word is taken, with ``key`` if one
-    is given. Null sources are one source; null and empty texts have size 0,
+    passes in which its first word comes before the source's quota, with ``key``
+    if one is given. ``taken`` goes by the slots, as in the SQL: a source whose
+    quota is about a block or less may get none. ``copies`` does not. Null sources are one source; null and empty texts have size 0,
     are never taken and have no copies. Rows may repeat and ``doc_id`` may be
     null or repeated; rows that are alike in ``doc_id`` and size may change
     places, which changes no figure.
@@ -178,23 +179,19 @@ def mix(docs: DataFrame, key: Column | None = None) -> DataFrame:
     once = once.withColumn("to", F.least(F.col("from") + F.col("size"), F.col("quota")))
     first, last = F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block)
     pieces = once.withColumn("block", F.explode(F.sequence(first, last)))
-    pieces = pieces.withColumns(
-        {
-            "words": F.least("to", (F.col("block") + 1) * block) - F.greatest("from", F.col("block") * block),
-            "heads": (F.col("block") == first).cast("long"),
-        }
-    )
+    pieces = pieces.withColumn("words", F.least("to", (F.col("block") + 1) * block) - F.greatest("from", F.col("block") * block))
     taken = (
-        pieces.select("place", "block", "start", "words", "heads")
+        pieces.select("place", "block", "start", "words")
         .join(slots, ["place", "block"])
         .groupBy("place", "start")
-        .agg(F.sum("words").alias("taken"), F.sum("heads").alias("copies"))
+        .agg(F.sum("words").alias("taken"))
     )
     # Where a document has words, no other of its source starts there.
     joined = filled.join(taken, ["place", "start"], "left")
     out = ["doc_id", "source", "size", "source_size", "target", "taken", "copies", "key"]
     zero = F.lit(0).cast("long")
-    whole = joined.withColumns({"taken": F.coalesce("taken", zero), "copies": F.coalesce("copies", zero)})
+    heads = [(F.lit(p) * F.col("source_size") + F.col("start") < F.col("quota")).cast("long") for p in range(PASSES)]
+    whole = joined.withColumns({"taken": F.coalesce("taken", zero), "copies": sum(heads, zero)})
     empty = placed.where("size = 0").withColumns({"taken": zero, "copies": zero})
     return whole.select(*out).union(empty.select(*out))
 
@@ -202,8 +199,8 @@ def mix(docs: DataFrame, key: Column | None = None) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of the mix: each row of ``docs`` as often as ``copies`` says.
 
-    Whole documents stand for the words taken of them: a pass over a source
-    gives those whose first word lies in a block that is taken.
+    Whole documents stand for the words of a quota: a pass over a source gives
+    those whose first word comes before it, so every source reaches its target.
     """
     key = F.unhex(F.md5(F.to_json(F.struct(*[F.col(c) for c in docs.columns])).cast("binary")))
     taken = mix(docs, key).where("copies > 0").groupBy("key").agg(F.sum("copies").alias("_copies"))

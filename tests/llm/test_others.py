@@ -193,6 +193,16 @@ def test_mixture_repeats_rows(odd, odd_rows, none):
     assert {tuple(r) for r in got} <= set(odd_rows)
 
 
+def test_small_sources_beside_a_hot_one_reach_their_quota(spark, monkeypatch):
+    """With blocks of 472 words, twenty sources of 5 words have a place each."""
+    monkeypatch.setattr(mixing, "SLOTS", 64)
+    rows = [(i, "w " * 100, "hot") for i in range(200)] + [(1000 + i, "w " * 5, f"small{i}") for i in range(20)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(r.doc_id for r in got if r.source != "hot") == sorted([*range(1000, 1020)] * 2)
+    # 1.5 times all words, less twice the words of the small ones.
+    assert 29950 <= 100 * sum(r.source == "hot" for r in got) < 29950 + 100
+
+
 def test_pipeline_of_the_smallest_tables(spark):
     import corpus_pipeline
 
