@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from claimsift.llm import bpe, curves, linedup, merkle, minmax, mixing, offsets, pivots, quality, tokenfile, warc
+from claimsift.llm import bpe, curves, importance, language, linedup, merkle, minmax, mixing, offsets, pivots, quality, tokenfile, warc
 
 QUERIES = {
     "op1_curve_neighbours": curves.query,
@@ -18,6 +18,8 @@ QUERIES = {
     "op8_pivot_topk": pivots.query,
     "op9_token_files": tokenfile.query,
     "op10_tree_bpe": bpe.query,
+    "op11_importance_sample": importance.query,
+    "op12_language_kernel": language.query,
     "op13_merkle_manifest": merkle.query,
 }
 
@@ -26,5 +28,6 @@ ORACLES = {
     "op5_source_schedule": mixing.ORACLE,
     "op7_minmax_duplicates": minmax.ORACLE,
     "op8_pivot_topk": pivots.ORACLE,
+    "op11_importance_sample": importance.ORACLE,
     "op13_merkle_manifest": merkle.ORACLE,
 }
