@@ -194,9 +194,8 @@ def manifest(docs: DataFrame, changed_text: Column | None = None) -> DataFrame:
     rows = numbered(leaves(docs, changed_text), ["tree"], order, "merkle-leaves")
     made, subroots = grown(rows.withColumnRenamed("leaf", "digest"), "merkle-source")
     # The same over the subroots: one tree whose items are the sources' trees.
-    subroots = subroots.select(F.lit(0).alias("all"), "tree", "band", F.col("digest").alias("subroot"))
-    placed = numbered(subroots, ["all"], [F.col("tree")], "merkle-subroots")
-    placed = placed.withColumns({"all": F.lit(""), "source": F.col("tree")}).withColumn("tree", F.col("all"))
+    subroots = subroots.select(F.lit("").alias("all"), F.col("tree").alias("source"), "band", F.col("digest").alias("subroot"))
+    placed = numbered(subroots, ["all"], [F.col("source")], "merkle-subroots").withColumnRenamed("all", "tree")
     upper, root = grown(placed.withColumnRenamed("subroot", "digest"), "merkle-top")
     root = root.select("tree", "band", F.col("digest").alias("root"), F.array().cast("array<struct<level:int,low:bigint,digest:string,last:boolean>>").alias("path"))
     tops = placed.select("tree", F.col("rank").alias("at"), "source", "band", "subroot").withColumnRenamed("band", "height")
