@@ -10,8 +10,8 @@ from pyspark.sql import Column, functions as F
 
 DAY_MICROS = 86_400_000_000
 
-# Accepted dates beside ISO text, tried in this order: a date that fits both
-# ways is read month first, one whose month would exceed 12 day first.
+# Accepted dates beside ISO text. A column is read by one of them; where two fit
+# as many of its cells, by the one that stands first here.
 DATE_FORMATS = (
     "M/d/yyyy",
     "M-d-yyyy",
@@ -73,12 +73,23 @@ def holds(predicate: Column) -> Column:
     return F.coalesce(predicate, F.lit(False))
 
 
-def parse_timestamp(text: Column) -> Column:
-    """Text to timestamp, NULL where no layout fits."""
-    text = F.btrim(text)
-    attempts = [F.try_to_timestamp(text)]
-    attempts += [F.try_to_timestamp(text, F.lit(date + CLOCK)) for date in DATE_FORMATS]
-    return F.coalesce(*attempts)
+def parse_iso(text: Column) -> Column:
+    """ISO text to timestamp, which no other layout can be taken for."""
+    return F.try_to_timestamp(F.btrim(text))
+
+
+def parse_layout(text: Column, layout: str) -> Column:
+    """Text in one of ``DATE_FORMATS``, with or without a clock, to timestamp."""
+    return F.try_to_timestamp(F.btrim(text), F.lit(layout + CLOCK))
+
+
+def parse_timestamp(text: Column, layouts: tuple[str, ...] = DATE_FORMATS) -> Column:
+    """Text to timestamp, NULL where neither ISO nor a layout fits.
+
+    Meant for a column's own layout (see ``features.time_layouts``). With
+    several, a cell takes the first that fits: 5/3 is May 3 and 13/3 March 13.
+    """
+    return F.coalesce(parse_iso(text), *[parse_layout(text, layout) for layout in layouts])
 
 
 def whole_days(start: Column, end: Column) -> Column:

@@ -2,22 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from dataclasses import dataclass
 
-from claimsift.functions.values import finite_or_null, nan_to_null, parse_timestamp, whole_days
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from claimsift.functions.values import DATE_FORMATS, finite_or_null, nan_to_null, parse_iso, parse_layout, parse_timestamp, whole_days
 from claimsift.operators import lookup
 from claimsift.schema import BATCH_REQUIRED, CLAIM_TYPES, TIME_COLUMNS, check_profile, has
 from claimsift.session import materialize
 
 
-def parse_timestamps(df: DataFrame) -> DataFrame:
-    """The four time columns as timestamps, NULL where they do not parse."""
+@dataclass(frozen=True)
+class TimeLayout:
+    """How a text column of times is read: its layout, and what that does to its cells."""
+
+    layout: str | None
+    cells: int
+    read: int
+
+    @property
+    def misfits(self) -> int:
+        return self.cells - self.read
+
+
+def text_times(df: DataFrame) -> list[str]:
+    """The time columns that a frame has as text."""
+    return [f.name for f in df.schema.fields if f.name in TIME_COLUMNS and isinstance(f.dataType, T.StringType)]
+
+
+def time_layouts(df: DataFrame) -> dict[str, TimeLayout]:
+    """The one layout of each text column of times, from all its cells.
+
+    One aggregate counts the cells that each layout fits; a cell with a day
+    above 12 so decides between day first and month first. ISO cells are read
+    beside any layout. Where two fit as many cells, the first in
+    ``DATE_FORMATS`` is taken; a column without other dates has none.
+    """
+    names = text_times(df)
+    if not names:
+        return {}
+    counts = []
+    for k, name in enumerate(names):
+        cell = F.nullif(F.btrim(F.col(name)), F.lit(""))
+        other = cell.isNotNull() & parse_iso(cell).isNull()
+        counts += [F.count(cell).alias(f"cells{k}"), F.count_if(other).alias(f"other{k}")]
+        counts += [F.count_if(other & parse_layout(cell, x).isNotNull()).alias(f"fit{k}_{n}") for n, x in enumerate(DATE_FORMATS)]
+    row = df.agg(*counts).first()
+    found = {}
+    for k, name in enumerate(names):
+        fits = [row[f"fit{k}_{n}"] for n in range(len(DATE_FORMATS))]
+        best = max(range(len(fits)), key=lambda n: (fits[n], -n))
+        layout = DATE_FORMATS[best] if fits[best] else None
+        found[name] = TimeLayout(layout, row[f"cells{k}"], row[f"cells{k}"] - row[f"other{k}"] + fits[best])
+    return found
+
+
+def layout_report(spark: SparkSession, found: dict[str, TimeLayout]) -> DataFrame:
+    """One row per text column of times, with the cells that were not read."""
+    rows = [(name, x.layout or "ISO", x.cells, x.read, x.misfits) for name, x in found.items()]
+    return spark.createDataFrame(rows, "time_column string, layout string, cells long, read long, misfits long")
+
+
+def parse_timestamps(df: DataFrame, layouts: dict[str, TimeLayout] | None = None) -> DataFrame:
+    """The four time columns as timestamps, NULL where they do not parse.
+
+    Each text column is read by one layout, inferred from all its cells unless
+    it is given. A stream cannot be looked through: there, columns without a
+    given layout are read as ISO text.
+    """
+    if layouts is None:
+        layouts = {} if df.isStreaming else time_layouts(df)
     changed: dict[str, Column] = {}
     for field in df.schema.fields:
         if field.name not in TIME_COLUMNS:
             continue
         if isinstance(field.dataType, T.StringType):
-            changed[field.name] = parse_timestamp(F.col(field.name))
+            own = layouts.get(field.name)
+            changed[field.name] = parse_timestamp(F.col(field.name), (own.layout,) if own and own.layout else ())
         elif not isinstance(field.dataType, T.TimestampType):
             changed[field.name] = F.col(field.name).cast("timestamp")
     return df.withColumns(changed) if changed else df
@@ -41,18 +102,19 @@ def typed(field: T.StructField) -> Column:
     return column.try_cast(wanted)
 
 
-def typed_claims(df: DataFrame, profile: str = "app") -> DataFrame:
+def typed_claims(df: DataFrame, profile: str = "app", layouts: dict[str, TimeLayout] | None = None) -> DataFrame:
     """P06, first half: known columns in their types, NaN turned into NULL.
 
     The batch profile refuses a frame without its columns; the app profile
-    takes what is there, and later steps fill in defaults.
+    takes what is there, and later steps fill in defaults. ``layouts`` says how
+    text columns of times are written, where that is known already.
     """
     check_profile(profile)
     missing = [c for c in BATCH_REQUIRED if c not in df.columns]
     if profile == "batch" and missing:
         raise ValueError(f"batch profile needs the columns {missing}")
     changed = {f.name: typed(f) for f in df.schema.fields if f.name in CLAIM_TYPES and f.name not in TIME_COLUMNS}
-    return parse_timestamps(df.withColumns(changed) if changed else df)
+    return parse_timestamps(df.withColumns(changed) if changed else df, layouts)
 
 
 def resolve_cost_col(df: DataFrame) -> str | None:

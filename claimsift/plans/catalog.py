@@ -259,25 +259,30 @@ def s15_insert_defaults(spark: SparkSession, sf: str) -> DataFrame:
 # --- Projections ------------------------------------------------------------
 
 
-@query
-def p01_parse_timestamps(spark: SparkSession, sf: str) -> DataFrame:
-    layouts = ("MM/dd/yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "d MMM yyyy", "MM/dd/yyyy hh:mm a", "dd.MM.yyyy HH:mm")
-    written = F.array(*[F.date_format("Admission_Timestamp", layout) for layout in layouts])
-    text = F.element_at(written, (F.col("Hospital_PIN") % len(layouts) + 1).cast("int"))
-    iso = F.date_format("Discharge_Timestamp", "yyyy-MM-dd HH:mm:ss")
-    texts = fx.claims(spark, sf).select(
-        "TransactionID",
-        F.when(F.col("Gender") == "Male", text).otherwise(F.lit("not a date")).alias("Admission_Timestamp"),
-        iso.alias("Discharge_Timestamp"),
-    )
-    parsed = ft.parse_timestamps(texts)
-    return parsed.select(
+def written_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims whose time columns are texts, each in a layout of its own."""
+    admitted = F.date_format("Admission_Timestamp", "dd/MM/yyyy HH:mm")
+    return fx.claims(spark, sf).select(
         "TransactionID",
-        day("Admission_Timestamp").alias("admitted"),
-        F.date_format("Discharge_Timestamp", "yyyy-MM-dd HH:mm:ss").alias("discharged"),
+        F.when(F.col("Gender") == "Male", admitted).otherwise(F.lit("not a date")).alias("Admission_Timestamp"),
+        F.date_format("Discharge_Timestamp", "MM/dd/yyyy hh:mm a").alias("Discharge_Timestamp"),
+        F.date_format("PreAuth_Request_Date", "d MMM yyyy").alias("PreAuth_Request_Date"),
+        F.date_format("PreAuth_Approval_Date", "yyyy-MM-dd").alias("PreAuth_Approval_Date"),
     )
 
 
+@query
+def p01_parse_timestamps(spark: SparkSession, sf: str) -> DataFrame:
+    stamp = "yyyy-MM-dd HH:mm:ss"
+    parsed = ft.parse_timestamps(written_times(spark, sf))
+    return parsed.select("TransactionID", *[F.date_format(c, stamp).alias(c) for c in ft.TIME_COLUMNS])
+
+
+@query
+def p01_layout_report(spark: SparkSession, sf: str) -> DataFrame:
+    return ft.layout_report(spark, ft.time_layouts(written_times(spark, sf)))
+
+
 @query
 def p02_los(spark: SparkSession, sf: str) -> DataFrame:
     claims = typed(spark, sf)

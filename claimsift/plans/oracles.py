@@ -267,11 +267,17 @@ oracle(
 oracle(
     "p01_parse_timestamps",
     CLAIMS,
-    # Written day first, days up to 12 are read as months.
-    f"""SELECT TransactionID,
-CASE WHEN Gender = 'Male' AND Hospital_PIN % 6 = 1 AND day(Admission_Timestamp) <= 12 THEN strftime(Admission_Timestamp, '%Y-%d-%m')
-WHEN Gender = 'Male' THEN strftime(Admission_Timestamp, '%Y-%m-%d') END AS admitted,
-{STAMP.format('Discharge_Timestamp')} AS discharged FROM claims""",
+    f"""SELECT TransactionID, CASE WHEN Gender = 'Male' THEN {STAMP.format('Admission_Timestamp')} END AS Admission_Timestamp,
+{', '.join(f"{STAMP.format(c)} AS {c}" for c in ('Discharge_Timestamp', 'PreAuth_Request_Date', 'PreAuth_Approval_Date'))} FROM claims""",
+)
+oracle(
+    "p01_layout_report",
+    CLAIMS,
+    """SELECT 'Admission_Timestamp' AS time_column, 'd/M/yyyy' AS layout, count(*) AS cells,
+count(*) FILTER (Gender = 'Male') AS read, count(*) FILTER (Gender <> 'Male') AS misfits FROM claims
+UNION ALL SELECT 'Discharge_Timestamp', 'M/d/yyyy', count(*), count(*), 0 FROM claims
+UNION ALL SELECT 'PreAuth_Request_Date', 'd MMM yyyy', count(*), count(*), 0 FROM claims
+UNION ALL SELECT 'PreAuth_Approval_Date', 'ISO', count(PreAuth_Approval_Date), count(PreAuth_Approval_Date), 0 FROM claims""",
 )
 for name, column in [("p02_los", "LOS"), ("p03_preauth_delay", "PreAuth_Delay"), ("p04_cost_to_package", "Cost_to_Package")]:
     oracle(name, FEATURES, f"SELECT TransactionID, {column} FROM features")

@@ -21,9 +21,14 @@ def scored_stream(
     hospitals: DataFrame,
     patients: DataFrame,
     profile: str = "app",
+    layouts: dict[str, ft.TimeLayout] | None = None,
 ) -> DataFrame:
-    """Verdicts on streamed claims; the model's label is relative to the saved cut."""
-    typed = ft.typed_claims(claims, profile)
+    """Verdicts on streamed claims; the model's label is relative to the saved cut.
+
+    ``layouts`` are those of earlier claims (``features.time_layouts``); text
+    times without one are read as ISO.
+    """
+    typed = ft.typed_claims(claims, profile, layouts)
     looked_up = ft.attach_patients(ft.attach_hospitals(ft.claim_ratios(typed), hospitals), patients)
     cost = ft.resolve_cost_col(typed)
     own = F.col(cost) if cost else F.lit(0.0)

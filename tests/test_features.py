@@ -171,3 +171,46 @@ def test_missing_diagnosis_uses_hospital_id(spark):
 def test_parse_keeps_timestamps(spark):
     df = spark.createDataFrame([(datetime(2024, 1, 1),)], "Admission_Timestamp timestamp")
     assert ft.parse_timestamps(df).first()[0] == datetime(2024, 1, 1)
+
+
+def times(spark, *columns):
+    """A frame with one text column of times per list of cells."""
+    from claimsift.schema import TIME_COLUMNS
+
+    names = TIME_COLUMNS[: len(columns)]
+    return spark.createDataFrame(list(zip(*columns)), ", ".join(f"{n} string" for n in names)), names
+
+
+def test_a_column_has_one_layout(spark):
+    """One day above 12 decides for all cells; what does not fit is counted."""
+    day_first = ["05/03/2024", "13/03/2024", "01/02/2024 08:30", None, " ", "junk"]
+    month_first = ["05/03/2024", "03/13/2024", "01/02/2024 8:30 PM", "13/13/2024", None, "2024-05-06"]
+    either = ["05/03/2024", "01/02/2024", None, None, None, None]
+    dots = ["5.3.2024", "13.3.2024", "1.2.2024", "31.12.2024", "03/04/2024", "2024-01-02T03:04:05"]
+    df, names = times(spark, day_first, month_first, either, dots)
+    found = ft.time_layouts(df)
+    assert [(found[n].layout, found[n].cells, found[n].misfits) for n in names] == [
+        ("d/M/yyyy", 4, 1),
+        ("M/d/yyyy", 5, 1),
+        ("M/d/yyyy", 2, 0),
+        ("d.M.yyyy", 6, 1),
+    ]
+    rows = [tuple(r) for r in ft.parse_timestamps(df).collect()]
+    assert [r[0] for r in rows] == [datetime(2024, 3, 5), datetime(2024, 3, 13), datetime(2024, 2, 1, 8, 30), None, None, None]
+    assert [r[1] for r in rows] == [datetime(2024, 5, 3), datetime(2024, 3, 13), datetime(2024, 1, 2, 20, 30), None, None, datetime(2024, 5, 6)]
+    assert [r[2] for r in rows][:2] == [datetime(2024, 5, 3), datetime(2024, 1, 2)]
+    assert [r[3] for r in rows] == [datetime(2024, 3, 5), datetime(2024, 3, 13), datetime(2024, 2, 1), datetime(2024, 12, 31), None, datetime(2024, 1, 2, 3, 4, 5)]
+
+
+def test_given_layouts_are_not_inferred_again(spark):
+    df, names = times(spark, ["01/02/2024", "03/04/2024"])
+    layouts = {names[0]: ft.TimeLayout("d/M/yyyy", 0, 0)}
+    assert [r[0] for r in ft.typed_claims(df, layouts=layouts).collect()] == [datetime(2024, 2, 1), datetime(2024, 4, 3)]
+
+
+def test_columns_of_nothing_but_gaps(spark):
+    df, names = times(spark, [None, ""])
+    assert ft.time_layouts(df)[names[0]] == ft.TimeLayout(None, 0, 0)
+    assert [r[0] for r in ft.parse_timestamps(df).collect()] == [None, None]
+    assert ft.time_layouts(df.where("false"))[names[0]].cells == 0
+    assert ft.layout_report(spark, ft.time_layouts(df)).first().layout == "ISO"
