@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from claimsift.llm import chunks
-from claimsift.llm.common import table
+from claimsift.llm.common import stored, table
 
 LONGEST = 3
 # Labelled documents that the model is fitted on at most, drawn by a hash of
@@ -177,15 +177,20 @@ def train(docs: DataFrame, sample: int = FIT_DOCUMENTS, languages: int = LANGUAG
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("_lang"), F.col("text").cast("string").alias("text"))
     known = known.where(F.col("_lang").isNotNull() & ~held_out(F.col("doc_id"))).where(F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(languages).collect()
+    draw = F.xxhash64("doc_id", "text").alias("_text")
+    keys = stored(known.select("_lang", "doc_id", draw).distinct(), "language-rows")
+    counts = keys.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(languages).collect()
     if not counts:
         return fit([], [])
     each = max(1, sample // len(counts))
     named = known.where(F.col("_lang").isin(*[r["_lang"] for r in counts]))
-    # Few ids of each language pass a task; texts are fetched for those alone.
-    keys = named.select("_lang", "doc_id", F.xxhash64("doc_id", "text").alias("_text")).distinct()
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("doc_id", "_text"), "doc_id", "_text")
-    keys = keys.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each)
+    # Some four times as many as wanted pass by their draw alone, whatever the
+    # language holds; those are put in order.
+    place = F.pmod(F.xxhash64("doc_id", "_text"), F.lit(1 << 30))
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["_lang"], max(1, min(1 << 30, (each << 32) // r["n"])))])
+    order = Window.partitionBy("_lang").orderBy("_place", "doc_id", "_text")
+    keys = keys.withColumn("_place", place).where(F.col("_place") < shares[F.col("_lang")])
+    keys = keys.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).drop("_place")
     picked = F.broadcast(keys.withColumnRenamed("doc_id", "_id"))
     texts = named.withColumn("_text", F.xxhash64("doc_id", "text")).join(picked.withColumnRenamed("_lang", "_of"), "_text")
     texts = texts.where(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_lang") == F.col("_of")))
