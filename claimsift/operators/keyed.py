@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from claimsift.operators import lookup, sketch
 from claimsift.operators.features import spread_of
 from claimsift.operators.lookup import attach_spread
 from claimsift.schema import has
+from claimsift.session import materialize
 
 
 def first_claim(df: DataFrame) -> list[Column]:
@@ -42,21 +44,35 @@ def keys_of(target: DataFrame, key: str) -> DataFrame:
     return target.select(F.col(key).cast("string").alias("_key")).where(F.col("_key").isNotNull()).distinct()
 
 
-def found_keys(target: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Keys of ``target`` among a small set: no shuffle of the table."""
-    keys = target.select(F.col(key).cast("string").alias("_key"))
-    return keys.join(F.broadcast(wanted.select("_key")), "_key", "left_semi").distinct()
+def found_keys(target: DataFrame, key: str, wanted: DataFrame, count: int, own: Column | None = None) -> DataFrame:
+    """``(_key, _own)`` of those keys of ``target`` that are among ``wanted``.
 
+    ``wanted`` is stored and has ``count`` keys. A small set is broadcast; of a
+    larger one a sketch goes to the table, and only rows that pass it are
+    shuffled. ``_own`` tells whether ``own`` holds in a row of the key.
+    """
+    own = F.lit(False) if own is None else F.coalesce(own, F.lit(False))
+    keys = target.select(F.col(key).cast("string").alias("_key"), own.alias("_own")).where(F.col("_key").isNotNull())
+    wanted = wanted.select("_key").where(F.col("_key").isNotNull())
+    if count <= lookup.BROADCAST_ROWS:
+        near = keys.join(F.broadcast(wanted), "_key", "left_semi")
+    else:
+        passed = sketch.members(keys, "_key", sketch.sketch(wanted, "_key", count), count)
+        near = passed.groupBy("_key").agg(F.bool_or("_own").alias("_own")).join(wanted, "_key", "left_semi")
+    return near.groupBy("_key").agg(F.bool_or("_own").alias("_own"))
 
-def mark_known(reduced: DataFrame, target: DataFrame, key: str, small: bool = False) -> DataFrame:
-    """Add ``_known`` to the rows of ``one_per_key``: the target has the key already.
 
-    ``small`` says that the caller counted ``reduced`` and found it broadcastable.
+def mark_known(reduced: DataFrame, target: DataFrame, key: str, own: Column | None = None) -> DataFrame:
+    """Add ``_known`` and ``_stored`` to the rows of ``one_per_key``.
+
+    ``_stored``: the target has the key already. ``_known``: it had it before
+    this batch, that is, in a row for which ``own`` does not hold. ``reduced``
+    is written first, as its size decides how it meets the target.
     """
-    known = found_keys(target, key, reduced) if small else keys_of(target, key)
-    return reduced.join(known.withColumn("_hit", F.lit(True)), "_key", "left").withColumn(
-        "_known", F.coalesce("_hit", F.lit(False))
-    ).drop("_hit")
+    reduced = materialize(reduced, "keys")
+    found = found_keys(target, key, reduced, reduced.count(), own)
+    hit = F.col("_own").isNotNull()
+    return reduced.join(found, "_key", "left").withColumns({"_stored": hit, "_known": hit & ~F.col("_own")}).drop("_own")
 
 
 def intake_counts(marked: DataFrame) -> DataFrame:
@@ -80,7 +96,7 @@ def intake_counts(marked: DataFrame) -> DataFrame:
 
 def accepted(marked: DataFrame) -> DataFrame:
     """The rows an append inserts: one per key the target lacks."""
-    return marked.where(F.col("_key").isNotNull() & ~F.col("_known")).drop("_key", "_copies", "_known")
+    return marked.where(F.col("_key").isNotNull() & ~F.col("_stored")).drop("_key", "_copies", "_known", "_stored")
 
 
 def with_known(batch: DataFrame, target: DataFrame, key: str) -> DataFrame:
@@ -92,7 +108,7 @@ def with_known(batch: DataFrame, target: DataFrame, key: str) -> DataFrame:
     reduced = batch.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("_key")).agg(
         F.count(F.lit(1)).alias("_copies")
     )
-    marks = mark_known(reduced, target, key)
+    marks = mark_known(reduced, target, key).drop("_stored")
     keyed = batch.withColumn("_key", F.col(key).cast("string"))
     return attach_spread(keyed, marks, "_key", "_copies", spread_of(batch)).drop("_key")
 
@@ -118,24 +134,19 @@ def merged(
     incoming: DataFrame,
     key: str,
     defaults: dict[str, Column] | None = None,
-    small: bool = False,
 ) -> DataFrame:
     """Insert or replace by key; columns the incoming rows lack stay as they are.
 
     ``incoming`` has one row per key (see ``one_per_key``) and no row without.
-    Inserted rows take ``defaults`` for the columns they lack.
+    Inserted rows take ``defaults`` for the columns they lack. Rows of the
+    target without a key stay as they are.
     """
     shared = [c for c in target.columns if c in incoming.columns]
     new = incoming.select(
         F.col(key).cast("string").alias("_key"), F.struct(*[F.col(c) for c in shared]).alias("_new")
     )
     old = target.select(F.col(key).cast("string").alias("_key"), F.struct(*target.columns).alias("_old"))
-    if small:
-        updated = old.join(F.broadcast(new), "_key", "left")
-        added = new.join(F.broadcast(found_keys(target, key, new)), "_key", "left_anti")
-        joined = updated.unionByName(added, allowMissingColumns=True)
-    else:
-        joined = old.join(new, "_key", "full_outer")
+    joined = old.join(new, "_key", "full_outer")
     defaults = defaults or {}
     columns = []
     for field in target.schema.fields:

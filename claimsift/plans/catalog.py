@@ -128,6 +128,15 @@ def s04_append_counts(spark: SparkSession, sf: str) -> DataFrame:
     return keyed.intake_counts(keyed.mark_known(reduced, target, "PatientID"))
 
 
+@query
+def s04_append_by_claim(spark: SparkSession, sf: str) -> DataFrame:
+    store = tb.ClaimStore(spark, folder(spark, "store"))
+    claims = typed(spark, sf)
+    store.append_new("claims", earlier(claims), moment("2023-01-01 00:00:00"))
+    store.append_new("claims", claims, moment(NOW))
+    return store.read("claims").select("TransactionID", "PatientID", "Age", "Final_Billed_Amount", day("uploaded_at").alias("uploaded"))
+
+
 @query
 def s05_upsert(spark: SparkSession, sf: str) -> DataFrame:
     store, _ = appended(spark, sf)
@@ -189,12 +198,11 @@ def s09_update_claim_status(spark: SparkSession, sf: str) -> DataFrame:
     )
     store.update_claim_status(updates.distinct(), moment(NOW), "batch-1", "analyst")
 
-    def counted(table: str) -> DataFrame:
-        status = F.coalesce("Investigation_Status", F.lit("-")).alias("status")
-        return store.read(table).groupBy(F.lit(table).alias("part"), status).agg(F.count(F.lit(1)).alias("n"))
+    def listed(table: str) -> DataFrame:
+        return store.read(table).select(F.lit(table).alias("part"), "PatientID", F.coalesce("Investigation_Status", F.lit("-")).alias("status"))
 
-    log = store.read("audit_log").groupBy(F.lit("audit_log").alias("part"), F.col("action").alias("status"))
-    return counted("claims").unionAll(counted("detected_frauds")).unionAll(log.agg(F.count(F.lit(1)).alias("n")))
+    log = store.read("audit_log").select(F.lit("audit_log").alias("part"), F.col("patient_id").alias("PatientID"), F.col("description").alias("status"))
+    return listed("claims").unionAll(listed("detected_frauds")).unionAll(log)
 
 
 @query
@@ -219,11 +227,10 @@ def s11_sanitize_for_sink(spark: SparkSession, sf: str) -> DataFrame:
     return files.sanitize_for_sink(claims)
 
 
-@query
-def s12_sync_csv(spark: SparkSession, sf: str) -> DataFrame:
+def synced_twice(spark: SparkSession, sf: str, key: str) -> DataFrame:
     path = folder(spark, "csv")
     typed(spark, sf).select("PatientID", "Age", "Final_Billed_Amount", "TransactionID").write.csv(path, header=True)
-    store = tb.ClaimStore(spark, folder(spark, "store"), claim_key="PatientID")
+    store = tb.ClaimStore(spark, folder(spark, "store"), claim_key=key)
     done, message = store.sync_csv(path, moment(NOW))
     again, second = store.sync_csv(path, moment(NOW))
     return store.read("claims").agg(
@@ -234,6 +241,16 @@ def s12_sync_csv(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def s12_sync_csv(spark: SparkSession, sf: str) -> DataFrame:
+    return synced_twice(spark, sf, "PatientID")
+
+
+@query
+def s12_sync_by_claim(spark: SparkSession, sf: str) -> DataFrame:
+    return synced_twice(spark, sf, "TransactionID")
+
+
 @query
 def s13_fraud_report(spark: SparkSession, sf: str) -> DataFrame:
     return au.fraud_report(verdicts(spark, sf, "batch"))
@@ -800,17 +817,33 @@ def to_table(spark: SparkSession, build: Callable[[DataFrame], DataFrame]) -> tu
     return path, start
 
 
-@query
-def r01_ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
+def ingested(spark: SparkSession, sf: str, key: str, within: str | None = None) -> tb.ClaimStore:
+    """A store into which the earlier claims and then the later ones were streamed."""
     claims = typed(spark, sf).select("TransactionID", "PatientID", "Age", "Final_Billed_Amount", "Admission_Timestamp")
-    store = tb.ClaimStore(spark, folder(spark, "store"), claim_key="PatientID")
+    store = tb.ClaimStore(spark, folder(spark, "store"), claim_key=key)
     progress = folder(spark, "progress")
+    later = claims.where(F.col("Admission_Timestamp") >= moment(EARLIER))
     feed(
-        halves(claims, "Admission_Timestamp"),
+        [earlier(claims), later],
         "claims",
-        lambda stream: ingest.ingest_stream(stream, store, moment(NOW), progress),
+        lambda stream: ingest.ingest_stream(stream, store, moment(NOW), progress, within=within),
     )
-    return store.read("claims").select("PatientID")
+    return store
+
+
+@query
+def r01_ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return ingested(spark, sf, "PatientID").read("claims").select("PatientID")
+
+
+@query
+def r01_ingest_by_claim(spark: SparkSession, sf: str) -> DataFrame:
+    return ingested(spark, sf, "TransactionID", "1 hour").read("claims").select("TransactionID", "PatientID", "Final_Billed_Amount")
+
+
+@query
+def r01_ingest_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return ingested(spark, sf, "PatientID").read("ingest_batches").drop("ingested_at")
 
 
 @query

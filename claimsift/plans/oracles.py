@@ -192,6 +192,12 @@ per AS (SELECT PatientID, count(*) AS n, PatientID IN (SELECT PatientID FROM kno
 cast(coalesce(sum(n) FILTER (old), 0) AS bigint) AS skipped,
 cast(coalesce(sum(n - 1) FILTER (NOT old), 0) AS bigint) AS in_batch_duplicates, cast(0 AS bigint) AS null_keys FROM per""",
 )
+oracle(
+    "s04_append_by_claim",
+    CLAIMS,
+    f"""SELECT TransactionID, PatientID, Age, Final_Billed_Amount,
+CASE WHEN Admission_Timestamp < timestamp '{EARLIER}' THEN '2023-01-01' ELSE '{NOW[:10]}' END AS uploaded FROM claims""",
+)
 FLAGGED_ONE = """
 best AS (
   SELECT * FROM verdicts WHERE Fraud_Flag = 1
@@ -227,9 +233,9 @@ oracle(
     f"""{CASES},
 updates AS (SELECT DISTINCT PatientID, CASE WHEN Age < 50 THEN 'Cleared' ELSE 'Frozen' END AS status FROM claims WHERE Gender = 'Male'),
 known AS (SELECT DISTINCT PatientID FROM claims WHERE Admission_Timestamp < timestamp '{EARLIER}')""",
-    """SELECT 'claims' AS part, coalesce(status, '-') AS status, count(*) AS n FROM known LEFT JOIN updates USING (PatientID) GROUP BY 2
-UNION ALL SELECT 'detected_frauds', coalesce(status, '-'), count(*) FROM cases LEFT JOIN updates USING (PatientID) GROUP BY 2
-UNION ALL SELECT 'audit_log', 'Status Update', count(*) FROM updates""",
+    """SELECT 'claims' AS part, PatientID, coalesce(status, '-') AS status FROM known LEFT JOIN updates USING (PatientID)
+UNION ALL SELECT 'detected_frauds', PatientID, coalesce(status, '-') FROM cases LEFT JOIN updates USING (PatientID)
+UNION ALL SELECT 'audit_log', PatientID, concat('Status for Patient ', PatientID, ' changed to ''', status, '''.') FROM updates""",
 )
 DROPPED = r"[^\x00-\x7F\x{0900}-\x{097F}\x{20B9}]"
 oracle(
@@ -252,6 +258,12 @@ oracle(
     """SELECT keys AS stored, concat('✅ Sync Complete: ', keys, ' new rows added, 0 skipped.') AS first_sync,
 concat('✅ Sync Complete: 0 new rows added, ', total, ' skipped.') AS second_sync, true AS ok FROM n""",
 )
+oracle(
+    "s12_sync_by_claim",
+    f"{CLAIMS},\nn AS (SELECT count(*) AS total FROM claims)",
+    """SELECT total AS stored, concat('✅ Sync Complete: ', total, ' new rows added, 0 skipped.') AS first_sync,
+concat('✅ Sync Complete: 0 new rows added, ', total, ' skipped.') AS second_sync, true AS ok FROM n""",
+)
 REPORT = "TransactionID, PatientID, Hospital_PIN, Fraud_Type, Final_Billed_Amount, Risk_Score, AI_Justification"
 oracle("s13_fraud_report", verdicts("batch"), f"SELECT {REPORT} FROM verdicts WHERE Fraud_Flag = 1")
 oracle("s14_read_detected_frauds", CASES, "SELECT PatientID, Risk_Score, Fraud_Type FROM cases ORDER BY Risk_Score DESC, PatientID")
@@ -698,6 +710,18 @@ count(*) FILTER (Fraud_Flag = 1) AS Flagged, {MODE.format('Contamination')} AS S
 # --- Streams ----------------------------------------------------------------
 
 oracle("r01_ingest_stream", CLAIMS, "SELECT DISTINCT PatientID FROM claims")
+oracle("r01_ingest_by_claim", CLAIMS, "SELECT TransactionID, PatientID, Final_Billed_Amount FROM claims")
+oracle(
+    "r01_ingest_counts",
+    f"""{CLAIMS},
+per AS (
+  SELECT PatientID, count(*) FILTER (Admission_Timestamp < timestamp '{EARLIER}') AS before,
+         count(*) FILTER (Admission_Timestamp >= timestamp '{EARLIER}') AS after FROM claims GROUP BY 1)""",
+    """SELECT 'ingest-0' AS batch_id, cast(sum(before) AS bigint) AS total, count(*) FILTER (before > 0) AS new, cast(0 AS bigint) AS skipped,
+cast(sum(before - 1) FILTER (before > 0) AS bigint) AS in_batch_duplicates, cast(0 AS bigint) AS null_keys FROM per
+UNION ALL SELECT 'ingest-1', cast(sum(after) AS bigint), count(*) FILTER (before = 0),
+cast(coalesce(sum(after) FILTER (before > 0), 0) AS bigint), cast(coalesce(sum(after - 1) FILTER (before = 0), 0) AS bigint), 0 FROM per""",
+)
 oracle(
     "r02_daily_session_kpis",
     f"""{SESSIONS},

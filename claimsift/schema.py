@@ -91,6 +91,14 @@ TABLES: dict[str, T.StructType] = {
     .add("user_id", "string")
     .add("detected_at", "timestamp")
     .add("Investigation_Status", "string"),
+    "ingest_batches": T.StructType()
+    .add("batch_id", "string")
+    .add("total", "long")
+    .add("new", "long")
+    .add("skipped", "long")
+    .add("in_batch_duplicates", "long")
+    .add("null_keys", "long")
+    .add("ingested_at", "timestamp"),
 }
 
 TABLE_KEYS = {
@@ -98,6 +106,7 @@ TABLE_KEYS = {
     "upload_sessions": "id",
     "audit_log": "id",
     "detected_frauds": "PatientID",
+    "ingest_batches": "batch_id",
 }
 
 TABLE_DEFAULTS: dict[str, dict[str, object]] = {
@@ -125,6 +134,7 @@ TABLE_DEFAULTS: dict[str, dict[str, object]] = {
         "Risk_Score": 0.0,
         "detected_at": "now",
     },
+    "ingest_batches": {"ingested_at": "now"},
 }
 
 # The columns a fraud case carries, when present.

@@ -1,21 +1,23 @@
-"""Stored tables: claims, upload sessions, audit log and detected frauds.
+"""Stored tables: claims, upload sessions, audit log, detected frauds and ingested batches.
 
-A table is a parquet folder per snapshot. Appends add files to the newest
-snapshot; an upsert writes the next one, which counts only once complete, so
-readers of the old one are not disturbed. One writer at a time.
+A table is a parquet folder partitioned by a hash bucket of its key. Appends add
+files. An upsert reads and rewrites only the buckets that its keys fall into,
+by Spark's dynamic partition overwrite. One writer at a time.
+
+A frame read before an upsert goes on serving the buckets that were left alone;
+where it comes to a file that was replaced, Spark says that the file is gone,
+and the table has to be read anew. A read during the commit of an upsert may
+find some of its buckets renewed and others not yet.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from claimsift.functions.text import user_id_of
 from claimsift.operators import keyed
-from claimsift.operators.lookup import BROADCAST_ROWS, BROADCAST_WIDE_ROWS
 from claimsift.operators.summaries import for_user, fraud_queue
 from claimsift.schema import FRAUD_COLUMNS, TABLE_DEFAULTS, TABLE_KEYS, TABLES, has
 from claimsift.session import materialize
@@ -74,70 +76,78 @@ def audit_rows(df: DataFrame, now: Column) -> DataFrame:
 
 @dataclass(frozen=True)
 class ClaimStore:
-    """The four tables under one folder.
+    """The tables under one folder.
 
     ``claim_key`` is the key of the claims table. TransactionID keeps all
     claims; the layout's own key, PatientID, keeps one claim per patient.
+    ``buckets`` is part of a table's layout: every store on a folder needs the
+    same. Choose it so that a bucket is some hundred megabytes.
     """
 
     spark: SparkSession
     root: str
     claim_key: str = "TransactionID"
+    buckets: int = 64
 
     def key(self, table: str) -> str:
         return self.claim_key if table == "claims" else TABLE_KEYS[table]
 
     def schema(self, table: str) -> T.StructType:
         layout = TABLES[table]
-        if table == "claims" and self.claim_key not in layout.names:
-            return T.StructType([T.StructField(self.claim_key, T.StringType()), *layout.fields])
-        return layout
-
-    def _snapshots(self, table: str) -> list[int]:
-        folder = f"{self.root}/{table}"
-        if not path_exists(self.spark, folder):
-            return []
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        files = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(where)
-        names = [re.fullmatch(r"v(\d{8,})", f.getPath().getName()) for f in files]
-        numbers = [int(name.group(1)) for name in names if name]
-        return sorted(n for n in numbers if path_exists(self.spark, f"{folder}/v{n:08d}/_SUCCESS"))
-
-    def expire(self, table: str, keep: int = 1) -> int:
-        """Remove all complete snapshots but the newest ``keep``; returns how many went.
-
-        For times when nobody reads the old ones.
-        """
-        if keep < 1:
-            raise ValueError("keep must be at least 1")
-        old = self._snapshots(table)[:-keep]
-        for number in old:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/v{number:08d}")
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-        return len(old)
-
-    def path(self, table: str) -> str | None:
-        """Folder of the newest complete snapshot."""
-        done = self._snapshots(table)
-        return f"{self.root}/{table}/v{done[-1]:08d}" if done else None
+        if table != "claims":
+            return layout
+        named = [] if self.claim_key in layout.names else [T.StructField(self.claim_key, T.StringType())]
+        # The batch that brought a claim in, by which a batch run again knows its own rows.
+        return T.StructType([*named, *layout.fields, T.StructField("batch_id", T.StringType())])
+
+    def path(self, table: str) -> str:
+        return f"{self.root}/{table}"
+
+    @property
+    def bucket(self) -> str:
+        """The partition column; its name holds the number of buckets."""
+        return f"bucket_of_{self.buckets}"
+
+    def bucket_of(self, key: Column, *spread: Column) -> Column:
+        """The bucket of a key; rows without one are spread by other columns."""
+        text = key.cast("string")
+        hashed = F.when(text.isNotNull(), F.xxhash64(text)).otherwise(F.xxhash64(F.lit(0), *spread))
+        return F.pmod(hashed, F.lit(self.buckets)).cast("int")
+
+    def bucketed(self, table: str) -> DataFrame:
+        """All rows of a table with their bucket."""
+        layout = T.StructType([*self.schema(table).fields, T.StructField(self.bucket, T.IntegerType())])
+        if not path_exists(self.spark, self.path(table)):
+            return self.spark.createDataFrame([], layout)
+        df = self.spark.read.schema(layout).parquet(self.path(table))
+        if df.columns != layout.names:
+            raise ValueError(f"{self.path(table)} is not laid out in {self.buckets} buckets")
+        return df
+
+    def in_buckets(self, table: str, touched: list[int]) -> DataFrame:
+        """The rows of some buckets; the others' files are not listed for reading."""
+        return self.bucketed(table).where(F.col(self.bucket).isin(touched)).drop(self.bucket)
 
     def read(self, table: str, user_id: str | None = None) -> DataFrame:
         """All rows, or one user's where the table has such a column."""
-        path = self.path(table)
-        if path is None:
-            return self.spark.createDataFrame([], self.schema(table))
-        return for_user(self.spark.read.schema(self.schema(table)).parquet(path), user_id)
+        return for_user(self.bucketed(table).drop(self.bucket), user_id)
 
-    def append(self, table: str, df: DataFrame) -> None:
-        """Add rows in the table's layout to the newest snapshot."""
-        path = self.path(table) or f"{self.root}/{table}/v{1:08d}"
-        df.select(*self.schema(table).names).write.mode("append").parquet(path)
+    def write(self, table: str, df: DataFrame, mode: str) -> None:
+        """Write rows in the table's layout to their buckets.
+
+        Each bucket's rows are brought together, a large one's in several tasks
+        and small ones' in one, so that files are few and none is too large.
+        """
+        names = self.schema(table).names
+        rows = df.select(*[F.col(f"`{c}`") for c in names])
+        key = F.col(self.key(table))
+        rows = rows.withColumn(self.bucket, self.bucket_of(key, *[F.col(f"`{c}`") for c in names]))
+        writer = rows.hint("rebalance", F.col(self.bucket)).write.partitionBy(self.bucket).mode(mode)
+        writer.option("partitionOverwriteMode", "dynamic").parquet(self.path(table))
 
-    def replace(self, table: str, df: DataFrame) -> None:
-        """Write the next snapshot."""
-        done = self._snapshots(table)
-        number = (done[-1] if done else 0) + 1
-        df.select(*self.schema(table).names).write.mode("overwrite").parquet(f"{self.root}/{table}/v{number:08d}")
+    def append(self, table: str, df: DataFrame) -> None:
+        """Add rows in the table's layout."""
+        self.write(table, df, "append")
 
     def append_new(
         self,
@@ -152,12 +162,15 @@ class ClaimStore:
 
         The decision is written to the shared folder first, so counting and
         writing agree even when tasks are retried. Repeating a batch adds nothing.
-        With ``batch_id`` the decision is kept with the store: a batch of that
-        name that is run again has the counts of its first run.
+        With ``batch_id`` claims keep the name of the batch that brought them:
+        a batch run again, also after an append that ended early, adds what is
+        missing and has the counts of its first run.
         """
         key = key or self.key(table)
         df = stamp_user(df, user_id)
         layout, defaults = self.schema(table), defaults_of(table, now)
+        if batch_id is not None and "batch_id" in layout.names:
+            df = df.withColumn("batch_id", F.lit(batch_id))
         if key not in df.columns:
             rows = materialize(conform(df, layout, defaults), "intake")
             self.append(table, rows)
@@ -165,43 +178,34 @@ class ClaimStore:
             return {"total": total, "new": total, "skipped": 0, "in_batch_duplicates": 0, "null_keys": 0}
         wanted = [c for c in df.columns if c in layout.names or c in (key, "TransactionID")]
         reduced = keyed.one_per_key(df.select(*wanted), key, keyed.first_claim(df))
-        if self.path(table) is None:
-            marked = materialize(reduced.withColumn("_known", F.lit(False)), "intake")
-        else:
-            reduced = materialize(reduced, "intake")
-            small = reduced.count() <= BROADCAST_ROWS
-            marked = materialize(keyed.mark_known(reduced, self.read(table), key, small), "intake")
-        repeated = False
-        if batch_id is not None:
-            decided = f"{self.root}/{table}/decided-{hashlib.sha256(batch_id.encode()).hexdigest()}"
-            repeated = path_exists(self.spark, f"{decided}/_SUCCESS")
-            if not repeated:
-                marked.write.mode("overwrite").parquet(decided)
-            marked = self.spark.read.schema(marked.schema).parquet(decided)
+        own = F.col("batch_id") == F.lit(batch_id) if batch_id is not None and "batch_id" in layout.names else None
+        marked = materialize(keyed.mark_known(reduced, self.read(table), key, own), "intake")
         counts = keyed.intake_counts(marked).first().asDict()
         if counts["new"]:
-            fresh = marked
-            if repeated and self.path(table) is not None:
-                # What the first run appended before it ended is known by now.
-                fresh = materialize(keyed.mark_known(marked.where("NOT _known").drop("_known"), self.read(table), key), "intake")
-            self.append(table, conform(keyed.accepted(fresh), layout, defaults))
+            self.append(table, conform(keyed.accepted(marked), layout, defaults))
         return counts
 
+    def touched(self, df: DataFrame, key: Column) -> list[int]:
+        """The buckets of the keys of ``df``: at most ``buckets`` numbers."""
+        return [r[0] for r in df.where(key.isNotNull()).select(self.bucket_of(key)).distinct().collect()]
+
     def upsert(self, table: str, df: DataFrame, now: Column, key: str | None = None, user_id: str | None = None) -> int:
         """Insert or replace by key; columns the rows lack stay untouched.
 
-        Of several rows of one key the riskiest counts. Returns the keys written.
+        Of several rows of one key the riskiest counts. Only the buckets of the
+        keys are read and rewritten. Returns the keys written.
         """
         key = key or self.key(table)
+        if key != self.key(table):
+            raise ValueError(f"{table} is laid out by {self.key(table)}, not by {key}")
         wanted = dict.fromkeys([key, *self.schema(table).names, "TransactionID", "Risk_Score"])
         df = select_existing(stamp_user(df, user_id), list(wanted))
         reduced = keyed.one_per_key(df, key, keyed.riskiest_claim(df)).where(F.col("_key").isNotNull())
         incoming = materialize(select_existing(reduced, self.schema(table).names), "upsert")
         written = incoming.count()
         if written:
-            small = written <= BROADCAST_WIDE_ROWS
-            merged = keyed.merged(self.read(table), incoming, key, defaults_of(table, now), small)
-            self.replace(table, merged)
+            target = self.in_buckets(table, self.touched(incoming, F.col(key)))
+            self.write(table, keyed.merged(target, incoming, key, defaults_of(table, now)), "overwrite")
         return written
 
     def upsert_detected_frauds(self, df: DataFrame, now: Column, cost_col: str | None, user_id: str | None = None) -> int:
@@ -222,12 +226,29 @@ class ClaimStore:
         """Investigation status on claims and cases, with one log entry per update.
 
         ``updates`` has PatientID and Investigation_Status; unknown patients
-        are logged, as before, but not inserted.
+        are logged, as before, but not inserted. Only buckets that hold one of
+        the patients are rewritten; a table laid out by another key is searched
+        for them, which reads two of its columns.
         """
+        updates = materialize(updates, "status")
+        patients = updates.select(F.col("PatientID").cast("string").alias("PatientID")).distinct()
         for table in ("claims", "detected_frauds"):
-            self.replace(table, keyed.with_status(self.read(table), updates))
+            holders = self.bucketed(table).select("PatientID", self.bucket)
+            if self.key(table) == "PatientID":
+                holders = holders.where(F.col(self.bucket).isin(self.touched(patients, F.col("PatientID"))))
+            found = holders.join(patients, "PatientID", "left_semi").select(self.bucket).distinct()
+            touched = [r[0] for r in found.collect()]
+            if touched:
+                self.write(table, keyed.with_status(self.in_buckets(table, touched), updates), "overwrite")
         self.log_audit_events(status_events(updates, batch_id, user_id), now)
 
+    def record_batch(self, batch_id: str, counts: dict[str, int], now: Column) -> None:
+        """The counts of an ingested batch, once however often it is run."""
+        row = self.spark.range(1).select(F.lit(batch_id).alias("batch_id"), *[F.lit(n).alias(c) for c, n in counts.items()])
+        held = self.in_buckets("ingest_batches", self.touched(row, F.col("batch_id")))
+        if not held.where(F.col("batch_id") == batch_id).head(1):
+            self.append("ingest_batches", conform(row, TABLES["ingest_batches"], defaults_of("ingest_batches", now)))
+
     def read_detected_frauds(self, user_id: str | None = None) -> DataFrame:
         """Cases by falling risk, of one user or all."""
         return fraud_queue(self.read("detected_frauds", user_id))

@@ -1,9 +1,11 @@
 """Key decisions: every row is counted once, and repeating an upsert changes nothing."""
 
+from contextlib import contextmanager
+
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from claimsift.operators import keyed
+from claimsift.operators import keyed, lookup, sketch
 
 KEYS = st.one_of(st.none(), st.sampled_from(["a", "b", "c", "d"]))
 BATCH = st.lists(st.tuples(KEYS, st.integers(0, 99)), max_size=25)
@@ -14,13 +16,24 @@ def frame(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
 
+@contextmanager
+def monkeypatched(most):
+    """A bound below which a batch is broadcast; with -1 a sketch of it goes to the target."""
+    kept, lookup.BROADCAST_ROWS = lookup.BROADCAST_ROWS, most
+    try:
+        yield
+    finally:
+        lookup.BROADCAST_ROWS = kept
+
+
 @relaxed
 @given(BATCH, st.sets(st.sampled_from(["a", "b", "x"])))
 def test_intake_adds_up(spark, batch, stored):
     df = frame(spark, [(k, f"T{n}") for k, n in batch], "PatientID string, TransactionID string")
     target = frame(spark, [(k,) for k in stored], "PatientID string")
-    for small in (False, True):
-        marked = keyed.mark_known(keyed.one_per_key(df, "PatientID", keyed.first_claim(df)), target, "PatientID", small)
+    for most in (-1, 1000):
+        with monkeypatched(most):
+            marked = keyed.mark_known(keyed.one_per_key(df, "PatientID", keyed.first_claim(df)), target, "PatientID")
         counts = keyed.intake_counts(marked).first()
         assert counts.total == len(batch)
         assert counts.new + counts.skipped + counts.in_batch_duplicates + counts.null_keys == counts.total
@@ -47,13 +60,12 @@ def test_merge_replaces_inserts_and_repeats(spark, old, new):
     incoming = frame(spark, list(new.items()), "id string, v int")
     expected = {k: (v, f"kept {k}") for k, v in old.items()}
     expected.update({k: (v, f"kept {k}" if k in old else "fresh") for k, v in new.items()})
-    for small in (False, True):
-        once = keyed.merged(target, incoming, "id", {"note": F.lit("fresh")}, small)
-        twice = keyed.merged(once, incoming, "id", {"note": F.lit("fresh")}, small)
-        for result in (once, twice):
-            rows = result.collect()
-            assert len(rows) == len(expected)
-            assert {r.id: (r.v, r.note) for r in rows} == expected
+    once = keyed.merged(target, incoming, "id", {"note": F.lit("fresh")})
+    twice = keyed.merged(once, incoming, "id", {"note": F.lit("fresh")})
+    for result in (once, twice):
+        rows = result.collect()
+        assert len(rows) == len(expected)
+        assert {r.id: (r.v, r.note) for r in rows} == expected
 
 
 def test_riskiest_row_wins(spark):
@@ -78,3 +90,34 @@ def test_status_updates(spark):
     )
     got = {r.PatientID: r.Investigation_Status for r in keyed.with_status(target, updates).collect()}
     assert got == {"a": "Closed", "b": "Open", "c": "Open"}
+
+
+def test_a_sketch_lets_all_its_keys_through_and_few_others(spark):
+    keys = spark.range(0, 40_000, 4).select(F.concat(F.lit("k"), "id").alias("key"))
+    table = spark.range(40_000).select(F.concat(F.lit("k"), "id").alias("key"), "id")
+    made = sketch.sketch(keys, "key", 10_000)
+    passed = sketch.members(table, "key", made, 10_000)
+    got = {r.id for r in passed.select("id").collect()}
+    assert set(range(0, 40_000, 4)) <= got
+    assert len(got) - 10_000 < 0.02 * 30_000
+    # The table meets the sketch where it is read: nothing of it is shuffled.
+    plan = passed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == sketch.HASHES
+    assert "hashpartitioning(key" not in plan and "hashpartitioning(id" not in plan
+    assert sketch.sketch_bits(10**12) == sketch.MOST_BITS and sketch.sketch_bits(0) == sketch.LEAST_BITS
+
+
+def test_beyond_the_bound_only_what_passes_the_sketch_is_shuffled(spark):
+    """The join above the bound: below each shuffle of the target stand the sketch's joins."""
+    wanted = spark.range(100).select(F.concat(F.lit("k"), "id").alias("_key"))
+    target = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
+    with monkeypatched(10):
+        found = keyed.found_keys(target, "key", wanted, 100)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(r["_key"] for r in found.collect()) == sorted(f"k{i}" for i in range(100))
+    semi = plan.split("LeftSemi")[1]
+    assert plan.count("bit_get") >= sketch.HASHES and semi.count("bitmap_construct_agg") == sketch.HASHES
+    with monkeypatched(1000):
+        plain = keyed.found_keys(target, "key", wanted, 100)
+        assert "bit_get" not in plain._jdf.queryExecution().optimizedPlan().toString()
+        assert plain.count() == 100

@@ -2,8 +2,10 @@
 
 import math
 from datetime import datetime
+from pathlib import Path
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from claimsift.operators import summaries as sm
@@ -37,9 +39,8 @@ def test_append_skips_known_keys_and_fills_defaults(spark, store):
     assert store.read("claims", "u").count() == 1 and store.read("claims", "nobody").count() == 0
 
 
-def test_upsert_keeps_absent_columns_and_old_snapshots_stay_readable(spark, store):
+def test_upsert_keeps_absent_columns(spark, store):
     store.append_new("claims", people(spark, ("a", 1, 1.0), ("b", 2, 2.0)), now())
-    before = store.read("claims")
     results = spark.createDataFrame([("a", 1, 0.9), ("a", 1, 0.6), ("c", 0, 0.1)], "PatientID string, Fraud_Flag int, Risk_Score double")
     for _ in range(2):
         assert store.upsert("claims", results, now()) == 2
@@ -47,7 +48,67 @@ def test_upsert_keeps_absent_columns_and_old_snapshots_stay_readable(spark, stor
     assert len(rows) == 3 and store.read("claims").count() == 3
     assert (rows["a"].Age, rows["a"].Fraud_Flag, rows["a"].Risk_Score) == (1, 1, 0.9)
     assert rows["b"].Fraud_Flag == 0 and rows["c"].Fraud_Type == ""
-    assert before.count() == 2
+
+
+def parts(store, table):
+    """The data files of a table, by their bucket's folder."""
+    found = {}
+    for p in Path(store.path(table)).rglob("*.parquet"):
+        found.setdefault(p.parent.name, set()).add(p.name)
+    return found
+
+
+def test_upserts_rewrite_only_the_buckets_of_their_keys(spark, store):
+    store.append_new("claims", people(spark, *[(f"p{i}", i % 90, float(i)) for i in range(2000)]), now())
+    before = parts(store, "claims")
+    assert len(before) == store.buckets
+    old = store.read("claims")
+    keys = [("p7", 11, 1.0), ("p8", 12, 2.0), ("new", 13, 3.0)]
+    assert store.upsert("claims", people(spark, *keys), now()) == 3
+    after = parts(store, "claims")
+    changed = {b for b in after if after[b] != before[b]}
+    wanted = {f"{store.bucket}={n}" for n in store.touched(people(spark, *keys), F.col("PatientID"))}
+    assert changed == wanted and 1 <= len(wanted) <= 3
+    # A reader from before goes on with the buckets that were left alone, and no further.
+    left = [n for n in range(store.buckets) if f"{store.bucket}={n}" not in wanted]
+    assert store.in_buckets("claims", left).count() > 1800
+    with pytest.raises(Exception, match="FILE_NOT_EXIST"):
+        old.agg(F.sum("Age")).collect()
+    assert store.read("claims").count() == 2001
+    assert {r.PatientID: r.Age for r in store.read("claims").where("PatientID IN ('p7', 'p8', 'new', 'p9')").collect()} == {"p7": 11, "p8": 12, "new": 13, "p9": 9}
+
+
+@pytest.mark.parametrize("key", ["PatientID", "TransactionID"])
+def test_status_updates_rewrite_only_buckets_with_their_patients(spark, tmp_path, key):
+    store = tb.ClaimStore(spark, str(tmp_path / "s"), claim_key=key)
+    rows = [(f"T{i}", f"p{i // 2 if key == 'TransactionID' else i}", i) for i in range(1500)]
+    store.append_new("claims", spark.createDataFrame(rows, "TransactionID string, PatientID string, Age int"), now())
+    before = parts(store, "claims")
+    updates = spark.createDataFrame([("p7", "Closed"), ("nobody", "Closed")], "PatientID string, Investigation_Status string")
+    store.update_claim_status(updates, now(), "b")
+    after = parts(store, "claims")
+    held = [r[1] for r in rows if r[1] == "p7"]
+    assert 1 <= sum(after[b] != before[b] for b in after) <= len(held)
+    assert store.read("claims").where("Investigation_Status = 'Closed'").count() == len(held)
+    assert store.read("claims").count() == 1500 and store.read("audit_log").count() == 2
+
+
+def test_a_table_keeps_its_number_of_buckets(spark, store):
+    store.append_new("claims", people(spark, ("a", 1, 1.0)), now())
+    other = tb.ClaimStore(spark, store.root, claim_key="PatientID", buckets=8)
+    with pytest.raises(ValueError, match="8 buckets"):
+        other.read("claims")
+    with pytest.raises(ValueError, match="laid out by"):
+        store.upsert("claims", people(spark, ("a", 1, 1.0)), now(), key="Age")
+
+
+def test_rows_without_key_are_spread_and_survive_upserts(spark, tmp_path):
+    store = tb.ClaimStore(spark, str(tmp_path / "s"), claim_key="PatientID")
+    loose = spark.createDataFrame([(i, float(i)) for i in range(300)], "Age int, Final_Billed_Amount double")
+    assert store.append_new("claims", loose, now())["new"] == 300
+    assert len(parts(store, "claims")) > 30
+    store.upsert("claims", people(spark, *[(f"p{i}", 1, 1.0) for i in range(200)]), now())
+    assert store.read("claims").count() == 500 and store.read("claims").where("PatientID IS NULL").count() == 300
 
 
 def test_missing_key_column_inserts_everything(spark, store):
@@ -177,7 +238,8 @@ def test_ingest_stream_equals_append_and_restarts(spark, tmp_path):
         batch.append_new("claims", rows, now())
         stream = spark.readStream.schema(rows.schema).parquet(arrivals)
         ingest.ingest_stream(stream, streamed, now(), progress).awaitTermination()
-    assert sorted(streamed.read("claims").collect()) == sorted(batch.read("claims").collect())
+    got, want = (sorted(s.read("claims").drop("batch_id").collect()) for s in (streamed, batch))
+    assert got == want
 
 
 def test_startup_takes_stored_claims_then_the_file(spark, small, store, tmp_path):
@@ -208,19 +270,54 @@ def test_append_that_ended_early_is_completed(spark, tmp_path):
     first = store.append_new("claims", rows, now(), batch_id="b")
     assert (first["new"], first["skipped"]) == (9, 1)
     # As if only some of the rows had come in.
-    store.replace("claims", store.read("claims").where("PatientID < 'p5'"))
-    assert store.append_new("claims", rows, now(), batch_id="b") == first
-    assert sorted(r.PatientID for r in store.read("claims").collect()) == [f"p{i}" for i in range(10)]
-    assert store.append_new("claims", rows, now(), batch_id="b") == first
-    assert store.read("claims").count() == 10
+    half = tb.ClaimStore(spark, str(tmp_path / "half"), claim_key="PatientID")
+    half.append("claims", store.read("claims").where("PatientID < 'p5'"))
+    for again in (half, half, store):
+        assert again.append_new("claims", rows, now(), batch_id="b") == first
+        assert sorted(r.PatientID for r in again.read("claims").collect()) == [f"p{i}" for i in range(10)]
 
 
-def test_stray_folders_and_old_snapshots(spark, store, tmp_path):
-    store.append_new("claims", people(spark, ("a", 1, 1.0)), now())
-    for age in (2, 3):
-        store.upsert("claims", people(spark, ("a", age, 1.0)), now())
-    (tmp_path / "store" / "claims" / "_tmp").mkdir()
-    (tmp_path / "store" / "claims" / "v1").mkdir()
-    assert store.read("claims").first().Age == 3
-    assert store.expire("claims", keep=1) == 2 and store.expire("claims") == 0
-    assert store.read("claims").first().Age == 3
+class Stop(Exception):
+    pass
+
+
+def test_counts_survive_a_micro_batch_that_failed_after_its_write(spark, tmp_path, monkeypatch):
+    store, arrivals, progress = tb.ClaimStore(spark, str(tmp_path / "s"), claim_key="PatientID"), str(tmp_path / "in"), str(tmp_path / "progress")
+    store.append_new("claims", people(spark, ("p1", 1, 1.0)), now())
+
+    def arrive(*rows):
+        people(spark, *rows).write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema("PatientID string, Age int, Final_Billed_Amount double").parquet(arrivals)
+        return ingest.ingest_stream(stream, store, now(), progress)
+
+    arrive(("p1", 2, 2.0), ("p2", 3, 3.0), ("p2", 4, 4.0), (None, 5, 5.0)).awaitTermination()
+
+    def stop(*_):
+        raise Stop
+
+    with monkeypatch.context() as patch:
+        patch.setattr(tb.ClaimStore, "record_batch", stop)
+        with pytest.raises(PySparkException):
+            arrive(("p3", 1, 1.0), ("p2", 9, 9.0)).awaitTermination()
+    assert store.read("claims").count() == 3
+    for rows in ((("p4", 1, 1.0),), (("p4", 1, 1.0),)):
+        arrive(*rows).awaitTermination()
+    names = ["batch_id", "total", "new", "skipped", "in_batch_duplicates", "null_keys"]
+    assert sorted(tuple(r[n] for n in names) for r in store.read("ingest_batches").collect()) == [
+        ("ingest-0", 4, 1, 1, 1, 1),
+        ("ingest-1", 2, 1, 1, 0, 0),
+        ("ingest-2", 1, 1, 0, 0, 0),
+        ("ingest-3", 1, 0, 1, 0, 0),
+    ]
+    assert sorted(r.PatientID for r in store.read("claims").collect()) == ["p1", "p2", "p3", "p4"]
+
+
+def test_repeats_within_the_delay_go_before_the_store(spark, tmp_path):
+    store, arrivals, progress = tb.ClaimStore(spark, str(tmp_path / "s"), claim_key="PatientID"), str(tmp_path / "in"), str(tmp_path / "progress")
+    for rows in ([("a", 1, 1.0), ("b", 1, 1.0), (None, 1, 1.0), (None, 2, 1.0)], [("a", 2, 2.0), ("c", 1, 1.0), ("a", 3, 3.0)]):
+        people(spark, *rows).coalesce(1).write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema("PatientID string, Age int, Final_Billed_Amount double").parquet(arrivals)
+        ingest.ingest_stream(stream, store, now(), progress, within="1 hour").awaitTermination()
+    counts = {r.batch_id: (r.total, r.new, r.skipped, r.null_keys) for r in store.read("ingest_batches").collect()}
+    assert counts["ingest-0"] == (4, 2, 0, 2) and counts["ingest-1"] == (1, 1, 0, 0)
+    assert {r.PatientID: r.Age for r in store.read("claims").collect()} == {"a": 1, "b": 1, "c": 1}
