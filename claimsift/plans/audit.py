@@ -91,18 +91,30 @@ def fit(claims: DataFrame, settings: Settings, hospitals: DataFrame | None = Non
     return fo.fit_forest(sampled, pool.count(), names, settings.trees, settings.seed)
 
 
-def scored_claims(claims: DataFrame, settings: Settings, keep: list[str] | None = None, forest: fo.Forest | None = None) -> DataFrame:
+def scored_claims(
+    claims: DataFrame,
+    settings: Settings,
+    keep: list[str] | None = None,
+    forest: fo.Forest | None = None,
+    trees: list[int] | None = None,
+) -> DataFrame:
     """Claims with features, rules and ``Path_Sum``, written once.
 
     The quantile and every later step read the written table, so the model
     runs once per claim. ``keep`` names the input columns to carry along.
+    ``trees`` asks for ``Path_Sums`` as well: those over so many first trees.
     """
     typed = ft.typed_claims(claims, settings.profile)
     hospitals = ft.store_hospital_figures(typed)
     if forest is None:
         forest = fit(typed, settings, hospitals)
     featured = with_rules(ft.derive_features(typed, hospitals), settings.profile)
-    scored = forest.with_path(featured).withColumn("Anomaly_Score", forest.anomaly_score())
+    if trees:
+        scored = forest.with_paths(featured, [*trees, forest.trees])
+        scored = scored.withColumn("Path_Sum", F.col(f"Path_Sums.trees_{forest.trees}"))
+    else:
+        scored = forest.with_path(featured)
+    scored = scored.withColumn("Anomaly_Score", forest.anomaly_score())
     dropped = [c for c in typed.columns if keep is not None and c not in keep]
     return materialize(scored.drop(*dropped), "scored")
 
@@ -130,19 +142,41 @@ def contamination_sweep(scored: DataFrame, contaminations: list[float], profile:
     Scores do not depend on the contamination, so all settings are read off
     one histogram of the scored table.
     """
+    return swept(scored.select("Path_Sum", "Rule_Fraud", "Cost_to_Package"), contaminations, profile)
+
+
+def settings_sweep(scored: DataFrame, trees: list[int], contaminations: list[float], profile: str = "app") -> DataFrame:
+    """Anomalies and flagged claims per number of trees and contamination.
+
+    ``scored`` carries ``Path_Sums`` over each of ``trees`` (see
+    ``scored_claims``): the model has run once, and each number of trees is one
+    histogram. What is counted is what a run with those settings would flag.
+    """
+    sums = [F.struct(F.lit(n).alias("Trees"), F.col(f"Path_Sums.trees_{n}").alias("Path_Sum")) for n in trees]
+    tall = scored.select("Rule_Fraud", "Cost_to_Package", F.inline(F.array(*sums)))
+    return swept(tall, contaminations, profile, "Trees")
+
+
+def swept(scored: DataFrame, contaminations: list[float], profile: str, *by: str) -> DataFrame:
+    """The counts of every contamination, for each value of ``by`` apart."""
     over = F.coalesce(F.col("Cost_to_Package") > risk.RATIO_WARNING, F.lit(False))
-    grouped = scored.select("Path_Sum", "Rule_Fraud", over.alias("Over"))
-    histogram = fo.path_histogram(grouped, "Rule_Fraud", "Over")
-    cuts = fo.path_cuts(histogram, contaminations).collect()
-    listed = [F.struct(F.lit(r.Contamination).alias("c"), F.lit(r.Path_Cut).alias("cut")) for r in cuts]
-    # No claims, no cuts: the array is empty, and so is the result.
-    settings = F.explode(F.array(*listed) if listed else F.array().cast("array<struct<c:double,cut:long>>"))
-    spread = histogram.withColumn("_s", settings).withColumn(
-        "ML_Anomaly", F.when(F.col("Path_Sum") < F.col("_s.cut"), F.lit(-1)).otherwise(F.lit(1))
+    grouped = scored.select("Path_Sum", "Rule_Fraud", over.alias("Over"), *by)
+    # Small and read twice: for the cuts and for the counts.
+    histogram = materialize(fo.path_histogram(grouped, "Rule_Fraud", "Over", *by), "histogram")
+    cuts = fo.path_cuts(histogram, contaminations, *by)
+    if by:
+        spread = histogram.join(cuts, list(by))
+    else:
+        # No claims, no cuts: the array is empty, and so is the result.
+        listed = [F.struct(F.lit(r.Contamination).alias("Contamination"), F.lit(r.Path_Cut).alias("Path_Cut")) for r in cuts.collect()]
+        listed = F.array(*listed) if listed else F.array().cast("array<struct<Contamination:double,Path_Cut:long>>")
+        spread = histogram.select("*", F.inline(listed))
+    spread = spread.withColumn(
+        "ML_Anomaly", F.when(F.col("Path_Sum") < F.col("Path_Cut"), F.lit(-1)).otherwise(F.lit(1))
     ).withColumn("Cost_to_Package", F.when(F.col("Over"), F.lit(3.0)).otherwise(F.lit(1.0)))
     marked = spread.withColumn("Risk_Score", risk.risk_score(profile)).withColumn("Fraud_Flag", risk.fraud_flag())
     return (
-        marked.groupBy(F.col("_s.c").alias("Contamination"))
+        marked.groupBy(*by, "Contamination")
         .agg(
             F.sum("n").alias("Claims"),
             sm.total(F.when(F.col("ML_Anomaly") == -1, F.col("n"))).alias("Anomalies"),

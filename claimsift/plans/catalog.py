@@ -28,6 +28,7 @@ QUERIES: dict[str, Query] = {}
 EARLIER = "1998-01-01"
 ACCOUNT = "41"
 SWEEP = [0.01, 0.05, 0.08, 0.12, 0.16, 0.2, 0.3]
+TREE_SWEEP = [50, 100, 200]
 LIMIT, PERIOD = 3, 2 * 86400
 
 
@@ -784,6 +785,12 @@ def m07_contamination_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return au.contamination_sweep(scored, SWEEP, "batch")
 
 
+@query
+def m07_trees_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    scored = au.scored_claims(fx.claims(spark, sf), BATCH, ["TransactionID", "Base_Package_Rate"], trees=TREE_SWEEP)
+    return au.settings_sweep(scored, TREE_SWEEP, SWEEP, "batch")
+
+
 # --- Streams ----------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ table expressions that each statement puts in front.
 from __future__ import annotations
 
 from claimsift.functions import risk, text as tx
-from claimsift.plans.catalog import ACCOUNT, EARLIER, LIMIT, NOW, PERIOD, SWEEP
+from claimsift.plans.catalog import ACCOUNT, EARLIER, LIMIT, NOW, PERIOD, SWEEP, TREE_SWEEP
 from claimsift.schema import CONTAMINATION, SEED, TREES
 
 ORACLES: dict[str, str] = {}
@@ -601,8 +601,8 @@ laps AS (SELECT unnest(range(cast(ceil({TREES} / per_lap) AS bigint))) AS lap FR
 ranked AS (
   SELECT id, x, lap, row_number() OVER (PARTITION BY lap ORDER BY md5(concat('{SEED}|', lap, '|', id)), id) - 1 AS r FROM pool, laps),
 dealt AS MATERIALIZED (
-  SELECT cast(lap * per_lap + r % per_lap AS int) AS tree, id, x FROM ranked, deal
-  WHERE r < per_lap * psi AND lap * per_lap + r % per_lap < {TREES}),
+  SELECT cast(lap * per_lap + r // psi AS int) AS tree, id, x FROM ranked, deal
+  WHERE r < per_lap * psi AND lap * per_lap + r // psi < {TREES}),
 depths AS (SELECT cast(ceil(log2(greatest(psi, 2))) AS int) AS deepest FROM deal)"""
 
 
@@ -652,13 +652,14 @@ def scored() -> str:
   WHERE n.feature IS NOT NULL)"""
         )
     ends = " UNION ALL ".join(
-        f"SELECT w.rid, n.path_milli FROM walk{level} w JOIN nodes{level} n ON w.tree = n.tree AND w.node = n.node WHERE n.feature IS NULL"
+        f"SELECT w.rid, w.tree, n.path_milli FROM walk{level} w JOIN nodes{level} n ON w.tree = n.tree AND w.node = n.node WHERE n.feature IS NULL"
         for level in range(LEVELS + 1)
     )
     parts.append(
-        f"""paths AS MATERIALIZED (
+        f"""ends AS MATERIALIZED ({ends}),
+paths AS MATERIALIZED (
   SELECT rid, any_value(TransactionID) AS TransactionID, cast(sum(path_milli) AS bigint) AS Path_Sum
-  FROM ({ends}) JOIN numbered USING (rid) GROUP BY rid),
+  FROM ends JOIN numbered USING (rid) GROUP BY rid),
 expected AS (SELECT 2 * (ln(cast(psi AS double) - 1) + cast(0.5772156649 AS double)) - 2 * (cast(psi AS double) - 1) / psi AS c FROM deal),
 cuts AS (
   SELECT c AS Contamination, sums[1 + cast(ceil((len(sums) - 1) * c) AS bigint)] AS Path_Cut
@@ -707,6 +708,31 @@ oracle(
 count(*) FILTER (Fraud_Flag = 1) AS Flagged, {MODE.format('Contamination')} AS Sensitivity FROM judged GROUP BY Contamination""",
 )
 
+
+
+def tree_sweep() -> str:
+    inner = ruled("batch").split("ruled AS")[1].replace("FROM features", "FROM modelled")
+    return f"""{scored()},
+ruled AS{inner},
+first AS (
+  SELECT cast(t AS int) AS Trees, rid, sum(path_milli) AS Sum
+  FROM ends JOIN (VALUES {', '.join(f'({n})' for n in TREE_SWEEP)}) v(t) ON tree < t GROUP BY 1, 2),
+limits AS (
+  SELECT Trees, cast(c AS double) AS Contamination, sums[1 + cast(ceil((len(sums) - 1) * cast(c AS double)) AS bigint)] AS Cut
+  FROM (VALUES {', '.join(f'({c})' for c in SWEEP)}) v(c), (SELECT Trees, list(Sum ORDER BY Sum) AS sums FROM first GROUP BY 1)),
+labelled AS (
+  SELECT Trees, Contamination, Rule_Fraud, Cost_to_Package, CASE WHEN Sum < Cut THEN -1 ELSE 1 END AS ML_Anomaly
+  FROM first JOIN limits USING (Trees) JOIN ruled USING (rid)),
+judged AS (SELECT *, cast({fused('batch')} > 0.5 AS int) AS Fraud_Flag FROM labelled)"""
+
+
+oracle(
+    "m07_trees_sweep",
+    tree_sweep(),
+    f"""SELECT Trees, Contamination, count(*) AS Claims, count(*) FILTER (ML_Anomaly = -1) AS Anomalies,
+count(*) FILTER (Fraud_Flag = 1) AS Flagged, {MODE.format('Contamination')} AS Sensitivity FROM judged GROUP BY Trees, Contamination""",
+)
+
 # --- Streams ----------------------------------------------------------------
 
 oracle("r01_ingest_stream", CLAIMS, "SELECT DISTINCT PatientID FROM claims")
