@@ -7,7 +7,7 @@ table expressions that each statement puts in front.
 from __future__ import annotations
 
 from claimsift.functions import risk, text as tx
-from claimsift.plans.catalog import ACCOUNT, EARLIER, LIMIT, NOW, PERIOD, SWEEP, TREE_SWEEP
+from claimsift.plans.catalog import ACCOUNT, EARLIER, LATE, LIMIT, NOW, PERIOD, SWEEP, TREE_SWEEP
 from claimsift.schema import CONTAMINATION, SEED, TREES
 
 ORACLES: dict[str, str] = {}
@@ -756,7 +756,11 @@ closed AS (
   WHERE cast(uploaded_at AS date) + INTERVAL 1 DAY <= (SELECT max(uploaded_at) FROM sessions) - INTERVAL 1 DAY)""",
     TREND.format("closed"),
 )
-ORACLES["r03_limited_stream"] = ORACLES["w01_rate_limit_replay"]
+# What the watermark, a bound behind the newest event, has passed by the millisecond.
+ORACLES["r03_limited_stream"] = (
+    replay("uid", LIMIT, PERIOD, "id, uid, allowed")
+    + f" JOIN (SELECT id, t FROM ordered) USING (id) WHERE t < ((SELECT max(t) FROM ordered) // 1000 - {LATE * 1000}) * 1000"
+)
 oracle(
     "r04_scored_stream",
     modelled_verdicts("batch"),

@@ -62,17 +62,41 @@ def test_events_without_time_disturb_no_others(spark):
     assert [got[k] for k in (10, 11, 12)] == [True, True, False]
 
 
-def test_stream_in_several_runs_equals_loop(spark, tmp_path):
-    raw = sorted([("a" if i % 4 else "b", (i * 53) % 900) for i in range(300)], key=lambda e: e[1])
-    events = events_of(raw)
-    output, state, progress, arrivals = (str(tmp_path / n) for n in ("out", "state", "progress", "in"))
+def run_limiter(spark, tmp_path, pieces, limit, period, late):
+    """Feed pieces one by one, starting the stream anew from its checkpoint each time."""
+    arrivals, output, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
     schema = spark.createDataFrame([], SCHEMA).schema
-    for start in range(0, 300, 100):
-        spark.createDataFrame(events[start : start + 100], SCHEMA).write.mode("append").parquet(arrivals)
+    for piece in pieces:
+        spark.createDataFrame(piece, SCHEMA).coalesce(1).write.mode("append").parquet(arrivals)
         stream = spark.readStream.schema(schema).parquet(arrivals)
-        limiter.limited_stream(stream, ["user"], "at", "id", 3, 60, output, state, progress).awaitTermination()
-    got = [(r.id, r.allowed) for r in limiter.read_limited(spark, schema, output).collect()]
-    assert len(got) == 300 and dict(got) == loop(events, 3, 60)
+        judged = limiter.limited(stream, ["user"], "at", "id", limit, period, late)
+        judged.writeStream.format("parquet").option("checkpointLocation", progress).trigger(availableNow=True).start(output).awaitTermination()
+    got = [(r.id, r.allowed) for r in spark.read.parquet(output).collect()]
+    assert len(got) == len(dict(got))
+    return dict(got), progress
+
+
+def test_late_events_in_several_runs_equal_the_loop(spark, tmp_path):
+    """Arrivals are out of order by up to 50 seconds, also from one run to the next."""
+    events = [(i, (None, "a", "a", "b")[i % 4], START + timedelta(seconds=(i * 53) % 900, microseconds=i)) for i in range(300)]
+    arriving = sorted(events, key=lambda e: (e[2] + timedelta(seconds=(e[0] * 31) % 50), e[0]))
+    flush = (1000, "z", START + timedelta(hours=2))
+    untimed = (2000, "a", None)
+    pieces = [arriving[:110], arriving[110:200] + [untimed], arriving[200:], [flush]]
+    got, progress = run_limiter(spark, tmp_path, pieces, 3, 60, "60 seconds")
+    assert got == {**loop(events, 3, 60), 2000: False}
+    # What is left: the last event, waiting, and no admitted times of the others.
+    held = spark.read.format("statestore").option("stateVarName", "admitted").load(progress)
+    assert held.count() == 0
+
+
+def test_a_crowded_key_keeps_its_limit(spark, tmp_path):
+    events = [(i, "a", START + timedelta(milliseconds=10 * i)) for i in range(1200)]
+    got, progress = run_limiter(spark, tmp_path, [events[:600], events[600:]], 5, 60, "2 seconds")
+    want = loop(events, 5, 60)
+    assert len(got) == 999 and all(want[i] == a for i, a in got.items())
+    held = spark.read.format("statestore").option("stateVarName", "admitted").load(progress)
+    assert held.count() == 5
 
 
 def test_context_is_the_last_turns_whatever_the_chunk(spark):
