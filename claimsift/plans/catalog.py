@@ -90,6 +90,31 @@ def s01_read_claims_csv(spark: SparkSession, sf: str) -> DataFrame:
     return back.withColumns({c: F.date_format(c, stamp) for c in ft.TIME_COLUMNS})
 
 
+def flawed_file(spark: SparkSession, sf: str) -> files.CheckedClaims:
+    """Claims written to a file with cells that fit no type and lines with a cell too many."""
+    claims, path = fx.claims(spark, sf), folder(spark, "csv")
+    age = F.when(F.col("Hospital_PIN") % 7 == 0, F.lit("old")).when(F.col("Hospital_PIN") % 7 == 1, F.lit("n/a")).otherwise(F.col("Age").cast("string"))
+    cost = F.when(F.col("Age") % 9 == 0, F.concat(F.lit("Rs "), F.col("Age"))).otherwise(F.col("Final_Billed_Amount").cast("string"))
+    admitted = F.when(F.col("Age") % 11 == 0, F.lit("soon")).otherwise(F.date_format("Admission_Timestamp", "dd/MM/yyyy"))
+    note = F.when(F.col("Age") % 13 == 0, F.lit("see, there")).otherwise(F.lit("-"))
+    rows = claims.select("TransactionID", age.alias("Age"), cost.alias("Final_Billed_Amount"), admitted.alias("Admission_Timestamp"), note.alias("Note"))
+    # Without quotes the comma of a note begins another cell.
+    rows.write.csv(path, header=True, quote="")
+    return files.check_claims_csv(spark, path)
+
+
+@query
+def s01_rejected_cells(spark: SparkSession, sf: str) -> DataFrame:
+    rejects = flawed_file(spark, sf).rejects
+    cell = F.when(F.col("column_name") != files.LINE, F.col("cell"))
+    return rejects.select(F.get_json_object("row", "$.TransactionID").alias("TransactionID"), "column_name", cell.alias("cell"))
+
+
+@query
+def s01_intake_report(spark: SparkSession, sf: str) -> DataFrame:
+    return flawed_file(spark, sf).report
+
+
 @query
 def s02_read_table(spark: SparkSession, sf: str) -> DataFrame:
     store = tb.ClaimStore(spark, folder(spark, "store"), claim_key="PatientID")

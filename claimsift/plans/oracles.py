@@ -178,6 +178,24 @@ stored AS (
   FROM claims
   QUALIFY row_number() OVER (PARTITION BY PatientID ORDER BY Admission_Timestamp >= timestamp '{EARLIER}', TransactionID, Final_Billed_Amount) = 1)"""
 
+oracle(
+    "s01_rejected_cells",
+    CLAIMS,
+    """SELECT TransactionID, 'Age' AS column_name, 'old' AS cell FROM claims WHERE Hospital_PIN % 7 = 0
+UNION ALL SELECT TransactionID, 'Final_Billed_Amount', concat('Rs ', Age) FROM claims WHERE Age % 9 = 0
+UNION ALL SELECT TransactionID, 'Admission_Timestamp', 'soon' FROM claims WHERE Age % 11 = 0
+UNION ALL SELECT TransactionID, '(line)', NULL FROM claims WHERE Age % 13 = 0""",
+)
+oracle(
+    "s01_intake_report",
+    f"""{CLAIMS},
+parts AS (
+  SELECT 'Age' AS column_name, count(*) FILTER (Hospital_PIN % 7 <> 1) AS cells, count(*) FILTER (Hospital_PIN % 7 = 0) AS rejected FROM claims
+  UNION ALL SELECT 'Final_Billed_Amount', count(*), count(*) FILTER (Age % 9 = 0) FROM claims
+  UNION ALL SELECT 'Admission_Timestamp', count(*), count(*) FILTER (Age % 11 = 0) FROM claims
+  UNION ALL SELECT '(line)', count(*), count(*) FILTER (Age % 13 = 0) FROM claims)""",
+    "SELECT column_name, cells, cells - rejected AS accepted, rejected FROM parts",
+)
 oracle(
     "s04_append_new",
     STORED,

@@ -1,5 +1,6 @@
 """Stored tables, files and uploads."""
 
+import json
 import math
 from datetime import datetime
 from pathlib import Path
@@ -165,6 +166,34 @@ def test_csv_in_any_order_with_missing_cells(spark, store, tmp_path):
     assert store.sync_csv(str(path), now()) == (True, "✅ Sync Complete: 0 new rows added, 3 skipped.")
 
 
+def test_rejected_cells_are_kept(spark, tmp_path):
+    path = tmp_path / "claims.csv"
+    path.write_text(
+        "TransactionID,Age,Final_Billed_Amount,Admission_Timestamp,Extra\n"
+        "t1,41,12.5,13/03/2024,x\nt2,old,NA,05/03/2024,y\nt3,,1e400,2024-13-01,z\nt4,7,3.0,06/03/2024,a,b\nt5,8\n"
+    )
+    checked = files.check_claims_csv(spark, str(path))
+    rows = {r.TransactionID: r for r in checked.claims.collect()}
+    assert len(rows) == 5 and rows["t2"].Admission_Timestamp == datetime(2024, 3, 5) and rows["t2"].Age is None
+    assert (rows["t4"].Age, rows["t5"].Age, rows["t5"].Final_Billed_Amount) == (7, 8, None)
+    assert checked.claims.columns == files.read_claims_csv(spark, str(path)).columns
+    assert sorted(map(str, checked.claims.collect())) == sorted(map(str, files.read_claims_csv(spark, str(path)).collect()))
+    rejects = {(json.loads(r.row)["TransactionID"], r.column_name, r.cell) for r in checked.rejects.collect()}
+    assert rejects == {
+        ("t2", "Age", "old"),
+        ("t3", "Admission_Timestamp", "2024-13-01"),
+        ("t4", "(line)", "t4,7,3.0,06/03/2024,a,b"),
+        ("t5", "(line)", "t5,8"),
+    }
+    assert {r.file for r in checked.rejects.collect()} == {"claims.csv"}
+    report = {r.column_name: (r.cells, r.accepted, r.rejected) for r in checked.report.collect()}
+    assert report == {"Age": (4, 3, 1), "Final_Billed_Amount": (3, 3, 0), "Admission_Timestamp": (4, 3, 1), "(line)": (5, 3, 2)}
+    (tmp_path / "empty.csv").write_text("TransactionID,Age\n")
+    nothing = files.check_claims_csv(spark, str(tmp_path / "empty.csv"))
+    assert nothing.claims.isEmpty() and nothing.rejects.isEmpty()
+    assert all((r.cells, r.rejected) == (0, 0) for r in nothing.report.collect())
+
+
 def test_sync_reports_missing_and_empty_files(spark, store, tmp_path):
     assert store.sync_csv(str(tmp_path / "none.csv"), now())[0] is False
     (tmp_path / "empty.csv").write_text("PatientID,Age\n")
