@@ -1,12 +1,15 @@
 """Mix sources to target weights by a schedule of low discrepancy.
 
 Sizes are words. Each source's documents are put in a shuffled order (by the
-md5 of ``doc_id``) and read as one endless stream of words that repeats; blocks
-of equal length are cut from it. Slot ``s`` of the schedule has the point
-``frac(s * golden ratio)``; the source in whose share of the targets the point
-falls gives its next block to the slot. Points of this kind fill every share
-evenly at any time, so sources are mixed evenly from the first slot to the
-last, and each has as many slots as its target asks for, give or take a few.
+md5 of ``doc_id``) and read as one endless stream of words that repeats, up to
+the source's quota. The quota is cut into blocks of equal length (the last may
+be shorter), and every block has a slot of the schedule: slot ``s`` has the point
+``frac(s * golden ratio)`` and goes to the next block of the source in whose
+share of all blocks the point falls. Points of this kind fill every share evenly
+at any time, so sources are mixed evenly from the first slot to the last. A
+share may catch a few points more or fewer than it has blocks: surplus points
+are passed over, and blocks without one follow at the end. So every block is
+taken once, and each source gives its quota, however small, at every size.
 
 Ranks and running sums are made in two or more levels, so that no task holds a
 source: within a chunk of rows first, then over the chunks' totals.
@@ -28,8 +31,8 @@ PASSES = 2
 WORD = r"[^\x20\x09-\x0D]+"
 
 GOLDEN = 0.6180339887498949
-# Slots of a schedule: a block has the words wanted over this number, so that
-# a source misses its target by a few parts in SLOTS of the whole mix.
+# Blocks of a schedule, about: a block has the words wanted over this number.
+# Each source has one at least, so there are as many more as sources.
 SLOTS = 1 << 18
 # Slots ranked by one window, and documents summed up by one.
 SLOT_CHUNK = 1 << 12
@@ -92,31 +95,38 @@ def plan(sizes: DataFrame) -> DataFrame:
     )
 
 
-def schedule(sources: DataFrame, block: int, slots: int) -> DataFrame:
-    """``(slot, place, rank)``: the source of each slot and which of its blocks.
+def schedule(sources: DataFrame, block: int) -> DataFrame:
+    """``(slot, place, block)``: the slot of each block of each source.
 
-    ``rank`` counts a source's slots from 0. Slots meet shares by cells of the
-    line of points, ranks come from chunks of slots and the chunks' counts.
+    ``sources`` is stored and has ``place`` and ``quota``. Points meet shares by
+    cells of the line of all blocks; a source's points are counted in chunks of
+    slots and by the chunks' counts. The block of rank ``r`` that no point fell
+    to has the slot behind all points that its place in the line gives it.
     """
     spark = sources.sparkSession
-    total = sources.agg(F.max("high")).first()[0] or 0
+    shares = sources.where("quota > 0").withColumn("n", F.ceil(F.col("quota") / block))
+    shares = shares.select("place", "n", F.sum("n").over(Window.orderBy("place")).alias("high"))
+    shares = stored(shares.withColumn("low", F.col("high") - F.col("n")), "mix-shares")
+    total = shares.agg(F.max("high")).first()[0] or 0
     if not total:
-        return spark.range(0).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("rank"))
+        return spark.range(0).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("block"))
     point = F.col("id") * F.lit(GOLDEN)
     at = F.least(F.floor((point - F.floor(point)) * F.lit(float(total))), F.lit(total - 1)).cast("long")
-    points = spark.range(slots).select(F.col("id").alias("slot"), at.alias("at"))
+    points = spark.range(total).select(F.col("id").alias("slot"), at.alias("at"))
     cell = lambda x: F.floor(x * CELLS / F.lit(float(total)))
-    shares = sources.where("quota > 0").select(
-        "place", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high") - 1))).alias("cell")
-    )
-    given = points.withColumn("cell", cell(F.col("at"))).join(shares, "cell").where("low <= at AND at < high")
-    given = given.select("slot", "place", F.floor(F.col("slot") / SLOT_CHUNK).alias("chunk"))
+    spread = shares.select("place", "n", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high") - 1))).alias("cell"))
+    given = points.withColumn("cell", cell(F.col("at"))).join(spread, "cell").where("low <= at AND at < high")
+    given = given.select("slot", "place", "n", F.floor(F.col("slot") / SLOT_CHUNK).alias("chunk"))
     inside = F.row_number().over(Window.partitionBy("place", "chunk").orderBy("slot")) - 1
-    counts = given.groupBy("place", "chunk").agg(F.count("*").alias("n"))
-    earlier = F.sum("n").over(Window.partitionBy("place").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    counts = given.groupBy("place", "chunk").agg(F.count("*").alias("m"))
+    earlier = F.sum("m").over(Window.partitionBy("place").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     before = counts.select("place", "chunk", F.coalesce(earlier, F.lit(0)).alias("before"))
     ranked = given.withColumn("inside", inside).join(before, ["place", "chunk"])
-    return ranked.select("slot", "place", (F.col("before") + F.col("inside")).cast("long").alias("rank"))
+    ranked = ranked.select("slot", "place", (F.col("before") + F.col("inside")).cast("long").alias("block"), "n").where("block < n").drop("n")
+    caught = counts.groupBy("place").agg(F.sum("m").alias("m"))
+    short = shares.join(caught, "place", "left").withColumn("m", F.coalesce("m", F.lit(0))).where("m < n")
+    late = short.withColumn("block", F.explode(F.sequence(F.col("m"), F.col("n") - 1)))
+    return ranked.union(late.select((F.lit(total) + F.col("low") + F.col("block")).alias("slot"), "place", F.col("block").cast("long")))
 
 
 def positions(sizes: DataFrame, rows: int) -> DataFrame:
@@ -148,28 +158,29 @@ def positions(sizes: DataFrame, rows: int) -> DataFrame:
 def mix(docs: DataFrame, key: Column | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, source): what the mix takes of it.
 
-    ``doc_id, source, size, source_size, target, taken`` and ``copies``, the
-    passes in which its first word comes before the source's quota, with ``key``
-    if one is given. ``taken`` goes by the slots, as in the SQL: a source whose
-    quota is about a block or less may get none. ``copies`` does not. Null sources are one source; null and empty texts have size 0,
-    are never taken and have no copies. Rows may repeat and ``doc_id`` may be
-    null or repeated; rows that are alike in ``doc_id`` and size may change
-    places, which changes no figure.
+    ``doc_id, source, size, source_size, target, taken``, ``slot``, the first
+    slot that takes words of it, and ``heads``, the slots that take its first
+    word, one for each pass, with ``key`` if one is given. Each source's
+    ``taken`` sum up to its quota. Null sources are one source; null and empty
+    texts have size 0 and are never taken: null ``slot``, no ``heads``. Rows may
+    repeat and ``doc_id`` may be null or repeated; rows that are alike in
+    ``doc_id`` and size may change places. An empty table has no rows.
     """
     key = F.lit(None).cast("binary") if key is None else key
+    # Rows without an id are dealt by their texts.
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")), F.lit(""))
     sizes = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         words(F.col("text").cast("string")).alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("draw"),
+        F.md5(name.cast("binary")).alias("draw"),
         key.alias("key"),
     )
     sizes = stored(sizes, "mix-sizes")
     rows, total = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     sources = stored(plan(sizes).coalesce(1), "mix-sources")
-    wanted = total * SHARE_HALVES // 2
-    block = max(1, -(-wanted // SLOTS))
-    slots = schedule(sources, block, -(-wanted // block)).select("place", F.col("rank").alias("block"))
+    block = max(1, -(-(total * SHARE_HALVES // 2) // SLOTS))
+    slots = schedule(sources, block)
     # Sources are few against documents; a hot one is split at run time.
     placed = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"]))
     placed = placed.select("doc_id", sizes["source"], "size", "draw", "key", "place", "source_size", "target", "quota")
@@ -178,47 +189,48 @@ def mix(docs: DataFrame, key: Column | None = None) -> DataFrame:
     once = once.withColumn("from", F.col("pass") * F.col("source_size") + F.col("start")).where("from < quota")
     once = once.withColumn("to", F.least(F.col("from") + F.col("size"), F.col("quota")))
     first, last = F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block)
-    pieces = once.withColumn("block", F.explode(F.sequence(first, last)))
+    pieces = once.withColumn("first", first).withColumn("block", F.explode(F.sequence(first, last)))
     pieces = pieces.withColumn("words", F.least("to", (F.col("block") + 1) * block) - F.greatest("from", F.col("block") * block))
-    taken = (
-        pieces.select("place", "block", "start", "words")
-        .join(slots, ["place", "block"])
-        .groupBy("place", "start")
-        .agg(F.sum("words").alias("taken"))
-    )
+    pieces = pieces.select("place", "block", "start", "words", (F.col("block") == F.col("first")).alias("head"))
+    taken = pieces.join(slots, ["place", "block"]).groupBy("place", "start")
+    taken = taken.agg(F.sum("words").alias("taken"), F.min("slot").alias("slot"), F.array_sort(F.collect_list(F.when(F.col("head"), F.col("slot")))).alias("heads"))
     # Where a document has words, no other of its source starts there.
     joined = filled.join(taken, ["place", "start"], "left")
-    out = ["doc_id", "source", "size", "source_size", "target", "taken", "copies", "key"]
-    zero = F.lit(0).cast("long")
-    heads = [(F.lit(p) * F.col("source_size") + F.col("start") < F.col("quota")).cast("long") for p in range(PASSES)]
-    whole = joined.withColumns({"taken": F.coalesce("taken", zero), "copies": sum(heads, zero)})
-    empty = placed.where("size = 0").withColumns({"taken": zero, "copies": zero})
+    out = ["doc_id", "source", "size", "source_size", "target", "taken", "slot", "heads", "key"]
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<long>")
+    whole = joined.withColumns({"taken": F.coalesce("taken", zero), "heads": F.coalesce("heads", none)})
+    empty = placed.where("size = 0").withColumns({"taken": zero, "slot": F.lit(None).cast("long"), "heads": none})
     return whole.select(*out).union(empty.select(*out))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of the mix: each row of ``docs`` as often as ``copies`` says.
+    """The rows of the mix in the order of their slots, as often as they begin in one.
 
     Whole documents stand for the words of a quota: a pass over a source gives
-    those whose first word comes before it, so every source reaches its target.
+    those whose first word the quota has, so every source reaches its target,
+    and a document stands where the slot of its first word does. The rows are
+    dealt by ranges of slots and sorted; columns are those of ``docs``, whatever
+    their names. Rows that are alike in all of them are one that is taken
+    several times.
     """
-    key = F.unhex(F.md5(F.to_json(F.struct(*[F.col(c) for c in docs.columns])).cast("binary")))
-    taken = mix(docs, key).where("copies > 0").groupBy("key").agg(F.sum("copies").alias("_copies"))
-    taken = taken.withColumnRenamed("key", "_taken")
-    # Rows that are alike are put together first; their copies are added up.
-    rows = docs.withColumn("_key", key).join(taken, F.col("_key") == F.col("_taken")).dropDuplicates(["_key"])
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    exact = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    key = F.unhex(F.md5(F.to_json(row, exact).cast("binary")))
+    taken = mix(docs, key).select(F.col("key").alias("taken_key"), F.explode("heads").alias("slot"))
+    rows = docs.select(row.alias("row"), key.alias("row_key")).dropDuplicates(["row_key"])
+    found = rows.join(taken, F.col("row_key") == F.col("taken_key")).select("row", "slot")
+    return found.repartitionByRange("slot").sortWithinPartitions("slot").select("row.*")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
     """op5: the mix of all documents."""
-    return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "slot")
 
 
 ORACLE = rf"""
 WITH sizes AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS draw
+         md5(coalesce(CAST(doc_id AS VARCHAR), md5(text), '')) AS draw
   FROM documents),
 totals AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -239,17 +251,25 @@ targets AS (
                    ELSE CAST(l.weight * b.rest AS DOUBLE) / CAST(b.open AS DOUBLE) END AS target
   FROM level l LEFT JOIN below b ON true),
 quotas AS (SELECT *, least(CAST(round(target) AS BIGINT), cap) AS quota FROM targets),
-sources AS (SELECT *, CAST(sum(quota) OVER (ORDER BY place) AS BIGINT) AS high FROM quotas),
 figures AS (
-  SELECT {SHARE_HALVES} * CAST(sum(source_size) AS BIGINT) // 2 AS wanted, max(high) AS line,
-         greatest(1, ({SHARE_HALVES} * CAST(sum(source_size) AS BIGINT) // 2 + {SLOTS - 1}) // {SLOTS}) AS block
-  FROM sources),
+  SELECT greatest(1, ({SHARE_HALVES} * CAST(sum(source_size) AS BIGINT) // 2 + {SLOTS - 1}) // {SLOTS}) AS block
+  FROM quotas),
+sources AS (
+  SELECT *, (quota + block - 1) // block AS n, CAST(sum((quota + block - 1) // block) OVER (ORDER BY place) AS BIGINT) AS high
+  FROM quotas, figures),
+line AS (SELECT coalesce(max(high), 0) AS line FROM sources),
 points AS (
   SELECT slot, least(CAST(floor((slot * CAST({GOLDEN} AS DOUBLE) - floor(slot * CAST({GOLDEN} AS DOUBLE))) * CAST(line AS DOUBLE)) AS BIGINT), line - 1) AS spot
-  FROM figures, range((SELECT (wanted + block - 1) // block FROM figures)) r(slot)),
+  FROM line, range((SELECT line FROM line)) r(slot)),
+caught AS (
+  SELECT place, n, slot, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS block
+  FROM points JOIN sources ON spot >= high - n AND spot < high),
+missed AS (
+  SELECT s.place, unnest(range(coalesce(c.m, 0), s.n)) AS block, s.high - s.n AS low
+  FROM sources s LEFT JOIN (SELECT place, count(*) AS m FROM caught GROUP BY place) c ON c.place = s.place),
 slots AS (
-  SELECT place, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS block
-  FROM points JOIN sources ON spot >= high - quota AND spot < high),
+  SELECT place, block, slot FROM caught WHERE block < n
+  UNION ALL SELECT place, block, (SELECT line FROM line) + low + block FROM missed),
 placed AS (
   SELECT z.doc_id, z.size, s.place, s.source_size, s.target, s.quota,
          CAST(sum(z.size) OVER (PARTITION BY s.place ORDER BY z.draw, z.doc_id, z.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - z.size AS start
@@ -260,8 +280,9 @@ passes AS (
 pieces AS (
   SELECT *, unnest(range(lo // block, (hi - 1) // block + 1)) AS piece FROM passes, (SELECT block FROM figures)),
 taken AS (
-  SELECT p.place, p.doc_id, p.start, sum(least(hi, (piece + 1) * p.block) - greatest(lo, piece * p.block)) AS taken
+  SELECT p.place, p.doc_id, p.start, min(slot) AS slot, sum(least(hi, (piece + 1) * p.block) - greatest(lo, piece * p.block)) AS taken
   FROM pieces p JOIN slots s ON p.place = s.place AND p.piece = s.block GROUP BY ALL)
-SELECT p.doc_id, p.size, p.source_size, p.target, CAST(CASE WHEN p.size > 0 THEN coalesce(t.taken, 0) ELSE 0 END AS BIGINT) AS taken
+SELECT p.doc_id, p.size, p.source_size, p.target, CAST(CASE WHEN p.size > 0 THEN coalesce(t.taken, 0) ELSE 0 END AS BIGINT) AS taken,
+       CASE WHEN p.size > 0 THEN t.slot END AS slot
 FROM placed p LEFT JOIN taken t ON p.place = t.place AND p.start = t.start AND p.doc_id IS NOT DISTINCT FROM t.doc_id
 """
