@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from claimsift.session import shared_folder
 
+# Rows of a file of narrow rows.
+FILE_ROWS = 200_000
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -18,13 +21,22 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: its lineage ends there."""
+def stored(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read back: its lineage ends there.
+
+    ``files`` is the most files that it is written to, by as many tasks.
+    """
     path = new_folder(df.sparkSession, label)
+    df = df if files is None else df.coalesce(files)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def files_for(rows: int) -> int:
+    """Files for so many narrow rows."""
+    return max(1, -(-rows // FILE_ROWS))
+
+
 def digest128(text: Column) -> Column:
     """Sixteen bytes that stand for a text."""
     return F.unhex(F.md5(text.cast("binary")))
@@ -34,33 +46,30 @@ def components(links: DataFrame, label: str) -> DataFrame:
     """``(id, component)`` for every id in ``links`` (a, b); the smallest id names it.
 
     Rounds of hooking and pointer jumping: every id looks at the smallest label
-    around it, and labels are followed to their own labels. Each round is
-    written to the shared folder; their number grows with the logarithm of the
+    around it, tells the label that it leaves, and labels are followed to their
+    own labels. Each round is written to the shared folder once, to files by the
+    number of links; the number of rounds grows with the logarithm of the
     longest chain of links. Hubs are met by partial aggregation before the
     shuffle, and their joins can be split at run time.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = stored(both.where("a <> b").distinct(), f"{label}-links")
-    state = stored(
-        both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")),
-        f"{label}-labels",
-    )
+    files = files_for(both.count())
+    first = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m"))
+    state = stored(first.select("id", F.least("id", "m").alias("component")), f"{label}-labels", files)
     while True:
-        seen = (
-            both.join(state.withColumnRenamed("id", "b"), "b")
-            .groupBy(F.col("a").alias("id"))
-            .agg(F.min("component").alias("near"))
+        around = both.join(state.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id"))
+        near = state.join(around.agg(F.min("component").alias("near")), "id")
+        new = F.least("component", "near")
+        # An id's own new label, and the same for the label that it had.
+        told = F.array(
+            F.struct("id", F.col("component").alias("old"), new.alias("new")),
+            F.struct(F.col("component").alias("id"), F.lit(None).cast("long").alias("old"), new.alias("new")),
         )
-        hooked = state.join(seen, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("new"))
-        # The label that an id leaves must learn of the smaller one as well.
-        roots = hooked.where("new < old").groupBy(F.col("old").alias("id")).agg(F.min("new").alias("root"))
-        hooked = hooked.join(roots, "id", "left").select("id", "old", F.least("new", F.coalesce("root", "new")).alias("new"))
-        hooked = stored(hooked, f"{label}-hooked")
+        hooked = near.select(F.inline(told)).groupBy("id").agg(F.max("old").alias("old"), F.min("new").alias("new"))
         jump = hooked.select(F.col("id").alias("new"), F.col("new").alias("next"))
-        state = stored(
-            hooked.join(jump, "new").select("id", F.col("next").alias("component"), (F.col("next") < F.col("old")).alias("moved")),
-            f"{label}-labels",
-        )
+        moved = (F.col("next") < F.col("old")).alias("moved")
+        state = stored(hooked.join(jump, "new").select("id", F.col("next").alias("component"), moved), f"{label}-labels", files)
         if not state.where("moved").head(1):
             return state.select("id", "component")
         state = state.select("id", "component")

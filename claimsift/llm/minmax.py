@@ -39,8 +39,12 @@ BLOCK = 256
 HUBS = 8
 # Bytes of text described at once: each takes some fifty bytes of working arrays.
 TEXT_BYTES = 1_000_000
-# Narrow tables of up to so many rows are broadcast after they were counted.
-BROADCAST_ROWS = 1_000_000
+# Narrow tables of up to so many rows, some 10 MB, are broadcast after they were counted.
+BROADCAST_ROWS = 100_000
+# Shingles that are held at once for the sets of a group.
+COLUMNS = 8192
+# Tasks of the last comparison at most; each group of two blocks is work, though few bytes.
+FAR_TASKS = 10_000
 SEED = 11
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -127,55 +131,68 @@ def bands(values: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets overlap by ``percent`` of their union or more."""
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    both = np.concatenate([a, b])
-    both.sort(kind="stable")
-    shared = int((both[1:] == both[:-1]).sum())
-    return 100 * shared >= percent * (len(both) - shared)
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections of sorted sets, as a matrix.
+
+    Shingles that one set alone holds count for none; the others are columns of
+    0 and 1, ``COLUMNS`` at a time, whose products with themselves add up.
+    """
+    n = len(sets)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    fresh = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, bool)
+    column = np.cumsum(fresh) - 1
+    shared = np.bincount(column)[column] > 1 if len(flat) else fresh
+    column, owner = column[shared], owner[shared]
+    column = np.cumsum(np.concatenate([[True], column[1:] != column[:-1]])) - 1 if len(column) else column
+    out = np.zeros((n, n), dtype=np.float64)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [a, a + COLUMNS])
+        held = np.zeros((n, min(COLUMNS, int(column[-1]) + 1 - a)), dtype=np.float32)
+        held[owner[i:j], column[i:j] - a] = 1
+        out += held @ held.T
+    return out
 
 
 def compare(ids: np.ndarray, sets: list[np.ndarray], keys: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that connect all candidates of a group that are linked.
 
-    Candidates share a key. ``labels`` says what is connected already; those
-    pairs are not compared, and neither is any pair twice. Members of a key
-    meet its first one, then each other where they are still apart.
+    Candidates share a key, are not connected by ``labels`` already and have
+    sizes that allow for a link; all of them are compared at once. Of the links
+    found, those that connect something new are given.
     """
-    group, tried, out = {}, set(), []
-    for i, label in enumerate(labels):
-        group[i] = group.get(("label", label), i)
-        group.setdefault(("label", label), i)
+    n = len(ids)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(n), [len(k) for k in keys])
+    order = np.lexsort((owner, flat))
+    candidates = np.zeros((n, n), dtype=bool)
+    for members in np.split(owner[order], np.flatnonzero(np.diff(flat[order])) + 1):
+        if len(members) > 1:
+            candidates[members[:, None], members] = True
+    candidates &= labels[:, None] != labels
+    candidates &= 100 * np.minimum(sizes[:, None], sizes) >= percent * np.maximum(sizes[:, None], sizes)
+    candidates &= np.tri(n, k=-1, dtype=bool).T
+    some = np.flatnonzero(candidates.any(0) | candidates.any(1))
+    if not len(some):
+        return []
+    shared = overlaps([sets[i] for i in some])
+    near = 100 * shared >= percent * (sizes[some][:, None] + sizes[some] - shared)
+    group = {int(x): int(x) for x in np.unique(labels)}
 
     def root(x: int) -> int:
         while group[x] != x:
             group[x] = x = group[group[x]]
         return x
 
-    def meet(x: int, y: int) -> None:
-        a, b = root(x), root(y)
-        if a == b or (x, y) in tried:
-            return
-        tried.add((x, y))
-        if similar(sets[x], sets[y], percent):
+    out = []
+    for x, y in zip(*np.nonzero(near & candidates[np.ix_(some, some)])):
+        a, b = root(int(labels[some[x]])), root(int(labels[some[y]]))
+        if a != b:
             group[a] = b
-            out.append((int(ids[x]), int(ids[y])))
-
-    flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    order = np.lexsort((owner, flat))
-    cuts = np.flatnonzero(np.diff(flat[order])) + 1
-    shared = [m for m in np.split(owner[order], cuts) if len(m) > 1]
-    for members in shared:
-        for y in members[1:]:
-            meet(int(members[0]), int(y))
-    for members in shared:
-        if len({root(int(x)) for x in members[1:]}) > 1:
-            for i, x in enumerate(members):
-                for y in members[i + 1 :]:
-                    meet(int(x), int(y))
+            out.append((int(ids[some[x]]), int(ids[some[y]])))
     return out
 
 
@@ -265,14 +282,30 @@ def grouped(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, block:
         apart = members.join(labelled, F.col("class_id") == F.col("id")).groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"))
         apart = stored(apart.where("l0 <> l1").select(F.col("key").alias("_key")), "minmax-apart")
         left = members.join(_small(apart), F.col("key") == F.col("_key")).groupBy(F.col("class_id").alias("id")).agg(F.collect_list("key").alias("keys"))
-        rest = labelled.join(left, "id").join(large.select("id", "text"), "id")
+        rest = labelled.join(left, "id")
         counts = rest.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
         rest = rest.join(counts, "cluster").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rest = stored(rest, "minmax-rest")
+        halves = rest.agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0]
+        # Two blocks meet only where they share an open band.
+        held = rest.select("cluster", "mine", F.explode("keys").alias("key")).distinct()
+        other = held.select(F.col("cluster").alias("_cluster"), F.col("mine").alias("_other"), F.col("key").alias("_key"))
+        meet = held.join(other, (F.col("cluster") == F.col("_cluster")) & (F.col("key") == F.col("_key"))).select("cluster", "mine", F.col("_other").alias("other")).distinct()
+        rest = rest.join(meet, ["cluster", "mine"]).join(large.select("id", "text"), "id")
         pairs = rest.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "keys", "text", "label")
-        near = near.union(stored(pairs.groupBy("cluster", "i", "j").applyInPandas(links, pair), "minmax-far"))
-
-    label = components(near, "minmax").withColumnRenamed("component", "label")
+        tasks = max(1, min(FAR_TASKS, -(-halves // block)))
+        pairs = pairs.repartition(tasks, "cluster", "i", "j")
+        far = stored(pairs.groupBy("cluster", "i", "j").applyInPandas(links, pair), "minmax-far")
+        # The far links connect components of the near ones.
+        label = label.withColumnRenamed("found", "label")
+        named = label.select(F.col("id").alias("_id"), F.col("label").alias("_label"))
+        far = far.join(named, F.col("a") == F.col("_id"), "left").select(F.coalesce("_label", "a").alias("a"), "b")
+        far = far.join(named, F.col("b") == F.col("_id"), "left").select("a", F.coalesce("_label", "b").alias("b"))
+        joined = components(far, "minmax-far").toDF("_label", "_joined")
+        ids = label.union(joined.select(F.col("_label"), F.col("_label"))).distinct().toDF("id", "label")
+        label = ids.join(joined, F.col("label") == F.col("_label"), "left").select("id", F.coalesce("_joined", "label").alias("label"))
+    else:
+        label = components(near, "minmax-near").withColumnRenamed("component", "label")
     tagged = names.select(F.col("class_id").alias("id"), F.col("words").alias("_words"), "first").join(label, "id", "left")
     tagged = tagged.withColumn("label", F.coalesce("label", "id"))
     tops = tagged.groupBy("label").agg(F.min("first").alias("top"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
 
 from claimsift.llm import linedup, minmax
+from claimsift.llm.common import components
 
 
 def distance(a: str, b: str) -> int:
@@ -160,3 +162,49 @@ def test_signatures_estimate_similarity():
     a, b = np.unique(items[:800]), np.unique(items[200:])
     same = (minmax.signature(a) == minmax.signature(b)).mean()
     assert abs(same - 0.6) < 0.1
+
+
+def test_a_band_shared_by_many_unlinked_texts():
+    """All pairs of 500 texts at once: as many links as connect what is linked, in little time."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 20, rng.integers(20, 60), dtype=np.uint64)) for _ in range(500)]
+    for k in range(0, 60, 3):
+        sets[k + 1] = sets[k][1:]
+        sets[k + 2] = sets[k + 1][1:]
+    sets[99] = np.zeros(0, np.uint64)
+    ids, keys, labels = np.arange(1000, 1500), [np.array([7])] * 500, np.arange(500)
+    start = time.process_time()
+    got = minmax.compare(ids, sets, keys, labels, 80)
+    assert time.process_time() - start < 5
+    plain = [set(s.tolist()) for s in sets]
+    linked = [(i, j) for j in range(500) for i in range(j) if plain[j] and 100 * len(plain[i] & plain[j]) >= 80 * len(plain[i] | plain[j])]
+    assert all((a - 1000, b - 1000) in linked for a, b in got)
+    assert grouped(range(500), [(a - 1000, b - 1000) for a, b in got]) == grouped(range(500), linked)
+    assert len(got) == 500 - len(set(grouped(range(500), linked).values()))
+    # What is connected already is not compared, and nothing without a common key.
+    assert minmax.compare(ids, sets, keys, np.zeros(500, np.int64), 80) == []
+    assert minmax.compare(ids, sets, [np.array([i]) for i in range(500)], labels, 80) == []
+
+
+def test_overlaps_in_several_parts(monkeypatch):
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 300, 80, dtype=np.uint64)) for _ in range(9)] + [np.zeros(0, np.uint64)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    for columns in (7, 8192):
+        monkeypatch.setattr(minmax, "COLUMNS", columns)
+        got = minmax.overlaps(sets)
+        assert all(got[i][j] == want[i][j] for i in range(10) for j in range(10) if i != j)
+
+
+def test_components_of_chains_and_stars(spark):
+    draw = random.Random(8)
+    links = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + draw.randint(0, 40)) for _ in range(50)]
+    links += [(draw.randint(200, 260), draw.randint(200, 260)) for _ in range(45)]
+    draw.shuffle(links)
+    got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "test").collect()}
+    ids = sorted({x for a, b in links for x in (a, b) if a != b})
+    group = grouped(range(300), links)
+    first = {}
+    for i in ids:
+        first.setdefault(group[i], i)
+    assert got == {i: first[group[i]] for i in ids}
