@@ -84,10 +84,10 @@ class ChunkEncoder:
     """One worker's tokenizer with the chunks it has encoded.
 
     ``spaces``: white space is part of the ids (byte-level vocabulary); else it
-    only separates words. ``offsets``: also keep each id's span of characters.
+    only separates words.
     """
 
-    def __init__(self, path: str, spaces: bool, offsets: bool = False):
+    def __init__(self, path: str, spaces: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -95,7 +95,7 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.spaces, self.offsets = spaces, offsets
+        self.spaces = spaces
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = dict(enumerate(byte_letters()))
         self.tail = {c: [t.id for t in self.model.tokenize(c)] for c in ",."}
@@ -105,7 +105,6 @@ class ChunkEncoder:
         self.codes: dict[str, int] = {}
         self.known = 0
         self.ids = np.zeros(1 << 16, dtype=np.int32)
-        self.spans = np.zeros((1 << 16, 2), dtype=np.int32) if self.offsets else None
         self.used = 0
         self.starts = np.zeros(1 << 14, dtype=np.int64)
         self.lengths = np.zeros(1 << 14, dtype=np.int64)
@@ -126,17 +125,11 @@ class ChunkEncoder:
         ids = [t.id for t in self.model.tokenize(self.letters[32] + letters if space else letters)]
         return ids + self.tail[end] if end else ids
 
-    def encoded(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
-        """Ids and spans of each text by the library alone."""
-        if self.offsets:
-            return [(e.ids, e.offsets) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        return [(e.ids, []) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
     def learn(self, chunks: list[str]) -> None:
         """Encode chunks that are not known yet."""
-        known, lengths, flat, spans, others = [], [], [], [], []
+        known, lengths, flat, others = [], [], [], []
         for chunk in chunks:
-            ids = None if self.offsets else self.pieces(chunk)
+            ids = self.pieces(chunk)
             if ids is None:
                 others.append(chunk)
             else:
@@ -146,22 +139,17 @@ class ChunkEncoder:
         for a in range(0, len(others), 4096):
             part = others[a : a + 4096]
             known += part
-            for ids, covered in self.encoded(part):
-                lengths.append(len(ids))
-                flat += ids
-                spans += covered
+            for found in self.tokenizer.encode_batch_fast(part, add_special_tokens=False):
+                lengths.append(len(found.ids))
+                flat += found.ids
         need = self.used + len(flat)
         if need > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(need, len(self.ids)), dtype=np.int32)])
-            if self.offsets:
-                self.spans = np.concatenate([self.spans, np.zeros((max(need, len(self.spans)), 2), dtype=np.int32)])
         count = self.known + len(known)
         if count > len(self.starts):
             more = np.zeros(max(count, len(self.starts)), dtype=np.int64)
             self.starts, self.lengths = np.concatenate([self.starts, more]), np.concatenate([self.lengths, more])
         self.ids[self.used : need] = flat
-        if self.offsets and spans:
-            self.spans[self.used : need] = spans
         sizes = np.array(lengths, dtype=np.int64)
         self.starts[self.known : count] = self.used + np.cumsum(sizes) - sizes
         self.lengths[self.known : count] = sizes
@@ -192,10 +180,7 @@ class ChunkEncoder:
         return lists.flatten(), counts
 
     def encode(self, texts: pa.Array) -> dict[str, np.ndarray]:
-        """Ids of all texts in a row and the number of ids of each; null is empty.
-
-        With ``offsets`` also ``spans``: each id's characters within its text.
-        """
+        """Ids of all texts in a row and the number of ids of each; null is empty."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         chunks, counts = self.cut(texts)
         coded = chunks.dictionary_encode()
@@ -210,22 +195,15 @@ class ChunkEncoder:
             del self.codes[chunk]
         of = codes[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
         lengths = self.lengths[of]
-        out = {"ids": ragged(self.ids, self.starts[of], lengths), "counts": sums(lengths, counts)}
-        if self.offsets:
-            chars = np.asarray(pc.utf8_length(chunks), dtype=np.int64)
-            before = np.cumsum(chars) - chars
-            text_starts = np.concatenate([before, [0]])[np.cumsum(counts) - counts]
-            inside = before - np.repeat(text_starts, counts)
-            out["spans"] = ragged(self.spans, self.starts[of], lengths) + np.repeat(inside, lengths)[:, None]
-        return out
+        return {"ids": ragged(self.ids, self.starts[of], lengths), "counts": sums(lengths, counts)}
 
 
 _encoders: dict[tuple, ChunkEncoder] = {}
 
 
-def encoder(path: str, spaces: bool, offsets: bool = False) -> ChunkEncoder:
+def encoder(path: str, spaces: bool) -> ChunkEncoder:
     """This worker process's encoder, with what it has learned so far."""
-    key = (path, spaces, offsets)
+    key = (path, spaces)
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = ChunkEncoder(*key)

@@ -31,12 +31,16 @@ def test_chunks_equal_whole_texts(path, spaces, marks):
         assert [g.tolist() for g in got] == chunks.whole_texts(path, texts)
 
 
-def test_spans_equal_the_librarys():
-    coder = chunks.ChunkEncoder(bpe.TOKENIZER, True, True)
-    texts = [t or "" for t in odd_texts(3, True)]
-    out = coder.encode(pa.array(texts, pa.string()))
-    got = np.split(out["spans"], np.cumsum(out["counts"])[:-1])
-    want = coder.tokenizer.encode_batch(texts, add_special_tokens=False)
+@pytest.mark.parametrize("marks", [False, True])
+def test_spans_equal_the_librarys(marks):
+    """Plain words, characters of several ids and special tokens; null texts have no spans."""
+    coder = chunks.ChunkEncoder(bpe.TOKENIZER, True)
+    texts = odd_texts(3, marks) + ["plain words, only plain words.", "Élan ünd naïve façade."]
+    column = pa.array([None, "before", *texts], pa.string()).slice(2)
+    out, held = coder.encode(column), offsets.Texts(column)
+    spans = held.spans(out["ids"], out["counts"], bpe.byte_table(bpe.TOKENIZER)[2]) - np.repeat(held.base[:-1], out["counts"])[:, None]
+    got = np.split(spans, np.cumsum(out["counts"])[:-1])
+    want = coder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
     assert [list(map(tuple, g.tolist())) for g in got] == [e.offsets for e in want]
 
 
@@ -117,3 +121,21 @@ def test_lines_of_odd_rows(spark, odd, odd_rows, none):
     sections = spark.createDataFrame([(0, 9, 5, 400), (0, 8, 0, 5), (99, 1, 0, 5), (None, 1, 0, 5)], "doc_id long, section long, start long, end long")
     given = offsets.counts(offsets.with_sections(odd, sections)).collect()
     assert sorted((r.doc_id, r.section) for r in given) == [(0, 8), (0, 9)]
+
+
+def test_sections_of_several_documents_together(spark):
+    """Given sections and lines in one batch, spans beyond a text, and spans that overlap."""
+    texts = {1: "one two\nthree", 2: "naïve façade", 3: "", 4: None, 5: "a b c"}
+    given = [(1, 7, 0, 3), (1, 7, 0, 3), (2, 1, 6, 500), (2, 0, 0, 6), (3, 5, 0, 4), (4, 5, 2, 4), (5, 9, 3, 3), (5, 8, 100, 200), (5, 6, 2, 3)]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    sections = spark.createDataFrame(given, "doc_id long, section long, start long, end long")
+    both = offsets.with_sections(docs, sections).union(offsets.by_line(docs.where("doc_id = 1"))).coalesce(1)
+    got = {(r.doc_id, r.section, r.start, r.end): (r.n_tokens, r.n_whole) for r in offsets.counts(both).collect()}
+    spans = lambda i: chunks.ChunkEncoder(bpe.TOKENIZER, True).tokenizer.encode(texts[i], add_special_tokens=False).offsets
+    first = lambda i, a, b: sum(a <= s < b for s, _ in spans(i))
+    want = {(1, 7, 0, 3): first(1, 0, 3), (2, 0, 0, 6): first(2, 0, 6), (2, 1, 6, 12): first(2, 6, 12), (5, 6, 2, 3): first(5, 2, 3)}
+    want |= {(1, 0, 0, 8): first(1, 0, 8), (1, 1, 8, 13): first(1, 8, 13), (3, 5, 0, 0): 0, (4, 5, 0, 0): 0, (5, 8, 5, 5): 0}
+    assert {k: n for k, (n, _) in got.items()} == want
+    overlapping = spark.createDataFrame([(1, 1, 0, 5), (1, 2, 4, 8)], "doc_id long, section long, start long, end long")
+    with pytest.raises(Exception, match="overlap"):
+        offsets.counts(offsets.with_sections(docs, overlapping)).collect()
