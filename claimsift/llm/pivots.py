@@ -4,12 +4,16 @@ Inner products become distances when every candidate gets one more component
 that brings all to the same length: the larger the product, the smaller the
 distance to the query. Distances of all candidates to a few pivots are computed
 once. By the triangle inequality they bound a candidate's distance to a query
-from below, hence its score from above. Each query looks at candidates in the
-order of their bounds and stops when no bound reaches its k-th best score.
+from below, hence its score from above. Candidates are looked at in the order of
+their bounds, until no bound reaches a query's k-th best score.
 
-Candidates lie in blocks, near ones together. A query first searches the block
-of its own vector, which gives it a k-th score to beat, and then every other
-block whose bounds leave something to find. Scores are whole numbers.
+Candidates lie in blocks, near ones together, and within a block in batches,
+whose least and greatest distances bound all of their members at once. A query
+first searches the block of its own vector, which gives it a k-th score to beat,
+and then every other block whose bounds leave something to find. There, the
+queries that a batch can still give something meet it in one matrix product:
+on vectors without structure, where few bounds exclude anything, the search is
+that of plain products, and costs little more. Scores are whole numbers.
 """
 
 from __future__ import annotations
@@ -32,8 +36,8 @@ PIVOTS = 16
 SAMPLE = 2048
 # Candidates of a block, and queries that are sent to it together.
 BLOCK = 4096
-QUERY_BLOCK = 1024
-# Candidates of a query that are scored before it looks at its bounds again.
+QUERY_BLOCK = 4096
+# Candidates that are scored before queries look at their bounds again.
 BATCH = 512
 
 # Whole numbers below this are exact as doubles.
@@ -93,6 +97,58 @@ def search(
     return ids[best[reached]], scores[reached]
 
 
+def leading(row: np.ndarray, ids: np.ndarray, scores: np.ndarray, keep: int) -> np.ndarray:
+    """Of pairs, those among the ``keep`` best of their row: places, row by row, best first."""
+    order = np.lexsort((ids, -scores, row))
+    rank = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+    return order[rank < keep]
+
+
+def search_all(
+    q: np.ndarray, q_far: np.ndarray, least: np.ndarray, ids: np.ndarray, table_: np.ndarray, far: np.ndarray, length2: float, keep: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """``search`` for many queries at once, where products are exact as doubles.
+
+    Rows of queries, candidates found, their scores, and how many products were
+    made. Candidates are put in order of their nearest pivot and cut into
+    batches; the batch with the highest bound of any query comes first, and a
+    query takes no part in a batch whose bound is below what it has.
+    """
+    if far.shape[1]:
+        order = np.lexsort((far.min(1), far.argmin(1)))
+        ids, table_, far = ids[order], table_[order], far[order]
+    q, table_, own2 = q.astype(float), table_.astype(float), (q.astype(float) ** 2).sum(1)
+    cuts = np.arange(0, len(ids), BATCH)
+    most = np.full((len(q), len(cuts)), np.inf)
+    if far.shape[1]:
+        low, high = np.minimum.reduceat(far, cuts), np.maximum.reduceat(far, cuts)
+        gap = np.zeros_like(most)
+        for p in range(far.shape[1]):
+            gap = np.maximum(gap, np.maximum(low[:, p] - q_far[:, p, None], q_far[:, p, None] - high[:, p]))
+        # Rounding may not hide a candidate: bounds are loosened by far more than it.
+        most = (own2[:, None] + length2 - gap * gap) / 2 + 1e-9 * (own2[:, None] + length2) + 1e-3
+    least, made = least.copy(), 0
+    row, held, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for b in np.argsort(-most.max(0), kind="stable"):
+        asking = np.flatnonzero(most[:, b] >= least)
+        if not len(asking):
+            continue
+        a, z = cuts[b], min(cuts[b] + BATCH, len(ids))
+        values = q[asking] @ table_[a:z].T
+        made += values.size
+        if z - a > keep:
+            least[asking] = np.maximum(least[asking], np.partition(values, z - a - keep, axis=1)[:, z - a - keep])
+        i, j = np.nonzero(values >= least[asking][:, None])
+        row, held, scores = np.concatenate([row, asking[i]]), np.concatenate([held, a + j]), np.concatenate([scores, values[i, j]])
+        best = leading(row, ids[held], scores, keep)
+        row, held, scores = row[best], held[best], scores[best]
+        ends = np.searchsorted(row, np.arange(len(q)), "right")
+        full = np.flatnonzero(ends - np.searchsorted(row, np.arange(len(q))) == keep)
+        least[full] = np.maximum(least[full], scores[ends[full] - 1])
+    reached = scores >= least[row]
+    return row[reached], ids[held[reached]], scores[reached].astype(np.int64), made
+
+
 def top(embeddings: DataFrame, k: int = TOP, step: int = QUERY_STEP, pivots: int = PIVOTS, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row whose id is divisible by
     ``step``, the ``k`` others of highest inner product of whole components.
@@ -138,9 +194,15 @@ def top(embeddings: DataFrame, k: int = TOP, step: int = QUERY_STEP, pivots: int
         ask, have = rows[rows["query"]], rows[~rows["query"]]
         out = {"query_class": [], "class_id": [], "score": []}
         if len(ask) and len(have):
-            ids, table_, far = have["class_id"].to_numpy(), np.stack(have["vec"].to_numpy()), np.stack(have["far"].to_numpy()).astype(float)
-            for name, vec, q_far, least in zip(ask["class_id"], ask["vec"], ask["query_far"], ask["least"]):
-                found, scores = search(np.asarray(vec), np.asarray(q_far, dtype=float), least, ids, table_, far.reshape(len(ids), -1), length2, k + 1, exact)
+            ids, table_ = have["class_id"].to_numpy(), np.stack(have["vec"].to_numpy())
+            far = np.stack(have["far"].to_numpy()).astype(float).reshape(len(ids), -1)
+            names, q = ask["class_id"].to_numpy(), np.stack(ask["vec"].to_numpy())
+            q_far = np.stack(ask["query_far"].to_numpy()).astype(float).reshape(len(names), -1)
+            if exact:
+                row, found, scores, _ = search_all(q, q_far, ask["least"].to_numpy(dtype=float), ids, table_, far, length2, k + 1)
+                return pd.DataFrame({"query_class": names[row], "class_id": found, "score": scores})
+            for name, vec, own, least in zip(names, q, q_far, ask["least"]):
+                found, scores = search(vec, own, least, ids, table_, far, length2, k + 1, exact)
                 out["query_class"].append(np.full(len(found), name))
                 out["class_id"].append(found)
                 out["score"].append(scores)

@@ -158,6 +158,48 @@ def test_quality_is_learned_from_labels_alone(spark, odd, none):
     assert {r.score for r in quality.scored(odd, plain).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("pivot_count", [0, 8])
+@pytest.mark.parametrize("spread", [0.05, 3.0])
+def test_batches_against_all_products(pivot_count, spread):
+    """The best of every query whatever the pivots; where vectors lie in groups, few products are made."""
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(20, 16)) * 40
+    table = np.floor(np.repeat(middle, 150, axis=0) + rng.normal(size=(3000, 16)) * 40 * spread).astype(np.int64)
+    table[7] = table[8] = table[9]
+    q = table[::50]
+    length2 = float((table.astype(float) ** 2).sum(1).max())
+    chosen = pivots.choose(np.column_stack([table, np.sqrt(length2 - (table**2).sum(1))]), pivot_count) if pivot_count else np.zeros((0, 17))
+    tall = np.column_stack([table, np.sqrt(length2 - (table**2).sum(1))])
+    far = np.linalg.norm(tall[:, None] - chosen, axis=2)
+    q_far = np.linalg.norm(np.column_stack([q, np.zeros(len(q))])[:, None] - chosen, axis=2)
+    ids = rng.permutation(3000) + 10
+    least = np.full(len(q), -np.inf)
+    row, found, scores, made = pivots.search_all(q, q_far, least, ids, table, far, length2, 21)
+    for k, v in enumerate(q @ table.T):
+        want = np.lexsort((ids, -v))[:21]
+        assert found[row == k].tolist() == ids[want].tolist() and scores[row == k].tolist() == v[want].tolist()
+    share = made / (len(q) * len(table))
+    print(f"pivots {pivot_count}, spread {spread}: {share:.3f} of all products made")
+    assert share < 0.9 if pivot_count and spread < 1 else share <= 1.0
+    # A score to beat that nothing reaches.
+    assert len(pivots.search_all(q, q_far, np.full(len(q), np.inf), ids, table, far, length2, 21)[0]) == 0
+
+
+def test_share_of_products_on_the_given_vectors(spark, small):
+    """What the table of pivots excludes there, as the README states it: next to nothing."""
+    rows = spark.read.parquet(f"{small}/embeddings.parquet").collect()
+    table = np.floor(64 * np.array([r.embedding for r in rows], dtype=float))
+    length2 = float((table**2).sum(1).max())
+    tall = np.column_stack([table, np.sqrt(length2 - (table**2).sum(1))])
+    chosen = pivots.choose(tall, pivots.PIVOTS)
+    far = np.linalg.norm(tall[:, None] - chosen, axis=2)
+    q = table[::20]
+    q_far = np.linalg.norm(np.column_stack([q, np.zeros(len(q))])[:, None] - chosen, axis=2)
+    made = pivots.search_all(q, q_far, np.full(len(q), -np.inf), np.arange(len(table)), table, far, length2, 21)[3]
+    print(f"given vectors: {made / (len(q) * len(table)):.3f} of all products made")
+    assert made <= len(q) * len(table)
+
+
 def test_mix_of_odd_rows(odd, odd_rows, none):
     got = mixing.mix(odd).collect()
     assert len(got) == len(odd_rows) and mixing.mix(none).collect() == []
