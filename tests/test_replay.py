@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -41,6 +42,7 @@ def test_replay_equals_loop(spark, raw, limit, period):
 
 def test_a_segment_may_span_frames_and_slots_may_be_hot(spark, monkeypatch):
     monkeypatch.setattr(lookup, "HOT_ROWS", 20)
+    monkeypatch.setattr(replay, "FOLD_ROWS", 0)
     raw = [("a" if i % 3 else "b", (i * 37) % 5000 // 7) for i in range(1500)]
     events = events_of(raw)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
@@ -52,6 +54,26 @@ def test_a_segment_may_span_frames_and_slots_may_be_hot(spark, monkeypatch):
     assert got == loop(events, 3, 60)
 
 
+@pytest.mark.parametrize("bound", [0, 5, 40, 1000])
+def test_short_segments_need_no_python_worker(spark, monkeypatch, bound):
+    """Bursts of 1 to 60 events; those beyond the bound go through a worker, with equal answers."""
+    monkeypatch.setattr(replay, "FOLD_ROWS", bound)
+    raw = [(u, 1000 * n + (7 * i) % 50) for u in ("a", "b", None) for n, size in enumerate([1, 4, 6, 35, 60]) for i in range(size)]
+    events = events_of(raw)
+    judged = replay.rate_limit_replay(spark.createDataFrame(events, SCHEMA), ["user"], "at", "id", 3, 60)
+    assert judged.columns == ["id", "user", "at", "allowed"]
+    assert {r.id: r.allowed for r in judged.collect()} == loop(events, 3, 60)
+    assert ("MapInPandas" in judged._jdf.queryExecution().optimizedPlan().toString()) == (bound < 60)
+
+
+def test_events_with_columns_that_cannot_be_ordered(spark):
+    events = events_of([("a", s) for s in (0, 1, 2, 70)])
+    df = spark.createDataFrame(events, SCHEMA).withColumn("more", F.create_map(F.lit("k"), F.col("id")))
+    got = replay.rate_limit_replay(df, ["user"], "at", "id", 2, 60).collect()
+    assert {r.id: r.allowed for r in got} == loop(events, 2, 60) and all(r.more["k"] == r.id for r in got)
+    assert replay.rate_limit_replay(df.where("false"), ["user"], "at", "id", 2, 60).collect() == []
+
+
 def test_events_without_time_disturb_no_others(spark):
     raw = [("a", s) for s in (0, 1, 2, 3, 100)]
     events = events_of(raw)
