@@ -27,6 +27,8 @@ TEXT_BYTES = 1_000_000
 BUCKETS = 64
 # Labelled documents that the model is fitted on, drawn by a hash of their ids.
 FIT_DOCUMENTS = 4096
+# Passages of such a document that are learned from, evenly from its whole text.
+FIT_PASSAGES = 64
 HIDDEN, GATES = 32, 16
 EPOCHS, BATCH, RATE, DECAY = 16, 256, 0.01, 1e-4
 SEED = 7
@@ -199,9 +201,10 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = FIT_DOCUMENTS, column: str = "quality") -> Attention:
     """Fit the model on at most ``sample`` labelled documents that are not held out.
 
-    Their passages' features, never their texts, come to the driver. Labels
-    that are null count for nothing; of several for one document the largest
-    counts.
+    Features of at most ``FIT_PASSAGES`` passages of each, never texts, come to
+    the driver: 80 MB at most. Labels that are null count for nothing; of
+    several for one document the largest counts, and of several rows with one
+    ``doc_id`` the text with the smallest digest.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(column).cast("int").alias("_label"))
     known = known.where("_id IS NOT NULL AND _label IS NOT NULL").where(~held_out(F.col("_id")))
@@ -213,14 +216,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = FIT_DOCUMENTS, colum
             for part in chunks.slices(batch, "text", TEXT_BYTES):
                 x, counts = passages(part.column("text"))
                 ends = np.cumsum(counts)
-                raw = [x[b - n : b].tobytes() for n, b in zip(counts, ends)]
+                some = [b - n + np.unique(np.linspace(0, n - 1, min(n, FIT_PASSAGES)).astype(np.int64)) for n, b in zip(counts, ends)]
+                raw = [x[rows].tobytes() for rows in some]
                 yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_label"), pa.array(raw, pa.binary())], ["_id", "_label", "x"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text"))
     texts = texts.join(F.broadcast(drawn), F.col("_doc") == F.col("_id")).select("_id", "_label", "text")
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    texts = texts.groupBy("_id", "_label").agg(F.min_by("text", digest).alias("text"))
     bags = texts.mapInArrow(run, "_id long, _label int, x binary")
-    # Repeated rows of a document could exceed the bound; any of them will do.
-    rows = sorted(((r["_id"], r["_label"], bytes(r["x"])) for r in bags.limit(2 * sample).collect()))
+    rows = sorted((r["_id"], r["_label"], bytes(r["x"])) for r in bags.collect())
     parts = [np.frombuffer(x, np.float32).reshape(-1, FEATURES) for _, _, x in rows]
     x = np.concatenate(parts).astype(np.float64) if parts else np.zeros((0, FEATURES))
     return fit(x, np.array([len(p) for p in parts], dtype=np.int64), np.array([float(y > 0) for _, y, _ in rows]))
@@ -239,7 +244,12 @@ def scorer(model: Attention):
 
 
 def scored(docs: DataFrame, model: Attention) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``; a column of such a name is replaced."""
+    """``docs`` with ``score`` and ``predicted``; a column of such a name is replaced.
+
+    Every row is scored by its whole text, repeated ones alike; null and empty
+    texts are one passage of zeros. A text is described in one piece, which
+    takes some sixty bytes a byte of it.
+    """
     with_score = docs.withColumn("score", scorer(model)(F.col("text").cast("string")))
     return with_score.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import random
+import zlib
 from collections import Counter
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +144,78 @@ def test_gradients_are_those_of_the_loss():
         model.weights[name] = value
 
 
+def described_by_hand(text):
+    """The features of all passages of a text, by loops over words."""
+    kinds = [{" ": 0, "\t": 0, "\n": 0, "\x0b": 0, "\x0c": 0, "\r": 0}.get(chr(b), 1 if 97 <= b <= 122 else 2 if 65 <= b <= 90 else 3 if 48 <= b <= 57 else 4 if b in b".," else 6 if b > 127 else 5) for b in text.encode()]
+    data, spans, at = text.encode(), [], 0
+    while at < len(data):
+        if kinds[at] == 0:
+            at += 1
+            continue
+        end = at
+        while end < len(data) and kinds[end]:
+            end += 1
+        spans.append((at, end))
+        at = end
+    out = []
+    for k in range(0, max(len(spans), 1), quality.PASSAGE_WORDS):
+        words = spans[k : k + quality.PASSAGE_WORDS]
+        row = np.zeros(quality.FEATURES)
+        if words:
+            a, b = words[0][0], words[-1][1]
+            row[:7] = [kinds[a:b].count(kind) / (b - a) for kind in range(7)]
+            lengths = [e - s for s, e in words]
+            row[7], row[8] = np.mean(lengths) / 10, np.std(lengths) / 10
+            texts = [data[s:e] for s, e in words]
+            row[9] = sum(x == y for x, y in zip(texts, texts[1:])) / len(texts)
+            row[10], row[11] = len(set(texts)) / len(texts), math.log1p(len(texts)) / 5
+            for word in texts:
+                name = sum((b + 1) * int(quality._POWERS[i & 63]) for i, b in enumerate(word)) % (1 << 64)
+                name = (name ^ (name >> 29)) * 0xBF58476D1CE4E5B9 % (1 << 64)
+                row[12 + (name >> 58)] += 1 / len(texts)
+        out.append(row)
+    return out
+
+
+def test_passages_against_loops(odd_rows):
+    texts = [r[1] for r in odd_rows] + ["A, b. C7 #x é" * 30, " lead", "trail ", "same same same other"]
+    x, counts = quality.passages(pa.array(texts))
+    want = [described_by_hand(t or "") for t in texts]
+    assert counts.tolist() == [len(w) for w in want]
+    assert np.allclose(x, np.concatenate(want), atol=1e-4)
+
+
+def test_repeated_rows_of_a_document_count_once(spark):
+    """One labelled id with very many rows does not push the others out, and reruns agree."""
+    rows = [(2, f"copy {i}", "x") for i in range(300)] + [(i, f"text {i}", "x") for i in range(3, 40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2, 40)], "doc_id long, quality int")
+    seen, fit = [], quality.fit
+    quality.fit = lambda x, counts, y: seen.append((len(counts), y.sum(), x.sum())) or fit(x, counts, y)
+    try:
+        for parts in (1, 7):
+            quality.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts), labels, sample=30)
+    finally:
+        quality.fit = fit
+    known = [i for i in range(2, 40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert seen[0] == pytest.approx(seen[1]) and seen[0][0] == min(30, len(known))
+
+
+def test_pipeline_of_odd_rows_and_of_none(spark, odd, odd_rows, none, tmp_path):
+    """Every stage on odd rows, with and without labels, and on an empty table."""
+    import corpus_pipeline
+
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    for kind, rows, labelled in (("odd", odd, [(i, i % 2) for i in range(12)]), ("none", none, [])):
+        folder = str(tmp_path / kind)
+        rows.select(names).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(labelled, "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        good = corpus_pipeline.good_documents(spark, docs, folder)
+        assert good.columns == names and set(map(tuple, good.collect())) <= {(r[0], r[1], r[2], r[3], r[4]) for r in odd_rows}
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert all(r.n_tokens == len(r.ids) for r in got) and (kind == "odd" or got == [])
+
+
 def test_quality_is_learned_from_labels_alone(spark, odd, none):
     draw = random.Random(1)
     word = lambda: "".join(draw.choice("abcdefgh") for _ in range(5))
