@@ -16,6 +16,9 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Keep the documents that the classifier predicts to be of quality 1.
 
     It learns from the labels of the documents at hand; without any, all stay.
+    Null and empty texts are scored like others, as a passage without words;
+    rows that repeat stay or go together, rows without an id are scored as
+    well, and an empty table stays empty. Other columns do not count.
     """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return docs.where(quality.scorer(model)(F.col("text").cast("string")) >= 0.5)
