@@ -94,6 +94,32 @@ def test_status_updates_rewrite_only_buckets_with_their_patients(spark, tmp_path
     assert store.read("claims").count() == 1500 and store.read("audit_log").count() == 2
 
 
+def scanned_rows(df):
+    """Rows that came out of the file scans of a frame's plan once it has run."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df.collect()
+    plan = plan.executedPlan() if hasattr(plan, "executedPlan") and "Adaptive" in plan.getClass().getName() else plan
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+@pytest.mark.parametrize("users", [10, 200])
+def test_a_users_rows_are_read_without_the_others(spark, tmp_path, users):
+    """Pages of other users are skipped: the more users, the fewer rows are read for one."""
+    store = tb.ClaimStore(spark, str(tmp_path / "s"), buckets=2)
+    rows = spark.range(400_000).select(
+        F.col("id").cast("string").alias("id"), F.concat(F.lit("u"), F.xxhash64("id") % users).alias("uid"), F.lit("x").alias("filename")
+    )
+    rows = rows.withColumn("user_id", F.col("uid"))
+    store.append("upload_sessions", tb.session_rows(rows, now()))
+    mine = store.read("upload_sessions", "u3").select("id", "user_id")
+    held = mine.count()
+    assert 0 < held < 1.3 * 400_000 / users
+    # Some 20,000 rows make a page; a user begins and ends in one of each file.
+    assert held <= scanned_rows(mine) <= held + 2 * 2 * 20_000
+    assert scanned_rows(store.read("upload_sessions").select("id", "user_id")) == 400_000
+
+
 def test_a_table_keeps_its_number_of_buckets(spark, store):
     store.append_new("claims", people(spark, ("a", 1, 1.0)), now())
     other = tb.ClaimStore(spark, store.root, claim_key="PatientID", buckets=8)
