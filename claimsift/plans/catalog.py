@@ -871,7 +871,7 @@ def r01_ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def r01_ingest_by_claim(spark: SparkSession, sf: str) -> DataFrame:
-    return ingested(spark, sf, "TransactionID", "1 hour").read("claims").select("TransactionID", "PatientID", "Final_Billed_Amount")
+    return ingested(spark, sf, "TransactionID", "1 hour").read("claims").select("TransactionID", "PatientID")
 
 
 @query

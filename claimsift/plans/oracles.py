@@ -214,7 +214,8 @@ oracle(
     "s04_append_by_claim",
     CLAIMS,
     f"""SELECT TransactionID, PatientID, Age, Final_Billed_Amount,
-CASE WHEN Admission_Timestamp < timestamp '{EARLIER}' THEN '2023-01-01' ELSE '{NOW[:10]}' END AS uploaded FROM claims""",
+CASE WHEN Admission_Timestamp < timestamp '{EARLIER}' THEN '2023-01-01' ELSE '{NOW[:10]}' END AS uploaded FROM claims
+QUALIFY row_number() OVER (PARTITION BY TransactionID ORDER BY Admission_Timestamp >= timestamp '{EARLIER}', PatientID, Age, Final_Billed_Amount) = 1""",
 )
 FLAGGED_ONE = """
 best AS (
@@ -278,8 +279,8 @@ concat('✅ Sync Complete: 0 new rows added, ', total, ' skipped.') AS second_sy
 )
 oracle(
     "s12_sync_by_claim",
-    f"{CLAIMS},\nn AS (SELECT count(*) AS total FROM claims)",
-    """SELECT total AS stored, concat('✅ Sync Complete: ', total, ' new rows added, 0 skipped.') AS first_sync,
+    f"{CLAIMS},\nn AS (SELECT count(DISTINCT TransactionID) AS keys, count(*) AS total FROM claims)",
+    """SELECT keys AS stored, concat('✅ Sync Complete: ', keys, ' new rows added, 0 skipped.') AS first_sync,
 concat('✅ Sync Complete: 0 new rows added, ', total, ' skipped.') AS second_sync, true AS ok FROM n""",
 )
 REPORT = "TransactionID, PatientID, Hospital_PIN, Fraud_Type, Final_Billed_Amount, Risk_Score, AI_Justification"
@@ -754,7 +755,7 @@ count(*) FILTER (Fraud_Flag = 1) AS Flagged, {MODE.format('Contamination')} AS S
 # --- Streams ----------------------------------------------------------------
 
 oracle("r01_ingest_stream", CLAIMS, "SELECT DISTINCT PatientID FROM claims")
-oracle("r01_ingest_by_claim", CLAIMS, "SELECT TransactionID, PatientID, Final_Billed_Amount FROM claims")
+oracle("r01_ingest_by_claim", CLAIMS, "SELECT DISTINCT TransactionID, PatientID FROM claims")
 oracle(
     "r01_ingest_counts",
     f"""{CLAIMS},

@@ -12,8 +12,8 @@ def without_repeats(claims: DataFrame, key: str, delay: str) -> DataFrame:
     """Streamed claims without keys that came in less than ``delay`` before.
 
     Spark's own state holds a key from its arrival for ``delay``, so it stays
-    bounded, and no row counts as late. Rows without a key are told apart by
-    their columns.
+    bounded, and no row counts as late. Of several rows of a key in one
+    micro-batch any stays. Rows without a key are told apart by their columns.
     """
     row = F.concat(F.lit("row "), F.to_json(F.struct(*claims.columns)))
     name = F.coalesce(F.concat(F.lit("key "), F.col(key).cast("string")), row)
