@@ -6,6 +6,8 @@ and lets it poison averages, so no comparison may see one.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 DAY_MICROS = 86_400_000_000
@@ -27,6 +29,14 @@ DATE_FORMATS = (
 )
 # What may follow a date: nothing, a clock of 12 hours or one of 24.
 CLOCK = "[ h:m[:s] a][ H:m[:s]]"
+# How the parts of those dates look: month, day, year and a month's name.
+PARTS = {
+    "yyyy": "[+-]?[0-9]{4,}",
+    "MMMM": "(?:[^0-9 ]{4,}|[Mm][Aa][Yy])",
+    "MMM": "[^0-9 ]{3}",
+    "M": "0*(?:1[0-2]|[1-9])",
+    "d": "0*(?:3[01]|[12][0-9]|[1-9])",
+}
 
 # Cell texts of a CSV file that mean "no value".
 MISSING_TEXTS = (
@@ -78,9 +88,19 @@ def parse_iso(text: Column) -> Column:
     return F.try_to_timestamp(F.btrim(text))
 
 
+def shape(layout: str) -> str:
+    """A pattern that every text in a layout begins with."""
+    return "^" + re.sub("yyyy|MMMM|MMM|M|d|[.]", lambda part: PARTS.get(part[0], "[.]"), layout)
+
+
 def parse_layout(text: Column, layout: str) -> Column:
-    """Text in one of ``DATE_FORMATS``, with or without a clock, to timestamp."""
-    return F.try_to_timestamp(F.btrim(text), F.lit(layout + CLOCK))
+    """Text in one of ``DATE_FORMATS``, with or without a clock, to timestamp.
+
+    Spark's parser throws and catches an exception for a text it cannot read,
+    which takes many times a parse; texts of another shape do not reach it.
+    """
+    cell = F.btrim(text)
+    return F.when(cell.rlike(shape(layout)), F.try_to_timestamp(cell, F.lit(layout + CLOCK)))
 
 
 def parse_timestamp(text: Column, layouts: tuple[str, ...] = DATE_FORMATS) -> Column:

@@ -41,13 +41,14 @@ def time_layouts(df: DataFrame) -> dict[str, TimeLayout]:
     names = text_times(df)
     if not names:
         return {}
+    cells = df.select(*[F.nullif(F.btrim(F.col(name)), F.lit("")).alias(f"cell{k}") for k, name in enumerate(names)])
+    # Each layout looks at the cells that are no ISO text only.
+    others = {f"rest{k}": F.when(parse_iso(F.col(f"cell{k}")).isNull(), F.col(f"cell{k}")) for k in range(len(names))}
     counts = []
-    for k, name in enumerate(names):
-        cell = F.nullif(F.btrim(F.col(name)), F.lit(""))
-        other = cell.isNotNull() & parse_iso(cell).isNull()
-        counts += [F.count(cell).alias(f"cells{k}"), F.count_if(other).alias(f"other{k}")]
-        counts += [F.count_if(other & parse_layout(cell, x).isNotNull()).alias(f"fit{k}_{n}") for n, x in enumerate(DATE_FORMATS)]
-    row = df.agg(*counts).first()
+    for k in range(len(names)):
+        counts += [F.count(f"cell{k}").alias(f"cells{k}"), F.count(f"rest{k}").alias(f"other{k}")]
+        counts += [F.count(parse_layout(F.col(f"rest{k}"), x)).alias(f"fit{k}_{n}") for n, x in enumerate(DATE_FORMATS)]
+    row = cells.withColumns(others).agg(*counts).first()
     found = {}
     for k, name in enumerate(names):
         fits = [row[f"fit{k}_{n}"] for n in range(len(DATE_FORMATS))]

@@ -122,3 +122,18 @@ def test_keyword_order_and_initials(spark):
     assert got[2] == "Currently, I see 7 critical cases in the cloud database."
     assert got[3].startswith("Forensic DB indicates 7 ")
     assert values(spark, [("ann",), ("",), (None,)], "n string", tx.initial(F.col("n"))) == ["A", "G", "G"]
+
+
+def test_only_texts_of_a_layouts_shape_reach_the_parser(spark):
+    """What a layout's shape keeps from the parser is nothing that the parser reads."""
+    days = ["5", "05", "005", "0", "13", "31", "32", "-3", "+5"]
+    names = ["Jan", "jan", "JANUARY", "Sep", "Sept", "May", "may", "\u017fep", "Foo"]
+    years = ["2020", "20", "-2020", "+12020", "12020"]
+    texts = [f"{a}{s}{b}{s}{c}{end}" for a in days for b in [*days, *names] for c in years for s in "/-. " for end in ("", " 9:05 PM", " 25:00")]
+    texts += [f"{y}/{m}/{d}" for y in years for m in days for d in days] + [f"{n} {d}, {y}" for n in names for d in days for y in years]
+    cells = spark.createDataFrame([(t,) for t in texts], "t string")
+    for layout in vl.DATE_FORMATS:
+        whole = F.try_to_timestamp("t", F.lit(layout + vl.CLOCK))
+        kept = F.col("t").rlike(vl.shape(layout))
+        row = cells.agg(F.count_if(kept).alias("kept"), F.count(whole).alias("read"), F.count_if(~whole.eqNullSafe(vl.parse_layout(F.col("t"), layout))).alias("other")).first()
+        assert row.other == 0 and 0 < row.read <= row.kept < len(texts) / 4, layout
