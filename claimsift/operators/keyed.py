@@ -62,15 +62,21 @@ def found_keys(target: DataFrame, key: str, wanted: DataFrame, count: int, own:
     return near.groupBy("_key").agg(F.bool_or("_own").alias("_own"))
 
 
-def mark_known(reduced: DataFrame, target: DataFrame, key: str, own: Column | None = None) -> DataFrame:
+def mark_known(reduced: DataFrame, target: DataFrame | None, key: str, own: Column | None = None) -> DataFrame:
     """Add ``_known`` and ``_stored`` to the rows of ``one_per_key``.
 
     ``_stored``: the target has the key already. ``_known``: it had it before
     this batch, that is, in a row for which ``own`` does not hold. ``reduced``
-    is written first, as its size decides how it meets the target.
+    is written first, as its size decides how it meets the target, and so are
+    the keys found there: whatever is read of the marks later agrees, also once
+    the target has changed. Without a target nothing is known.
     """
     reduced = materialize(reduced, "keys")
-    found = found_keys(target, key, reduced, reduced.count(), own)
+    if target is None:
+        return reduced.withColumns({"_stored": F.lit(False), "_known": F.lit(False)})
+    found = materialize(found_keys(target, key, reduced, reduced.count(), own), "known")
+    if found.count() <= lookup.BROADCAST_ROWS:
+        found = F.broadcast(found)
     hit = F.col("_own").isNotNull()
     return reduced.join(found, "_key", "left").withColumns({"_stored": hit, "_known": hit & ~F.col("_own")}).drop("_own")
 

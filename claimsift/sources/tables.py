@@ -183,7 +183,8 @@ class ClaimStore:
         wanted = [c for c in df.columns if c in layout.names or c in (key, "TransactionID")]
         reduced = keyed.one_per_key(df.select(*wanted), key, keyed.first_claim(df))
         own = F.col("batch_id") == F.lit(batch_id) if batch_id is not None and "batch_id" in layout.names else None
-        marked = materialize(keyed.mark_known(reduced, self.read(table), key, own), "intake")
+        held = self.read(table) if path_exists(self.spark, self.path(table)) else None
+        marked = keyed.mark_known(reduced, held, key, own)
         counts = keyed.intake_counts(marked).first().asDict()
         if counts["new"]:
             self.append(table, conform(keyed.accepted(marked), layout, defaults))

@@ -121,3 +121,22 @@ def test_beyond_the_bound_only_what_passes_the_sketch_is_shuffled(spark):
         plain = keyed.found_keys(target, "key", wanted, 100)
         assert "bit_get" not in plain._jdf.queryExecution().optimizedPlan().toString()
         assert plain.count() == 100
+
+
+def test_without_a_table_every_key_is_new(spark):
+    df = frame(spark, [("a", "T1"), ("a", "T2"), ("b", "T3"), (None, "T4")], "PatientID string, TransactionID string")
+    marked = keyed.mark_known(keyed.one_per_key(df, "PatientID", keyed.first_claim(df)), None, "PatientID")
+    assert marked._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    assert keyed.intake_counts(marked).first().asDict() == {"total": 4, "new": 2, "skipped": 0, "in_batch_duplicates": 1, "null_keys": 1}
+    assert {(r.PatientID, r.TransactionID) for r in keyed.accepted(marked).collect()} == {("a", "T1"), ("b", "T3")}
+
+
+def test_marks_stay_when_the_table_changes(spark, tmp_path):
+    """The keys found in the table are written: marks read after an append are those from before it."""
+    path = str(tmp_path / "held")
+    frame(spark, [("a",)], "PatientID string").write.parquet(path)
+    df = frame(spark, [("a", "T1"), ("b", "T2")], "PatientID string, TransactionID string")
+    target = spark.read.parquet(path)
+    marked = keyed.mark_known(keyed.one_per_key(df, "PatientID", keyed.first_claim(df)), target, "PatientID")
+    assert path not in "".join(marked.inputFiles())
+    assert {r.PatientID: r._known for r in marked.collect()} == {"a": True, "b": False}
