@@ -6,7 +6,7 @@ that fills a third of a batch reaches the join as one row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from claimsift.operators import lookup, sketch
 from claimsift.operators.features import spread_of
@@ -15,28 +15,42 @@ from claimsift.schema import has
 from claimsift.session import materialize
 
 
-def first_claim(df: DataFrame) -> list[Column]:
+# A table with at most so many rows for one of the batch is not searched by a
+# sketch of the batch: that would cost more than shuffling the table's keys.
+NEAR = 4
+
+
+def first_claim(df: DataFrame) -> list[Column | str]:
     """Order for batches that are appended: by claim id."""
-    return [F.col("TransactionID")] if has(df, "TransactionID") else []
+    return ["TransactionID"] if has(df, "TransactionID") else []
 
 
-def riskiest_claim(df: DataFrame) -> list[Column]:
+def riskiest_claim(df: DataFrame) -> list[Column | str]:
     """Order for results that are upserted: highest risk, then claim id."""
     risk = [F.coalesce(-F.col("Risk_Score"), F.lit(float("inf")))] if has(df, "Risk_Score") else []
     return risk + first_claim(df)
 
 
-def one_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+def is_text(df: DataFrame, column: str) -> bool:
+    """Whether a column is text already, so that ``_key`` made of it has its very values."""
+    return df.schema[column].dataType == T.StringType()
+
+
+def one_per_key(df: DataFrame, key: str, order: list[Column | str]) -> DataFrame:
     """The first row of each key in the given order, and ``_copies`` of the key.
 
-    Ties are broken by the remaining columns. Rows without a key stay one group.
+    ``order`` has columns' names and expressions. Ties are broken by the
+    remaining columns. Rows without a key stay one group. Each value is
+    shuffled once: a text key and columns of the order are not carried again.
     """
-    rest = [F.col(c) for c in df.columns]
-    first = F.min(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], F.struct(*rest).alias("_row")))
-    reduced = df.groupBy(F.col(key).cast("string").alias("_key")).agg(
-        first.alias("_first"), F.count(F.lit(1)).alias("_copies")
-    )
-    return reduced.select("_key", "_first._row.*", "_copies")
+    told = [key] if is_text(df, key) else []
+    named = [o for o in order if isinstance(o, str) and o not in told]
+    held = [F.col(f"`{o}`") if isinstance(o, str) else o.alias(f"_o{i}") for i, o in enumerate(order) if not isinstance(o, str) or o in named]
+    held += [F.col(f"`{c}`") for c in df.columns if c not in (*told, *named)]
+    first = [F.min(F.struct(*held)).alias("_first")] if held else []
+    reduced = df.groupBy(F.col(f"`{key}`").cast("string").alias("_key")).agg(*first, F.count(F.lit(1)).alias("_copies"))
+    given = [F.col("_key").alias(c) if c in told else F.col(f"_first.`{c}`") for c in df.columns]
+    return reduced.select("_key", *given, "_copies")
 
 
 def keys_of(target: DataFrame, key: str) -> DataFrame:
@@ -44,6 +58,12 @@ def keys_of(target: DataFrame, key: str) -> DataFrame:
     return target.select(F.col(key).cast("string").alias("_key")).where(F.col("_key").isNotNull()).distinct()
 
 
+def owned_keys(target: DataFrame, key: str, own: Column | None) -> DataFrame:
+    """``(_key, _own)`` of the rows of a table that have a key; ``_own`` tells whether ``own`` holds."""
+    own = F.lit(False) if own is None else F.coalesce(own, F.lit(False))
+    return target.select(F.col(key).cast("string").alias("_key"), own.alias("_own")).where(F.col("_key").isNotNull())
+
+
 def found_keys(target: DataFrame, key: str, wanted: DataFrame, count: int, own: Column | None = None) -> DataFrame:
     """``(_key, _own)`` of those keys of ``target`` that are among ``wanted``.
 
@@ -51,8 +71,7 @@ def found_keys(target: DataFrame, key: str, wanted: DataFrame, count: int, own:
     larger one a sketch goes to the table, and only rows that pass it are
     shuffled. ``_own`` tells whether ``own`` holds in a row of the key.
     """
-    own = F.lit(False) if own is None else F.coalesce(own, F.lit(False))
-    keys = target.select(F.col(key).cast("string").alias("_key"), own.alias("_own")).where(F.col("_key").isNotNull())
+    keys = owned_keys(target, key, own)
     wanted = wanted.select("_key").where(F.col("_key").isNotNull())
     if count <= lookup.BROADCAST_ROWS:
         near = keys.join(F.broadcast(wanted), "_key", "left_semi")
@@ -77,10 +96,42 @@ def mark_known(reduced: DataFrame, target: DataFrame | None, key: str, own: Colu
     found = materialize(found_keys(target, key, reduced, reduced.count(), own), "known")
     if found.count() <= lookup.BROADCAST_ROWS:
         found = F.broadcast(found)
+    return with_marks(reduced, found)
+
+
+def with_marks(reduced: DataFrame, found: DataFrame) -> DataFrame:
+    """``_stored`` and ``_known`` of the rows of ``one_per_key``, by the ``(_key, _own)`` that were found."""
     hit = F.col("_own").isNotNull()
     return reduced.join(found, "_key", "left").withColumns({"_stored": hit, "_known": hit & ~F.col("_own")}).drop("_own")
 
 
+def is_near(target: DataFrame, rows: int) -> bool:
+    """Whether a table is small beside a batch of so many rows, or of its size."""
+    return target.count() <= NEAR * rows
+
+
+def mark_keys(df: DataFrame, target: DataFrame, key: str, own: Column | None = None) -> DataFrame:
+    """The marks and ``_copies`` of each key of a batch, without its rows, written.
+
+    For a batch that can be read again and a target that is not much larger:
+    of both the keys alone are shuffled, each once. Of a stored key nothing
+    but the marks is wanted, so its ``_key`` is empty.
+    """
+    copies = one_per_key(df.select(F.col(f"`{key}`")), key, []).select("_key", "_copies")
+    found = owned_keys(target, key, own).groupBy("_key").agg(F.bool_or("_own").alias("_own"))
+    marked = with_marks(copies, found)
+    return materialize(marked.withColumn("_key", F.when(F.col("_stored"), F.lit("")).otherwise(F.col("_key"))), "keys")
+
+
+def fresh_rows(df: DataFrame, marked: DataFrame, key: str, order: list[Column | str]) -> DataFrame:
+    """The rows an append inserts, by the marks that ``mark_keys`` made of the same batch."""
+    fresh = accepted(marked.withColumn("_fresh", F.col("_key")))
+    if fresh.count() <= lookup.BROADCAST_ROWS:
+        df = df.join(F.broadcast(fresh), F.col(f"`{key}`").cast("string") == F.col("_fresh"), "left_semi")
+        return one_per_key(df, key, order)
+    return one_per_key(df, key, order).join(fresh, F.col("_key") == F.col("_fresh"), "left_semi")
+
+
 def intake_counts(marked: DataFrame) -> DataFrame:
     """One row of counts; the four parts add up to ``total``."""
     keyless = F.col("_key").isNull()

@@ -48,16 +48,21 @@ def defaults_of(table: str, now: Column) -> dict[str, Column]:
     return {c: now if v == "now" else F.lit(v) for c, v in TABLE_DEFAULTS[table].items()}
 
 
-def conform(df: DataFrame, schema: T.StructType, defaults: dict[str, Column]) -> DataFrame:
-    """Rows in a table's layout; missing values take the defaults, other columns fall off."""
+def layout_values(df: DataFrame, schema: T.StructType, defaults: dict[str, Column]) -> dict[str, Column]:
+    """A table's columns as a frame and the defaults give them."""
 
     def value(field: T.StructField) -> Column:
         column = F.col(f"`{field.name}`").cast(field.dataType) if field.name in df.columns else F.lit(None)
         if field.name in defaults:
             column = F.coalesce(column, defaults[field.name])
-        return column.cast(field.dataType).alias(field.name)
+        return column.cast(field.dataType)
 
-    return df.select(*[value(f) for f in schema.fields])
+    return {f.name: value(f) for f in schema.fields}
+
+
+def conform(df: DataFrame, schema: T.StructType, defaults: dict[str, Column]) -> DataFrame:
+    """Rows in a table's layout; missing values take the defaults, other columns fall off."""
+    return df.select(*[value.alias(name) for name, value in layout_values(df, schema, defaults).items()])
 
 
 def session_rows(df: DataFrame, now: Column) -> DataFrame:
@@ -132,26 +137,27 @@ class ClaimStore:
         """All rows, or one user's where the table has such a column."""
         return for_user(self.bucketed(table).drop(self.bucket), user_id)
 
-    def write(self, table: str, df: DataFrame, mode: str) -> None:
+    def write(self, table: str, df: DataFrame, mode: str, defaults: dict[str, Column] | None = None) -> None:
         """Write rows in the table's layout to their buckets.
 
         Each bucket's rows are brought together, a large one's in several tasks
         and small ones' in one, so that files are few and none is too large.
         Within a file rows are in the order of their users: whoever reads one
         user's rows skips the row groups and pages of all others.
+        With ``defaults`` the rows are brought into the layout on the way, so
+        that what the defaults fill in is not shuffled.
         """
         names = self.schema(table).names
-        rows = df.select(*[F.col(f"`{c}`") for c in names])
-        key = F.col(self.key(table))
-        rows = rows.withColumn(self.bucket, self.bucket_of(key, *[F.col(f"`{c}`") for c in names]))
+        values = {c: F.col(f"`{c}`") for c in names} if defaults is None else layout_values(df, self.schema(table), defaults)
+        rows = df.withColumn(self.bucket, self.bucket_of(values[self.key(table)], *values.values()))
+        rows = rows.hint("rebalance", F.col(self.bucket)).select(*[v.alias(c) for c, v in values.items()], self.bucket)
         clustered = [self.bucket, *[c for c in ("user_id", "uid") if c in names]]
-        rows = rows.hint("rebalance", F.col(self.bucket)).sortWithinPartitions(*clustered)
-        writer = rows.write.partitionBy(self.bucket).mode(mode)
+        writer = rows.sortWithinPartitions(*clustered).write.partitionBy(self.bucket).mode(mode)
         writer.option("partitionOverwriteMode", "dynamic").parquet(self.path(table))
 
-    def append(self, table: str, df: DataFrame) -> None:
-        """Add rows in the table's layout."""
-        self.write(table, df, "append")
+    def append(self, table: str, df: DataFrame, defaults: dict[str, Column] | None = None) -> None:
+        """Add rows in the table's layout, or with ``defaults`` rows to be brought into it."""
+        self.write(table, df, "append", defaults)
 
     def append_new(
         self,
@@ -161,6 +167,7 @@ class ClaimStore:
         key: str | None = None,
         user_id: str | None = None,
         batch_id: str | None = None,
+        stored: bool = False,
     ) -> dict[str, int]:
         """Append the rows whose key the table lacks; known keys are left alone.
 
@@ -168,7 +175,9 @@ class ClaimStore:
         writing agree even when tasks are retried. Repeating a batch adds nothing.
         With ``batch_id`` claims keep the name of the batch that brought them:
         a batch run again, also after an append that ended early, adds what is
-        missing and has the counts of its first run.
+        missing and has the counts of its first run. ``stored`` says that ``df``
+        is read off files, which stay as they are and can be read again: then
+        the decision is made of its keys alone, and only new rows are carried.
         """
         key = key or self.key(table)
         df = stamp_user(df, user_id)
@@ -181,15 +190,36 @@ class ClaimStore:
             total = rows.count()
             return {"total": total, "new": total, "skipped": 0, "in_batch_duplicates": 0, "null_keys": 0}
         wanted = [c for c in df.columns if c in layout.names or c in (key, "TransactionID")]
-        reduced = keyed.one_per_key(df.select(*wanted), key, keyed.first_claim(df))
+        df, order = df.select(*[F.col(f"`{c}`") for c in wanted]), keyed.first_claim(df)
         own = F.col("batch_id") == F.lit(batch_id) if batch_id is not None and "batch_id" in layout.names else None
         held = self.read(table) if path_exists(self.spark, self.path(table)) else None
-        marked = keyed.mark_known(reduced, held, key, own)
+        if stored:
+            given = df.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(f"`{key}`").isNull()).alias("null_keys")).first()
+            if held is None:
+                return self.begin(table, keyed.one_per_key(df, key, order), given.total, given.null_keys, defaults)
+            if keyed.is_near(held, given.total):
+                marked = keyed.mark_keys(df, held, key, own)
+                counts = keyed.intake_counts(marked).first().asDict()
+                if counts["new"]:
+                    self.append(table, keyed.fresh_rows(df, marked, key, order), defaults)
+                return counts
+        reduced = keyed.one_per_key(df, key, order)
+        # What the table does not hold has done its part, and a text key is in ``_key``.
+        spared = [c for c in wanted if c not in layout.names or (c == key and keyed.is_text(df, key))]
+        marked = keyed.mark_known(reduced.drop(*spared), held, key, own)
         counts = keyed.intake_counts(marked).first().asDict()
         if counts["new"]:
-            self.append(table, conform(keyed.accepted(marked), layout, defaults))
+            fresh = keyed.accepted(marked.withColumn(key, F.col("_key")) if key in spared else marked)
+            self.append(table, fresh, defaults)
         return counts
 
+    def begin(self, table: str, reduced: DataFrame, total: int, null_keys: int, defaults: dict[str, Column]) -> dict[str, int]:
+        """The first rows of a table; what it holds then are the new ones."""
+        if total > null_keys:
+            self.append(table, reduced.where(F.col("_key").isNotNull()), defaults)
+        new = self.read(table).count()
+        return {"total": total, "new": new, "skipped": 0, "in_batch_duplicates": total - null_keys - new, "null_keys": null_keys}
+
     def touched(self, df: DataFrame, key: Column) -> list[int]:
         """The buckets of the keys of ``df``: at most ``buckets`` numbers."""
         return [r[0] for r in df.where(key.isNotNull()).select(self.bucket_of(key)).distinct().collect()]
@@ -265,7 +295,7 @@ class ClaimStore:
         claims = read_claims_csv(self.spark, path)
         if claims.isEmpty():
             return False, "CSV file is empty."
-        counts = self.append_new("claims", claims, now, user_id=user_id)
+        counts = self.append_new("claims", claims, now, user_id=user_id, stored=True)
         return True, f"✅ Sync Complete: {counts['new']} new rows added, {counts['skipped']} skipped."
 
 

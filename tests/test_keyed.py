@@ -140,3 +140,35 @@ def test_marks_stay_when_the_table_changes(spark, tmp_path):
     marked = keyed.mark_known(keyed.one_per_key(df, "PatientID", keyed.first_claim(df)), target, "PatientID")
     assert path not in "".join(marked.inputFiles())
     assert {r.PatientID: r._known for r in marked.collect()} == {"a": True, "b": False}
+
+
+@relaxed
+@given(BATCH, st.dictionaries(st.sampled_from(["a", "b", "x"]), st.booleans()))
+def test_marks_of_keys_alone_are_those_of_rows(spark, batch, stored):
+    df = frame(spark, [(k, f"T{n}", n) for k, n in batch], "PatientID string, TransactionID string, n int")
+    target = frame(spark, [*stored.items(), (None, True)], "PatientID string, mine boolean")
+    order, own = keyed.first_claim(df), F.col("mine")
+    whole = keyed.mark_known(keyed.one_per_key(df, "PatientID", order), target, "PatientID", own)
+    thin = keyed.mark_keys(df, target, "PatientID", own)
+    assert keyed.intake_counts(thin).first() == keyed.intake_counts(whole).first()
+    want = sorted(tuple(r) for r in keyed.accepted(whole).collect())
+    for most in (-1, 1000):
+        with monkeypatched(most):
+            assert sorted(tuple(r) for r in keyed.fresh_rows(df, thin, "PatientID", order).select(df.columns).collect()) == want
+
+
+def test_a_value_is_carried_once_to_its_key(spark):
+    """Neither a text key nor what the order has is in the row beside it; a key of another type is."""
+    rows = [("7", "T2", 1), ("7", "T1", None), ("7", "T1", 5), (None, "T0", 3), ("8", None, 4)]
+    df = frame(spark, rows, "PatientID string, TransactionID string, n int")
+    one = keyed.one_per_key(df, "PatientID", keyed.first_claim(df))
+    carried = one._jdf.queryExecution().optimizedPlan().toString().split("min(struct(")[1].split("_first")[0]
+    assert "PatientID#" not in carried and carried.count("TransactionID#") == 1 and carried.count("n#") == 1
+    assert one.columns == ["_key", *df.columns, "_copies"]
+    want = {(None, None, "T0", 3, 1), ("7", "7", "T1", None, 3), ("8", "8", None, 4, 1)}
+    assert {tuple(r) for r in one.collect()} == want
+    numbered = df.withColumn("PatientID", F.col("PatientID").cast("long"))
+    other = keyed.one_per_key(numbered, "PatientID", keyed.first_claim(df))
+    assert other.schema["PatientID"].dataType.typeName() == "long"
+    assert {tuple(r) for r in other.collect()} == {(k, None if p is None else int(p), t, n, c) for k, p, t, n, c in want}
+    assert {tuple(r) for r in keyed.one_per_key(df.select("PatientID"), "PatientID", []).collect()} == {(None, None, 1), ("7", "7", 3), ("8", "8", 1)}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from claimsift.operators import summaries as sm
 from claimsift.plans import audit as au
 from claimsift.schema import TABLES
+from claimsift.session import shared_folder
 from claimsift.sources import files, fixtures as fx, tables as tb
 from claimsift.streaming import ingest
 
@@ -376,3 +377,64 @@ def test_repeats_within_the_delay_go_before_the_store(spark, tmp_path):
     counts = sorted((r.total, r.new, r.skipped, r.null_keys) for r in store.read("ingest_batches").collect())
     assert counts == [(1, 1, 0, 0), (4, 2, 0, 2)]
     assert {r.PatientID: r.Age for r in store.read("claims").collect()} == {"a": 1, "b": 1, "c": 1}
+
+
+def cut(spark):
+    """The intermediate tables written so far."""
+    return set(Path(shared_folder(spark)).glob("k*"))
+
+
+@pytest.mark.parametrize("key", ["PatientID", "TransactionID"])
+def test_a_file_synced_again_is_decided_by_its_keys(spark, tmp_path, key):
+    """Before, every row of the file was written and matched again, though none is new."""
+    path, store = str(tmp_path / "claims"), tb.ClaimStore(spark, str(tmp_path / "s"), claim_key=key)
+    rows = [(f"p{i % 70}" if i % 9 else None, i, float(i), f"t{i % 90}" if i % 11 else None) for i in range(200)]
+    claims = spark.createDataFrame(rows, "PatientID string, Age int, Final_Billed_Amount double, TransactionID string")
+    claims.repartition(3).write.csv(path, header=True)
+    keys = {r[0 if key == "PatientID" else 3] for r in rows} - {None}
+    keyless = sum(r[0 if key == "PatientID" else 3] is None for r in rows)
+    before = cut(spark)
+    assert store.sync_csv(path, now()) == (True, f"✅ Sync Complete: {len(keys)} new rows added, 0 skipped.")
+    assert cut(spark) == before
+    assert store.sync_csv(path, now()) == (True, f"✅ Sync Complete: 0 new rows added, {200 - keyless} skipped.")
+    (marks,) = cut(spark) - before
+    marked = spark.read.parquet(str(marks))
+    assert sorted(marked.columns) == ["_copies", "_key", "_known", "_stored"]
+    assert {r[0] for r in marked.select("_key").collect()} == {"", None}
+    other = tb.ClaimStore(spark, str(tmp_path / "o"), claim_key=key)
+    other.append_new("claims", files.read_claims_csv(spark, path), now())
+    held = [sorted(map(str, s.read("claims").collect())) for s in (store, other)]
+    assert held[0] == held[1] and len(held[0]) == len(keys)
+    # A file that has grown: only what is new comes in.
+    spark.createDataFrame([("p1", 9, 9.0, "t1"), ("q", 9, 9.0, "u"), ("q", 8, 8.0, "u")], claims.schema).write.csv(path, header=True, mode="append")
+    assert store.sync_csv(path, now()) == (True, f"✅ Sync Complete: 1 new rows added, {200 - keyless + 1} skipped.")
+    assert [r.Age for r in store.read("claims").where("PatientID = 'q'").collect()] == [8]
+    assert store.read("claims").count() == len(keys) + 1
+
+
+def test_a_file_without_keys_adds_nothing(spark, store, tmp_path):
+    path = tmp_path / "claims.csv"
+    path.write_text("PatientID,Age\nNA,1\n,2\n")
+    assert store.sync_csv(str(path), now()) == (True, "✅ Sync Complete: 0 new rows added, 0 skipped.")
+    assert store.read("claims").count() == 0 and not Path(store.path("claims")).exists()
+
+
+def test_a_large_table_is_still_searched_by_the_batch(spark, store, tmp_path):
+    store.append_new("claims", people(spark, *[(f"p{i}", i, float(i)) for i in range(50)]), now())
+    path = tmp_path / "claims.csv"
+    path.write_text("PatientID,Age\np3,1\nq,2\n")
+    before = cut(spark)
+    assert store.sync_csv(str(path), now()) == (True, "✅ Sync Complete: 1 new rows added, 1 skipped.")
+    assert {p.name.split("-")[0] for p in cut(spark) - before} == {"keys", "known"}
+    assert store.read("claims").count() == 51
+
+
+def test_defaults_are_filled_in_behind_the_shuffle(spark, tmp_path):
+    """The same rows in the same buckets as those brought into the layout first."""
+    rows = people(spark, *[(f"p{i}" if i % 3 else None, i, float(i)) for i in range(300)]).withColumn("Extra", F.lit(1))
+    defaults = tb.defaults_of("claims", now())
+    first, behind = tb.ClaimStore(spark, str(tmp_path / "f"), claim_key="PatientID"), tb.ClaimStore(spark, str(tmp_path / "b"), claim_key="PatientID")
+    first.append("claims", tb.conform(rows, first.schema("claims"), defaults))
+    behind.append("claims", rows, defaults)
+    held = [sorted(map(str, s.bucketed("claims").collect())) for s in (first, behind)]
+    assert held[0] == held[1] and len(held[0]) == 300
