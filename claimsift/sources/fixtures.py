@@ -24,28 +24,43 @@ def hours(amount: Column) -> Column:
     return F.make_dt_interval(hours=amount.cast("int"))
 
 
-LINE_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax"]
-LINE_COLUMNS += ["o_custkey", "o_orderdate", "p_type", "p_retailprice"]
-
-
-def claims(spark: SparkSession, folder: str, stored: bool = False) -> DataFrame:
-    """One claim per line item.
+# What each column of a claim is made of.
+LINE_COLUMNS = {
+    "TransactionID": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
+    "PatientID": ["l_orderkey", "l_linenumber"],
+    "Hospital_PIN": ["l_suppkey"],
+    "Age": ["o_custkey"],
+    "Gender": ["o_custkey"],
+    "Primary_Diagnosis": ["p_type"],
+    "Final_Billed_Amount": ["l_extendedprice"],
+    "Base_Package_Rate": ["l_partkey", "p_retailprice", "l_quantity"],
+    "Admission_Timestamp": ["o_orderdate", "l_linenumber"],
+    "Discharge_Timestamp": ["o_orderdate", "l_linenumber", "l_partkey", "l_suppkey"],
+    "PreAuth_Request_Date": ["o_orderdate", "l_suppkey"],
+    "PreAuth_Approval_Date": ["o_orderdate", "l_suppkey", "l_tax", "l_partkey"],
+}
+
+
+def claims(spark: SparkSession, folder: str, stored: bool = False, columns: list[str] | None = None) -> DataFrame:
+    """One claim per line item, with all columns or those named.
 
     ``stored`` is for queries that read the claims several times: the three
     tables are joined once and the joined rows written, numbers rather than the
-    texts made of them; else every reading shuffles the line items again.
+    texts made of them; else every reading shuffles the line items again. Only
+    what the ``columns`` are made of is shuffled and written.
     """
     line, order, part = (table(spark, folder, n) for n in ("lineitem", "orders", "part"))
     joined = line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).join(
         part, F.col("l_partkey") == F.col("p_partkey")
     )
     if stored:
-        joined = materialize(joined.select(*LINE_COLUMNS), "lines")
+        made_of = [LINE_COLUMNS[c] for c in columns or LINE_COLUMNS]
+        joined = materialize(joined.select(*dict.fromkeys(n for names in made_of for n in names)), "lines")
     start = F.col("o_orderdate").cast("timestamp")
     request = start - days(F.col("l_suppkey") % 5)
     stay = F.col("l_linenumber") * 3 + (F.col("l_partkey") % 12) * 24 + F.col("l_suppkey") % 24 - 12
     names = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    return joined.select(
+    values = [
         F.concat(F.lit("T"), F.concat_ws("-", *[F.col(c).cast("string") for c in names])).alias("TransactionID"),
         F.concat(F.lit("P"), F.concat_ws("-", *[F.col(c).cast("string") for c in names[:2]])).alias("PatientID"),
         F.col("l_suppkey").alias("Hospital_PIN"),
@@ -60,7 +75,9 @@ def claims(spark: SparkSession, folder: str, stored: bool = False) -> DataFrame:
         (start + hours(stay)).alias("Discharge_Timestamp"),
         request.alias("PreAuth_Request_Date"),
         F.when(F.col("l_tax") != 0, request + days(F.col("l_partkey") % 4)).alias("PreAuth_Approval_Date"),
-    )
+    ]
+    made = dict(zip(LINE_COLUMNS, values))
+    return joined.select(*[made[c] for c in columns or LINE_COLUMNS])
 
 
 def upload_sessions(spark: SparkSession, folder: str) -> DataFrame:

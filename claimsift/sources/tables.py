@@ -20,7 +20,7 @@ from claimsift.functions.text import user_id_of
 from claimsift.operators import keyed
 from claimsift.operators.summaries import for_user, fraud_queue
 from claimsift.schema import FRAUD_COLUMNS, TABLE_DEFAULTS, TABLE_KEYS, TABLES, has
-from claimsift.session import materialize
+from claimsift.session import COMPRESSION, materialize
 from claimsift.sources.files import path_exists, read_claims_csv
 
 
@@ -153,7 +153,7 @@ class ClaimStore:
         rows = rows.hint("rebalance", F.col(self.bucket)).select(*[v.alias(c) for c, v in values.items()], self.bucket)
         clustered = [self.bucket, *[c for c in ("user_id", "uid") if c in names]]
         writer = rows.sortWithinPartitions(*clustered).write.partitionBy(self.bucket).mode(mode)
-        writer.option("partitionOverwriteMode", "dynamic").parquet(self.path(table))
+        writer.option("partitionOverwriteMode", "dynamic").option("compression", COMPRESSION).parquet(self.path(table))
 
     def append(self, table: str, df: DataFrame, defaults: dict[str, Column] | None = None) -> None:
         """Add rows in the table's layout, or with ``defaults`` rows to be brought into it."""

@@ -1,8 +1,13 @@
 """Claims that a query reads several times are joined once, and no more is written than is read."""
 
+from pathlib import Path
+
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from claimsift.plans import audit as au
+from claimsift.plans.catalog import QUERIES
+from claimsift.session import shared_folder
 from claimsift.sources import fixtures as fx
 
 
@@ -34,3 +39,32 @@ def test_scored_claims_carry_what_is_asked_for(spark, tmp_path):
     slim = au.scored_claims(claims, run, ["TransactionID"], columns=["Path_Sum", "Anomaly_Score"])
     assert set(slim.columns) == set(wanted) and {"Rules", "LOS"} <= set(whole.columns)
     assert whole.select(wanted).exceptAll(slim.select(wanted)).isEmpty() and slim.count() == whole.count() == 62
+
+
+def written(label, before):
+    """The frames' folders with a label that came into the shared folder since ``before``."""
+    return [p for p in sorted(Path(before[0]).glob(f"{label}-*")) if p not in before[1]]
+
+
+def folders(spark):
+    return shared_folder(spark), set(Path(shared_folder(spark)).iterdir())
+
+
+def test_claims_store_only_what_their_columns_are_made_of(spark, tmp_path):
+    folder, before = tables(spark, tmp_path), folders(spark)
+    wanted = ["PatientID", "Final_Billed_Amount"]
+    derived, stored = fx.claims(spark, folder).select(*wanted), fx.claims(spark, folder, stored=True, columns=wanted)
+    assert stored.dtypes == derived.dtypes and stored.count() == 62
+    assert derived.exceptAll(stored).isEmpty() and stored.exceptAll(derived).isEmpty()
+    (lines,) = written("lines", before)
+    assert set(pq.ParquetDataset(lines).schema.names) == {"l_orderkey", "l_linenumber", "l_extendedprice"}
+    assert pq.ParquetFile(next(lines.glob("*.parquet"))).metadata.row_group(0).column(0).compression == "ZSTD"
+
+
+def test_stored_claims_are_appended_by_their_keys(spark, tmp_path):
+    folder, before = tables(spark, tmp_path), folders(spark)
+    got = QUERIES["s04_append_by_claim"](spark, folder)
+    claims = fx.claims(spark, folder)
+    assert got.count() == claims.where("TransactionID is not null").select("TransactionID").distinct().count()
+    for keys in written("keys", before):
+        assert not {"Age", "Final_Billed_Amount"} & set(pq.ParquetDataset(keys).schema.names)
