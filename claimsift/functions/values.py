@@ -63,8 +63,12 @@ MISSING_TEXTS = (
 
 
 def nan_to_null(column: Column) -> Column:
-    """NaN becomes NULL; infinities stay."""
-    return F.when(~F.isnan(column), column)
+    """NaN becomes NULL; infinities stay.
+
+    The column stands in it once: a filter that is pushed below several of
+    these would else hold it so often that its code is no longer compiled.
+    """
+    return F.nanvl(column, F.lit(None))
 
 
 def finite_or_null(column: Column) -> Column:

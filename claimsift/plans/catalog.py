@@ -634,7 +634,8 @@ def u02_keyed_union(spark: SparkSession, sf: str) -> DataFrame:
     claims = typed(spark, sf, stored=True)
     one = keyed.one_per_key(claims.select("PatientID", "TransactionID"), "PatientID", keyed.first_claim(claims))
     stored = one.select("PatientID", F.lit("stored").alias("origin"))
-    found = result_claims(claims)
+    # What is read of the rows: figures that nobody asks for are not looked up, texts not carried.
+    found = result_claims(claims).select("PatientID", "TransactionID", "Risk_Score")
     incoming = keyed.one_per_key(found, "PatientID", keyed.riskiest_claim(found)).select(
         "PatientID", F.lit("incoming").alias("origin"), "Risk_Score"
     )

@@ -5,6 +5,7 @@ from pathlib import Path
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from claimsift.functions import values as vl
 from claimsift.plans import audit as au
 from claimsift.plans.catalog import QUERIES
 from claimsift.session import shared_folder
@@ -68,3 +69,18 @@ def test_stored_claims_are_appended_by_their_keys(spark, tmp_path):
     assert got.count() == claims.where("TransactionID is not null").select("TransactionID").distinct().count()
     for keys in written("keys", before):
         assert not {"Age", "Final_Billed_Amount"} & set(pq.ParquetDataset(keys).schema.names)
+
+
+def test_a_union_by_key_looks_up_no_figures_that_nobody_reads(spark, tmp_path):
+    got = QUERIES["u02_keyed_union"](spark, tables(spark, tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Patient_Claim_Count" not in plan and plan.count("Join") == 1
+
+
+def test_a_number_stands_once_where_nan_is_taken_out(spark):
+    df = spark.createDataFrame([(1.0, 1.5), (float("nan"), float("nan")), (None, None), (float("-inf"), 0.0)], "x double, y float")
+    twice = df.select(*[vl.nan_to_null(vl.nan_to_null(F.col(c))).alias(c) for c in df.columns])
+    assert twice.dtypes == df.dtypes
+    assert twice.collect() == [(1.0, 1.5), (None, None), (None, None), (float("-inf"), 0.0)]
+    plan = twice.where("x > 7")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("Filter")[1].split("\n")[0].count("x#") <= 2
