@@ -238,21 +238,21 @@ def countable(claims: DataFrame) -> bool:
     return has(claims, "PatientID", "TransactionID")
 
 
-def derive_features(claims: DataFrame, hospitals: DataFrame | None = None) -> DataFrame:
+def derive_features(claims: DataFrame, hospitals: DataFrame | None = None, patients: DataFrame | None = None) -> DataFrame:
     """P02-P04, J01, J02 and the input of F05 for a whole typed claim table.
 
     Figures that are not given stay in the plan as aggregates: whoever does not
     use them (no rule does with the hospitals' means) does not pay for them.
+    Stored means, broadcast as a rule, are looked up behind the patients' shuffle.
     """
     ratios = claim_ratios(claims)
     cost = resolve_cost_col(claims)
+    if patients is None and countable(claims):
+        patients = patient_figures(claims)
     if hospitals is None and cost is not None and has(claims, "Hospital_PIN"):
         means = hospital_figures(claims, cost)
-        ratios = lookup.attach_spread(ratios, means, "Hospital_PIN", "_rows", spread_of(ratios))
-    else:
-        ratios = attach_hospitals(ratios, hospitals)
-    patients = patient_figures(claims) if countable(claims) else None
-    return attach_patients(ratios, patients)
+        return attach_patients(lookup.attach_spread(ratios, means, "Hospital_PIN", "_rows", spread_of(ratios)), patients)
+    return attach_hospitals(attach_patients(ratios, patients), hospitals)
 
 
 def derive_sample_features(sample: DataFrame, claims: DataFrame, hospitals: DataFrame | None) -> DataFrame:

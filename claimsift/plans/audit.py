@@ -102,6 +102,8 @@ def scored_claims(
     forest: fo.Forest | None = None,
     trees: list[int] | None = None,
     columns: list[str] | None = None,
+    hospitals: DataFrame | None = None,
+    patients: DataFrame | None = None,
 ) -> DataFrame:
     """Claims with features, rules and ``Path_Sum``, written once.
 
@@ -109,13 +111,15 @@ def scored_claims(
     runs once per claim. ``keep`` names the input columns to carry along.
     ``trees`` asks for ``Path_Sums`` as well: those over so many first trees.
     ``columns`` names the features, rules and scores to carry, all by default:
-    what nobody reads is neither shuffled nor written.
+    what nobody reads is neither shuffled nor written. ``hospitals`` and
+    ``patients`` are the claims' figures where they are stored already.
     """
     typed = ft.typed_claims(claims, settings.profile)
-    hospitals = ft.store_hospital_figures(typed)
+    if hospitals is None:
+        hospitals = ft.store_hospital_figures(typed)
     if forest is None:
         forest = fit(typed, settings, hospitals)
-    featured = with_rules(ft.derive_features(typed, hospitals), settings.profile)
+    featured = with_rules(ft.derive_features(typed, hospitals, patients), settings.profile)
     if trees:
         scored = forest.with_paths(featured, [*trees, forest.trees])
         scored = scored.withColumn("Path_Sum", F.col(f"Path_Sums.trees_{forest.trees}"))

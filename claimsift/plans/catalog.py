@@ -16,7 +16,7 @@ from claimsift.functions import risk, text as tx, values as vl
 from claimsift.operators import context, features as ft, forest as fo, keyed, replay, summaries as sm
 from claimsift.plans import audit as au
 from claimsift.schema import FRAUD_COLUMNS, REPORT_COLUMNS
-from claimsift.session import materialize, shared_folder
+from claimsift.session import COMPRESSION, materialize, shared_folder
 from claimsift.sources import files, fixtures as fx, tables as tb
 from claimsift.streaming import ingest, kpis, limiter, scoring
 
@@ -839,7 +839,7 @@ def feed(pieces: list[DataFrame], label: str, start: Callable[[DataFrame], Strea
     spark = pieces[0].sparkSession
     path = folder(spark, label)
     for piece in pieces:
-        piece.write.mode("append").parquet(path)
+        piece.write.mode("append").option("compression", COMPRESSION).parquet(path)
         start(spark.readStream.schema(piece.schema).parquet(path)).awaitTermination()
 
 
@@ -906,12 +906,14 @@ def r03_limited_stream(spark: SparkSession, sf: str) -> DataFrame:
 def r04_scored_stream(spark: SparkSession, sf: str) -> DataFrame:
     claims = typed(spark, sf, stored=True)
     saved = folder(spark, "forest")
-    forest = au.fit(claims, BATCH)
-    forest.save(saved)
-    scored = au.scored_claims(claims, BATCH, ["TransactionID"], forest, columns=["Path_Sum", "Anomaly_Score"])
-    cut = fo.path_cut(scored, BATCH.contamination)
+    # Of the fit, the cut and the stream alike: made once.
     hospitals = ft.store_hospital_figures(claims)
     patients = materialize(ft.patient_figures(claims), "patients")
+    forest = au.fit(claims, BATCH, hospitals)
+    forest.save(saved)
+    # The cut is read off the path sums alone.
+    scored = au.scored_claims(claims, BATCH, [], forest, columns=["Path_Sum"], hospitals=hospitals, patients=patients)
+    cut = fo.path_cut(scored, BATCH.contamination)
     loaded = fo.Forest.load(spark, saved)
     wanted = ["TransactionID", "ML_Anomaly", "Risk_Score", "Fraud_Flag", "Fraud_Type"]
     path, start = to_table(

@@ -29,7 +29,7 @@ def scored_stream(
     times without one are read as ISO.
     """
     typed = ft.typed_claims(claims, profile, layouts)
-    looked_up = ft.attach_patients(ft.attach_hospitals(ft.claim_ratios(typed), hospitals), patients)
+    looked_up = ft.attach_hospitals(ft.attach_patients(ft.claim_ratios(typed), patients), hospitals)
     cost = ft.resolve_cost_col(typed)
     own = F.col(cost) if cost else F.lit(0.0)
     known = looked_up.withColumns(

@@ -6,6 +6,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from claimsift.functions import values as vl
+from claimsift.operators import features as ft
 from claimsift.plans import audit as au
 from claimsift.plans.catalog import QUERIES
 from claimsift.session import shared_folder
@@ -84,3 +85,23 @@ def test_a_number_stands_once_where_nan_is_taken_out(spark):
     assert twice.collect() == [(1.0, 1.5), (None, None), (None, None), (float("-inf"), 0.0)]
     plan = twice.where("x > 7")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.split("Filter")[1].split("\n")[0].count("x#") <= 2
+
+
+def test_a_scored_stream_makes_its_figures_once(spark, tmp_path, monkeypatch):
+    calls, given = [], {}
+    for name in ("hospital_figures", "patient_figures"):
+        plain = getattr(ft, name)
+        monkeypatch.setattr(ft, name, lambda claims, *rest, name=name, plain=plain: (calls.append(name), plain(claims, *rest))[1])
+    scored = au.scored_claims
+    monkeypatch.setattr(au, "scored_claims", lambda *a, **k: given.setdefault("scored", scored(*a, **k)))
+    assert QUERIES["r04_scored_stream"](spark, tables(spark, tmp_path)).count() == 62
+    # Once each for all claims, and the patients once more for those of the pool.
+    assert sorted(calls) == ["hospital_figures", "patient_figures", "patient_figures"]
+    assert given["scored"].columns == ["Path_Sum"] and given["scored"].count() == 62
+
+
+def test_stored_figures_are_the_figures(spark, tmp_path):
+    claims = ft.typed_claims(fx.claims(spark, tables(spark, tmp_path)))
+    hospitals, patients = ft.store_hospital_figures(claims), ft.patient_figures(claims)
+    made, stored = ft.derive_features(claims), ft.derive_features(claims, hospitals, patients).select(*ft.derive_features(claims).columns)
+    assert made.count() == 62 and made.exceptAll(stored).isEmpty() and stored.exceptAll(made).isEmpty()
